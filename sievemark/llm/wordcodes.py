@@ -22,7 +22,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 #: Characters with the Unicode property White_Space.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 MARKS = ',.!?;:"#$%&*()'
 PIECE = re.compile(f" ?[{LATIN}]+(?=[ \n{MARKS}])|[{MARKS}]+(?=[ \n])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
