@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, token_counts
+from . import packing, pii, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_packing": packing.query,
         "op4_pii": pii.query,
+        "op6_warc": warc.query,
         "op2_token_counts": token_counts.query,
     }
 
