@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, token_counts, warc
+from . import flac, packing, pii, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.query,
         "op4_pii": pii.query,
         "op6_warc": warc.query,
+        "op7_flac": flac.query,
+        "op8_toxicity": toxicity.query,
         "op2_token_counts": token_counts.query,
     }
 
