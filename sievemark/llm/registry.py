@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, packing, pii, token_counts, toxicity, warc
+from . import flac, near_dedup, packing, pii, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_warc": warc.query,
         "op7_flac": flac.query,
         "op8_toxicity": toxicity.query,
+        "op3_near_dedup": near_dedup.query,
         "op2_token_counts": token_counts.query,
     }
 
