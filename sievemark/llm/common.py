@@ -45,3 +45,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+#: Bits of a key filter (16 MB); it stays that size whatever the table, and lets more through as it fills.
+FILTER_BITS = 27
+
+
+def key_filter(df: DataFrame, *cols: str):
+    """A broadcast bit table of the keys in df, for ``maybe_in``."""
+    import numpy as np
+
+    size = 1 << FILTER_BITS
+    spot = F.pmod(F.xxhash64(*cols), F.lit(size))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)).cast("int"))
+    got = df.groupBy(F.floor(spot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, dtype=np.uint64)
+    bits[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(bits)
+
+
+def maybe_in(df: DataFrame, shared, *cols: str, found: bool = True) -> DataFrame:
+    """Rows of df whose keys may be in the filter (all that are in it); with found=False the others."""
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(batches):
+        bits = shared.value
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            kept = batch.filter(pa.array(hit == found))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    marked = df.withColumn("__spot", F.pmod(F.xxhash64(*cols), F.lit(1 << FILTER_BITS)))
+    return marked.mapInArrow(rows, df.schema)
