@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, near_dedup, packing, pieces, pii, suffix_dedup, token_counts, toxicity, warc
+from . import bm25, flac, near_dedup, packing, pieces, pii, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": near_dedup.query,
         "op1_suffix_dedup": suffix_dedup.query,
         "op9_pieces": pieces.query,
+        "op10_bm25": bm25.query,
         "op2_token_counts": token_counts.query,
     }
 
