@@ -189,6 +189,15 @@ RUNS = "array<struct<from:int,to:int>>"
 _RUN_TYPE = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
+def _within(data: bytes, a: int, b: int) -> tuple[int, int]:
+    """The run without the characters that it covers in part."""
+    while a < b and data[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
 def _pairs(rows: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"from": a, "to": b} for a, b in r] for r in rows], _RUN_TYPE)
 
@@ -328,8 +337,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", gram: in
     return placed.select("k", "th", F.transform("runs", lambda r: F.struct((r["from"] + F.col("start")).alias("from"), (r["to"] + F.col("start")).alias("to"))).alias("runs"))
 
 
-def removed(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """key (and the columns in carry), n_bytes, n_removed, n_spans, spans, kept (the remaining bytes) of every row."""
+def removed(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str = "doc_id", text: str = "text", carry: list[str] | None = None, whole_chars: bool = False) -> DataFrame:
+    """key (and the columns in carry), n_bytes, n_removed, n_spans, spans, kept (the remaining bytes) of every row.
+
+    With whole_chars a run gives up the bytes of characters it covers in part, so kept stays UTF-8.
+    """
     carry = [c for c in carry or [] if c != key]
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(F.col(key).alias("k"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)), text_or_empty(text).cast("binary").alias("t")).withColumn("th", F.xxhash64("t"))
@@ -350,6 +362,8 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
                         merged[-1] = merged[-1][0], max(b, merged[-1][1])
                     else:
                         merged.append((a, b))
+                if whole_chars:
+                    merged = [x for x in (_within(whole, a, b) for a, b in merged) if x[0] < x[1]]
                 spans.append(merged)
                 edges = [0, *(x for run in merged for x in run), len(whole)]
                 kept.append(b"".join(whole[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
