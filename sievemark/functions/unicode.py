@@ -31,25 +31,22 @@ def plain(value: str) -> str:
     return _LETTERS.sub(lambda m: fold_word(m.group()), value)
 
 
-@F.pandas_udf(T.StringType())
-def _plain(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else plain(v))
+_SPACED = re.compile(r"(?<![A-Za-z])(?:[A-Za-z] ){3,}[A-Za-z](?![A-Za-z])")
+
 
+def normalized(value: str) -> str:
+    """Text as the wording rules read it: plain, letters set apart drawn together, blanks single, dots inside words gone."""
+    value = _SPACED.sub(lambda m: m.group().replace(" ", ""), value if value.isascii() else plain(value))
+    return re.sub(r"(?<=\w)[._](?=\w)", "", re.sub("[ \t]{2,}", " ", value))
 
-def normalized(value: Column) -> Column:
-    """Text as the wording rules read it. ASCII never leaves the JVM: only other texts go through the Arrow function."""
-    ascii_only = value.rlike(r"^\p{ASCII}*$")
-    folded = F.when(ascii_only, value).otherwise(_plain(F.when(ascii_only, F.lit(None).cast("string")).otherwise(value)))
-    return F.regexp_replace(F.regexp_replace(_unspaced(folded), "[ \t]{2,}", " "), r"(?U)(?<=\w)[._](?=\w)", "")
 
+def normalized_column(value: Column) -> Column:
+    return _normalized(value)
 
-def _unspaced(value: Column) -> Column:
-    """Letters set apart by single spaces, four or more, drawn together: within such a run each space stands between lone letters."""
-    pattern = r"(?<![A-Za-z])(?:[A-Za-z] ){3,}[A-Za-z](?![A-Za-z])"
-    runs = F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
-    rest = F.split(value, pattern, -1)
-    pieces = F.transform(rest, lambda gap, i: F.concat(gap, F.coalesce(F.replace(F.get(runs, i), F.lit(" "), F.lit("")), F.lit(""))))
-    return F.when(value.rlike(pattern), F.array_join(pieces, "")).otherwise(value)
+
+@F.pandas_udf(T.StringType())
+def _normalized(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else normalized(v))
 
 
 @F.pandas_udf(T.StructType([T.StructField("decoded", T.StringType()), T.StructField("folded", T.StringType())]))
