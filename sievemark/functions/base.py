@@ -47,7 +47,12 @@ def risk_label(score: Column) -> Column:
 def percent_decoded(value: Column) -> Column:
     """Percent escapes undone as UTF-8; broken ones and plus signs stay."""
     safe = F.replace(F.regexp_replace(value, "%(?![0-9a-fA-F]{2})", "%25"), F.lit("+"), F.lit("%2B"))
-    return F.when(F.contains(value, F.lit("%")), F.url_decode(safe)).otherwise(value)
+    return F.url_decode(safe)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed and written down once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def escaped(value: Column) -> Column:
@@ -69,3 +74,24 @@ def uuid5(namespace: Column, name: Column) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.replace(namespace, F.lit("-"), F.lit(""))), F.encode(name, "UTF-8")))
     variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4) + 1)
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def without_call_sites(build):
+    """Column builders make thousands of small expressions; recording the call site of each would take most of their time.
+
+    The same as spark.python.sql.dataFrameDebugging.enabled=false for the time of the call.
+    """
+    import functools
+
+    import pyspark.errors.utils as origin
+
+    @functools.wraps(build)
+    def quiet(*args, **kwargs):
+        before = getattr(origin, "_enable_debugging_cache", None)
+        origin._enable_debugging_cache = False
+        try:
+            return build(*args, **kwargs)
+        finally:
+            origin._enable_debugging_cache = before
+
+    return quiet

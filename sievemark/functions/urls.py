@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import capped, finding, found, percent_decoded, points, risk_label
+from .base import capped, finding, found, let, percent_decoded, points, risk_label, without_call_sites
 from .packs import BRANDS, FILE_SUFFIXES, LURE_WORDS, REDIRECT_KEYS, SHORTENERS, USER_CONTENT_HOSTS
 from .unicode import controls, host_names, idna, scripts
 
@@ -33,7 +33,10 @@ def is_ip(host: Column) -> Column:
 
 def registrable(host: Column) -> Column:
     """The domain an organisation registers: two labels, three behind a two-label public suffix; IP addresses as they are."""
-    host = F.btrim(F.lower(host), F.lit(".[]"))
+    return let(F.btrim(F.lower(host), F.lit(".[]")), _registrable)
+
+
+def _registrable(host: Column) -> Column:
     labels = F.split(host, r"\.")
     last = F.array_join(F.slice(labels, -2, 2), ".")
     long = F.array_join(F.slice(labels, -3, 3), ".")
@@ -68,18 +71,23 @@ def canonical_ipv4(host: Column) -> Column:
         based = F.when(F.startswith(low, F.lit("0x")), F.conv(F.substring(low, 3, 32), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).otherwise(p)
         return based.try_cast("bigint")
 
-    v = F.transform(F.split(host, r"\."), value)
+    return let(F.transform(F.split(host, r"\."), value), lambda v: let(_packed(v), lambda packed: let(_dotted(packed), lambda d: F.when(shape & packed.between(0, 0xFFFFFFFF) & (d != host), d))))
+
+
+def _dotted(packed: Column) -> Column:
+    return F.concat_ws(".", *(F.shiftright(packed, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+
+
+def _packed(v: Column) -> Column:
     at = lambda i: F.get(v, F.lit(i))
     n = F.size(v)
     fits = lambda *limits: reduce(lambda a, b: a & b, (at(i) <= top for i, top in enumerate(limits)))
-    packed = (
+    return (
         F.when(n == 1, at(0))
         .when((n == 2) & fits(0xFF, 0xFFFFFF), at(0) * (1 << 24) + at(1))
         .when((n == 3) & fits(0xFF, 0xFF, 0xFFFF), at(0) * (1 << 24) + at(1) * (1 << 16) + at(2))
         .when((n == 4) & fits(0xFF, 0xFF, 0xFF, 0xFF), at(0) * (1 << 24) + at(1) * (1 << 16) + at(2) * (1 << 8) + at(3))
     )
-    dotted = F.concat_ws(".", *(F.shiftright(packed, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
-    return F.when(shape & packed.between(0, 0xFFFFFFFF) & (dotted != host), dotted)
 
 
 def non_public(ip: Column) -> Column:
@@ -105,11 +113,15 @@ def brand_tokens(folded: Column, decoded: Column, reg: Column) -> Column:
     return F.array_distinct(F.filter(forms, lambda x: x != ""))
 
 
-def brand_hits(host: Column, names: Column | None = None) -> Column:
-    """array<struct<brand, observed, official>>: brands that the host spells or embeds without owning them."""
-    names = host_names(host) if names is None else names
+def brand_hits(host: Column, names: Column) -> Column:
+    """array<struct<brand, observed, official>>: brands that the host spells or embeds without owning them; names: the column of host_names(host)."""
     reg = registrable(host)
-    forms = brand_tokens(names["folded"], names["decoded"], reg)
+    seen = let(reg, lambda r: F.struct(r.alias("reg"), brand_tokens(names["folded"], names["decoded"], r).alias("forms"), names["decoded"].alias("decoded")))
+    return let(seen, _brands)
+
+
+def _brands(seen: Column) -> Column:
+    reg, forms = seen["reg"], seen["forms"]
     lure = "(?:" + "|".join(sorted(LURE_WORDS, key=lambda w: (-len(w), w))) + ")*"
 
     def spelt(brand: str):
@@ -125,7 +137,7 @@ def brand_hits(host: Column, names: Column | None = None) -> Column:
 
     hits = []
     for brand, official in BRANDS.items():
-        made = F.struct(F.lit(brand).alias("brand"), names["decoded"].alias("observed"), F.lit(", ".join(official)).alias("official"))
+        made = F.struct(F.lit(brand).alias("brand"), seen["decoded"].alias("observed"), F.lit(", ".join(official)).alias("official"))
         hits.append(F.when(~reg.isin(*official) & spelt(brand), made))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
@@ -136,21 +148,26 @@ def redirect(query: Column) -> Column:
     def plus(x: Column) -> Column:
         return percent_decoded(F.replace(x, F.lit("+"), F.lit(" ")))
 
+    web = r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#]+)"
+
+    def target(value: Column) -> Column:
+        standard = F.translate(value, "-_", "+/")
+        padded = F.concat(standard, F.repeat(F.lit("="), F.pmod(-F.length(standard), F.lit(4))))
+        raw = F.when(value.rlike("^[A-Za-z0-9_+/=-]{20,4096}$"), F.try_to_binary(padded, F.lit("base64"))).cast("string")
+        direct = F.lower(F.regexp_extract(value, web, 1))
+        inner = let(raw, lambda r: F.lower(F.regexp_extract(F.when(F.is_valid_utf8(r), r).otherwise(""), web, 1)))
+        return F.struct(F.rtrim(F.coalesce(F.nullif(direct, F.lit("")), inner), F.lit(".")).alias("host"), (direct == "").alias("encoded"))
+
     def resolve(pair: Column) -> Column:
         key = plus(F.split(pair, "=", 2)[0])
         value = F.btrim(percent_decoded(percent_decoded(plus(F.coalesce(F.get(F.split(pair, "=", 2), F.lit(1)), F.lit(""))))))
-        web = r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]]*\]|[^:/?#]+)"
-        standard = F.translate(value, "-_", "+/")
-        raw = F.when(value.rlike("^[A-Za-z0-9_+/=-]{20,4096}$"), F.try_to_binary(F.concat(standard, F.repeat(F.lit("="), F.pmod(-F.length(standard), F.lit(4)))), F.lit("base64")))
-        decoded = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-        direct = F.lower(F.regexp_extract(value, web, 1))
-        inner = F.lower(F.regexp_extract(F.coalesce(decoded, F.lit("")), web, 1))
-        host = F.rtrim(F.when(direct != "", direct).otherwise(inner), F.lit("."))
-        return F.when(F.lower(key).isin(*REDIRECT_KEYS) & (host != ""), F.struct(key.alias("key"), host.alias("host"), (direct == "").alias("encoded")))
+        found_ = let(let(value, target), lambda t: F.when(t["host"] != "", F.struct(key.alias("key"), t["host"].alias("host"), t["encoded"].alias("encoded"))))
+        return F.when(F.lower(key).isin(*REDIRECT_KEYS), found_)
 
     return F.get(F.filter(F.transform(F.split(query, "&"), resolve), lambda x: x.isNotNull()), F.lit(0))
 
 
+@without_call_sites
 def with_links(df: DataFrame, url: str = "url", into: str = "link") -> DataFrame:
     """df with a struct column: url, normalized_url, host, registrable_domain, score, risk, findings."""
     df = df.withColumn("_p", parts(F.col(url)))
@@ -165,12 +182,12 @@ def with_links(df: DataFrame, url: str = "url", into: str = "link") -> DataFrame
     query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
     path = F.when(p["path"] == "", "/").otherwise(p["path"])
     df = df.withColumn("_u", F.when(p["scheme"] == "", F.btrim(F.col(url))).otherwise(F.concat(p["scheme"], F.lit("://"), user, shown, port, path, query)))
-    df = df.withColumn("_ip", F.coalesce(canonical_ipv4(host), F.when(is_ip(host), host)))
+    df = df.withColumn("_o", canonical_ipv4(host)).withColumn("_ip", F.coalesce("_o", F.when(is_ip(host), host)))
     df = df.withColumn("_r", redirect(p["query"])).withColumn("_b", brand_hits(host, F.col("_n")))
     decoded = F.lower(percent_decoded(F.concat(path, F.lit("?"), p["query"])))
     df = df.withColumn("_t", F.array_sort(F.array_distinct(F.regexp_extract_all(decoded, F.lit("(" + "|".join(TERMS) + ")"), F.lit(0)))))
     n, ip, red, brand, terms = F.col("_n"), F.col("_ip"), F.col("_r"), F.col("_b"), F.col("_t")
-    obfuscated = canonical_ipv4(host)
+    obfuscated = F.col("_o")
     written = scripts(n["decoded"])
     hidden = controls(n["decoded"])
     short = reduce(lambda a, b: a | b, (F.endswith(host, F.lit("." + s)) for s in SHORTENERS), host.isin(*SHORTENERS))
@@ -216,7 +233,7 @@ def with_links(df: DataFrame, url: str = "url", into: str = "link") -> DataFrame
         F.col(url).alias("url"), F.when(bad, F.col(url)).otherwise(F.col("_u")).alias("normalized_url"), F.when(bad, "").otherwise(host).alias("host"),
         F.when(bad, "").otherwise(outer).alias("registrable_domain"), F.col("_s").alias("score"), risk_label(F.col("_s")).alias("risk"), F.col("_f").alias("findings"),
     )
-    return df.withColumn(into, link).drop("_p", "_h", "_n", "_u", "_ip", "_r", "_b", "_t", "_f", "_s")
+    return df.withColumn(into, link).drop("_p", "_h", "_n", "_u", "_o", "_ip", "_r", "_b", "_t", "_f", "_s")
 
 
 def visible_destination(label: Column) -> Column:

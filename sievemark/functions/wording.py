@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import FINDINGS, finding, found, redacted
+from .base import FINDINGS, finding, found, redacted, without_call_sites
 from .packs import CONTENT_RULES, GENERIC_RULES, LANGUAGE_MARKERS, LANGUAGES, NEGATIONS, REGIONS, SCRIPT_HINTS, TACTIC_RULES
 
 #: Characters of a message that rules read, before a match that negation reads, and of a match that is shown.
@@ -162,7 +162,7 @@ HTML_CHECKS = (
 
 def html_findings(plain_html: Column) -> Column:
     """Findings in HTML whose entities are decoded."""
-    clean = F.regexp_replace(plain_html, r"[​-‏‪-‮⁠-⁯﻿]", "")
+    clean = F.regexp_replace(plain_html, r"[\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]", "")
     made = []
     for code, title, points, pattern in HTML_CHECKS:
         hit = F.regexp_substr(clean, F.lit("(?is)" + pattern))
@@ -244,6 +244,7 @@ def validate() -> list[str]:
     return problems
 
 
+@without_call_sites
 def with_wording(df: DataFrame, subject: str = "subject", body: str = "body_text", into: str = "wording") -> DataFrame:
     """df with a struct of everything that subject and body say: rules, findings, scores, languages, regions, indicators."""
     from .similarity import text_views
