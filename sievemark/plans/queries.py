@@ -87,7 +87,7 @@ SELECT page_id, registrable_domain, CAST(score AS INTEGER) AS score, CASE WHEN s
 
 def url_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fires."""
-    return _links(spark, sf_dir).select(F.explode("findings").alias("f")).groupBy(F.col("f.code").alias("code")).agg(F.count("*").alias("n"), F.sum("f.points").alias("points"))
+    return _links(spark, sf_dir).select(F.explode_outer("findings").alias("f")).where("f IS NOT NULL").groupBy(F.col("f.code").alias("code")).agg(F.count("*").alias("n"), F.sum("f.points").alias("points"))
 
 
 PACKED = "((page_id * 65537 + 16909060) % 4294967296)"
@@ -96,7 +96,7 @@ PACKED = "((page_id * 65537 + 16909060) % 4294967296)"
 def url_obfuscated_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses written as one number, in dotted form, and whether they are public."""
     pages = _table(spark, sf_dir, "pages").selectExpr("page_id", f"concat('https://', {PACKED}, '/') AS url")
-    link = with_links(pages, "url").select("page_id", F.explode("link.findings").alias("f")).where("f.code = 'OBFUSCATED_IP'")
+    link = with_links(pages, "url").select("page_id", F.explode_outer("link.findings").alias("f")).where("f.code = 'OBFUSCATED_IP'")
     return link.select("page_id", F.element_at(F.split("f.evidence", " -> "), 2).alias("address"))
 
 
@@ -146,7 +146,7 @@ _PATTERNS = [(r[0], re.sub(r"\(\?![^()]*(?:\([^()]*\))*[^()]*\)$", "", r[6])) fo
 def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each wording rule holds in templated messages; negated matches don't count."""
     lures = _table(spark, sf_dir, "orders").selectExpr(f"{LURE_SQL} AS text")
-    return with_rules(lures, "text").select(F.explode("_rules.rule_id").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return with_rules(lures, "text").select(F.explode_outer("_rules.rule_id").alias("rule_id")).where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 def _quoted(text: str) -> str:
@@ -235,7 +235,7 @@ REPLY_SQL = _case("c_custkey", ["''", "concat('x@corp', c_custkey % 5, '.example
 def header_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often sender checks fire on templated headers."""
     rows = _table(spark, sf_dir, "customer").selectExpr(f"map('from', {FROM_SQL}, 'reply-to', {REPLY_SQL}, 'message-id', CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('<', c_custkey, '@corp.example.com>') END, 'in-reply-to', CASE WHEN c_custkey % 5 = 0 THEN '<a@b>' ELSE '' END) AS headers")
-    return with_headers(rows).select(F.explode("sender.findings").alias("f")).groupBy(F.col("f.code").alias("code")).agg(F.count("*").alias("n"), F.sum("f.points").alias("points"))
+    return with_headers(rows).select(F.explode_outer("sender.findings").alias("f")).where("f IS NOT NULL").groupBy(F.col("f.code").alias("code")).agg(F.count("*").alias("n"), F.sum("f.points").alias("points"))
 
 
 HEADER_SQL = """

@@ -148,11 +148,14 @@ def _assembled(df: DataFrame, keep: list[str], feeds: bool) -> DataFrame:
 
 
 def finding_rows(results: DataFrame) -> DataFrame:
-    """Every finding as a row: message_id, scope (message, link, attachment), scope_ordinal, ordinal and its fields."""
-    message = results.select("message_id", F.lit("message").alias("scope"), F.lit(0).alias("scope_ordinal"), F.posexplode("findings").alias("ordinal", "f"))
-    link = results.select("message_id", F.explode("links").alias("x")).select("message_id", F.lit("link").alias("scope"), F.col("x.ordinal").alias("scope_ordinal"), F.posexplode("x.findings").alias("ordinal", "f"))
-    files = results.select("message_id", F.posexplode("attachments").alias("n", "x")).select("message_id", F.lit("attachment").alias("scope"), F.col("n").alias("scope_ordinal"), F.posexplode("x.findings").alias("ordinal", "f"))
-    return message.unionByName(link).unionByName(files).select("message_id", "scope", "scope_ordinal", "ordinal", "f.*")
+    """Every finding as a row: message_id, scope (message, link, attachment), scope_ordinal, ordinal and its fields.
+
+    The outer forms of explode keep the optimizer from repeating the expressions behind an array in filters on its size.
+    """
+    message = results.select("message_id", F.lit("message").alias("scope"), F.lit(0).alias("scope_ordinal"), F.posexplode_outer("findings").alias("ordinal", "f"))
+    link = results.select("message_id", F.explode_outer("links").alias("x")).select("message_id", F.lit("link").alias("scope"), F.col("x.ordinal").alias("scope_ordinal"), F.posexplode_outer("x.findings").alias("ordinal", "f"))
+    files = results.select("message_id", F.posexplode_outer("attachments").alias("n", "x")).select("message_id", F.lit("attachment").alias("scope"), F.col("n").alias("scope_ordinal"), F.posexplode_outer("x.findings").alias("ordinal", "f"))
+    return message.unionByName(link).unionByName(files).where("f IS NOT NULL").select("message_id", "scope", "scope_ordinal", "ordinal", "f.*")
 
 
 def summary_cube(results: DataFrame) -> DataFrame:
