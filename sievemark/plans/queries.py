@@ -171,7 +171,7 @@ def category_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ARGMAX_SQL = """
 WITH c AS (SELECT l_orderkey, concat('c', l_suppkey % 3) AS category, sum(l_partkey % 5) AS points, min(l_linenumber) AS first FROM lineitem GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY points DESC, first) AS r FROM c)
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY points DESC, first, category) AS r FROM c)
 SELECT category AS classification, count(*) AS orders, CAST(sum(points) AS BIGINT) AS points FROM k WHERE r = 1 GROUP BY category
 """
 DIMS = {"sender_authenticity": "l_partkey % 101", "message_intent": "l_suppkey % 101", "destination_risk": "(l_orderkey * 7) % 101", "payload_risk": "(l_linenumber * 13) % 101"}
@@ -192,9 +192,12 @@ SELECT CASE WHEN score >= 75 THEN 'high' WHEN score >= 50 THEN 'likely_phishing'
 """
 
 
+SAMPLE_SQL = "concat(" + _case("n_nationkey", ["'small widget'", "'cold bolt'", "'large gear'", "'hot nut'"]) + ", ' ', n_nationkey)"
+
+
 def ngram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names and nation names whose character n-grams are alike."""
-    rows = cosine_rows(_table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t")), _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("t")), "p_partkey", "n_nationkey", "t")
+    """Part names and templated samples whose character n-grams are alike."""
+    rows = cosine_rows(_table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("t")), _table(spark, sf_dir, "nation").selectExpr("n_nationkey", f"{SAMPLE_SQL} AS t"), "p_partkey", "n_nationkey", "t")
     return rows.select("p_partkey", "n_nationkey", F.round("cosine", 6).alias("cosine"))
 
 
@@ -204,7 +207,7 @@ def _grams(key: str, column: str, source: str) -> str:
 
 
 COSINE_SQL = f"""
-WITH {_grams('p_partkey', 'p_name', 'part')}, {_grams('n_nationkey', 'n_name', 'nation')},
+WITH {_grams('p_partkey', 'p_name', 'part')}, {_grams('n_nationkey', SAMPLE_SQL, 'nation')},
 a AS (SELECT k, sqrt(sum(n * n)) AS norm FROM part_g GROUP BY k), b AS (SELECT k, sqrt(sum(n * n)) AS norm FROM nation_g GROUP BY k),
 d AS (SELECT p.k AS x, q.k AS y, sum(p.n * q.n) AS dot FROM part_g p JOIN nation_g q USING (gram) GROUP BY ALL)
 SELECT x AS p_partkey, y AS n_nationkey, round(dot / (a.norm * b.norm), 6) AS cosine FROM d JOIN a ON a.k = x JOIN b ON b.k = y

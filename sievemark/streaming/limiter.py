@@ -44,7 +44,7 @@ def limited(events: DataFrame, client: str, ts: str, event: str, limit: int = LI
                 accepted += ok
             yield frame.drop(columns=["_c", "_t"]).assign(accepted=accepted)
 
-    rows = events.select(client, event, ts, F.coalesce(F.col(client).cast("string"), F.lit("")).alias("_c"), F.unix_micros(ts).cast("double").alias("_t")).withColumn("_t", F.col("_t") / 1e6)
+    rows = events.select(client, event, ts, F.coalesce(F.col(client).cast("string"), F.lit("")).alias("_c"), F.unix_micros(F.col(ts).cast("timestamp")).cast("double").alias("_t")).withColumn("_t", F.col("_t") / 1e6)
     return rows.repartition("_c").sortWithinPartitions("_c", "_t", event).mapInPandas(decide, shape)
 
 
