@@ -37,7 +37,8 @@ def with_hits(df: DataFrame, text: str, patterns: list[str], into: str, negatabl
         return df
     before = [F.when(F.get(F.col(into), F.lit(i)).isNotNull(), F.right(F.split(F.col(text), FLAGS + p, 2)[0], F.lit(NEGATION_CHARS))) for i, p in enumerate(patterns)]
     df = df.withColumn("_before", F.array(*before))
-    kept = F.transform(into, lambda m, i: F.when(~F.coalesce(F.get(F.col("_before"), i), F.lit("")).rlike(NEGATION), m))
+    # both arrays are arguments: a column that only a lambda's body names would be computed anew for each element
+    kept = F.zip_with(into, "_before", lambda m, b: F.when(~F.coalesce(b, F.lit("")).rlike(NEGATION), m))
     return df.withColumn(into, kept).drop("_before")
 
 
@@ -49,7 +50,7 @@ def _rows(names: str, rows: list[tuple]) -> Column:
 
 def _held(constants: Column, hits: str, shown: int) -> Column:
     """Of the constant rows those whose pattern hit, with its match as evidence."""
-    return F.filter(F.transform(constants, lambda r, i: F.when(F.get(F.col(hits), i).isNotNull(), r.withField("evidence", F.left(F.get(F.col(hits), i), F.lit(shown))))), lambda r: r.isNotNull())
+    return F.filter(F.zip_with(constants, F.col(hits), lambda r, m: F.when(m.isNotNull(), r.withField("evidence", F.left(m, F.lit(shown))))), lambda r: r.isNotNull())
 
 
 def with_rules(df: DataFrame, text: str, into: str = "_rules") -> DataFrame:
@@ -192,10 +193,11 @@ def with_language_scores(df: DataFrame, folded: str, text: str, into: str = "_sp
     df = df.withColumn("_counts", F.array(*(count(c) + hint(c) for c in LANGUAGE_MARKERS))).drop("_padded")
     codes = list(LANGUAGE_MARKERS)
     of = lambda code: F.get(F.col("_counts"), F.lit(codes.index(code)))
-    df = df.withColumn("_han", F.col(text).rlike("[\u3400-\u9fff]") & (of("zh-Hans") == 0) & (of("zh-Hant") == 0))
-    df = df.withColumn("_arabic", F.col(text).rlike("[\u0600-\u06ff]") & (of("ar") == 0) & (of("ur") == 0))
-    score = lambda x, i: F.struct(x.alias("code"), F.when((x == "zh-Hans") & F.col("_han") | (x == "ar") & F.col("_arabic"), 1).otherwise(F.get(F.col("_counts"), i)).alias("score"))
-    return df.withColumn(into, F.filter(F.transform(F.array(*map(F.lit, codes)), score), lambda x: x["score"] > 0)).drop("_counts", "_han", "_arabic")
+    han = F.col(text).rlike("[\u3400-\u9fff]") & (of("zh-Hans") == 0) & (of("zh-Hant") == 0)
+    arabic = F.col(text).rlike("[\u0600-\u06ff]") & (of("ar") == 0) & (of("ur") == 0)
+    guessed = {"zh-Hans": F.when(han, 1).otherwise(of("zh-Hans")), "ar": F.when(arabic, 1).otherwise(of("ar"))}
+    listed = F.array(*(F.struct(F.lit(c).alias("code"), guessed.get(c, of(c)).alias("score")) for c in codes))
+    return df.withColumn(into, F.filter(listed, lambda x: x["score"] > 0)).drop("_counts")
 
 
 def languages(scores: Column) -> Column:

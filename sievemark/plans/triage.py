@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import FINDINGS, capped, finding, found, points, risk_label, without_call_sites
+from ..functions.base import FINDINGS, capped, finding, found, let, points, risk_label, without_call_sites
 from ..functions.scoring import confidence, triage_score
 from ..functions.urls import same_site, visible_destination, with_links
 from ..functions.unicode import unescaped
@@ -71,7 +71,7 @@ def analyze(messages: DataFrame, content: str = "content", trusted: tuple[str, .
     known = feed is not None
     df = df.withColumn("_links", F.coalesce(_ranked("_links", "_apart"), F.array().cast(_link_type(df))))
     df = df.withColumn("_top", F.slice(F.transform(F.array_sort(F.transform("_links", lambda x: F.struct((-x["rank_score"]).alias("r"), x["ordinal"].alias("o")))), lambda x: x["o"]), 1, SELECTED))
-    df = df.withColumn("_links", F.transform("_links", lambda x: _selected(x, F.array_contains("_top", x["ordinal"]))))
+    df = df.withColumn("_links", let(F.col("_top"), lambda top: F.transform("_links", lambda x: _selected(x, F.array_contains(top, x["ordinal"])))))
     return _assembled(df, keep or [], known)
 
 
@@ -82,7 +82,7 @@ def _link_type(df: DataFrame) -> str:
 
 def _ranked(links: str, apart: str) -> Column:
     shown_wrong = F.transform(apart, lambda m: F.lower(m["actual"]))
-    return F.transform(links, lambda x: x.withField("rank_score", F.least(F.lit(100), x["score"] + F.when(F.array_contains(shown_wrong, F.lower(x["url"])), 25).otherwise(0)).cast("int")))
+    return let(shown_wrong, lambda wrong: F.transform(links, lambda x: x.withField("rank_score", F.least(F.lit(100), x["score"] + F.when(F.array_contains(wrong, F.lower(x["url"])), 25).otherwise(0)).cast("int"))))
 
 
 def _selected(x: Column, chosen: Column) -> Column:
