@@ -4,9 +4,12 @@ Texts with the same set of word shingles form a class; classes, not documents,
 are compared. Band keys of the signatures gather classes in buckets, and no
 bucket ever emits all its pairs:
 
-* Contracting rounds: in each bucket one member of every component so far is
-  paired with the bucket's pivot. Pairs that hold merge components, so a
-  bucket of thousands of near copies costs about one pair for each copy.
+* Contracting rounds: each class is paired with the pivot that it meets in most
+  buckets, then in each bucket one member of every component so far with the
+  largest component's. A bucket's pivot is its most central member, the one
+  that meets most others over all its buckets: among copies edited in different
+  places that is the text they were made from. Pairs that hold merge
+  components, so thousands of near copies cost about one pair each.
 * A closing round: buckets that still hold several components pair every
   member outside the largest one with the members of other components. Any
   link between two components has an end outside the largest, so none is lost.
@@ -16,7 +19,7 @@ signature: with a uniform prior the posterior probability that the similarity
 reaches the threshold after m of n equal hashes is a binomial tail, and the
 pair is dropped once that falls below ``MISS``. What survives is counted on the
 full sets. A link at the threshold goes unseen with a probability of about
-``(1 - threshold ** ROWS) ** BANDS``, 1.3e-6, plus those chosen bounds.
+``(1 - threshold ** ROWS) ** BANDS``, 7e-7, plus those chosen bounds.
 
 Null texts and texts without words have empty sets and link with nothing;
 repeated rows and equal keys are kept, each with its result; null keys have no
@@ -39,8 +42,8 @@ from .common import materialize, table, text_or_empty
 from .components import components
 
 WORDS, THRESHOLD = 5, 75
-BANDS, ROWS, STEP, MISS = 50, 5, 25, 1e-5
-#: Least number of shared bands: at the threshold a pair has fewer with a probability of 2.2e-5.
+BANDS, ROWS, STEP, MISS = 72, 6, 27, 1e-5
+#: Least number of shared bands: at the threshold a pair has fewer with a probability of 1.2e-5.
 LEAST_BANDS = 2
 CONTRACTIONS = 4
 #: Bits of the filter that keeps texts without candidates out of the shuffle; its size never changes.
@@ -202,8 +205,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     rows = materialize(signed(docs, key, text, words), "near-signed")
     classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     bands = banded(classes)
-    crowded = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("cls").alias("pivot")).where("members > 1")
-    multi = materialize(bands.join(crowded.select("bucket", "pivot"), "bucket"), "near-buckets")
+    crowded = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    multi = materialize(bands.join(crowded, "bucket"), "near-buckets")
+    met = multi.groupBy("cls").agg(F.sum("members").alias("met"))
+    central = multi.join(met, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("met", "cls")).alias("pivot"))
+    pivots = materialize(central, "near-pivots")
     needed = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi").where("rep IS NOT NULL"), "near-needed")
     texts = materialize(needed_texts(docs, needed, key, text, words), "near-texts")
 
@@ -222,12 +228,12 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         links = found if links is None else links.unionByName(found)
         comp = materialize(components(links), "near-components")
         named = multi.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-        member = materialize(named.select("bucket", "cls", "pivot", F.coalesce("component", "cls").alias("comp")), "near-members")
+        member = materialize(named.select("bucket", "cls", F.coalesce("component", "cls").alias("comp")), "near-members")
         return True
 
     for turn in range(CONTRACTIONS):
         if turn == 0:
-            shared = multi.where("cls != pivot").groupBy("cls", "pivot").count().where(F.col("count") >= LEAST_BANDS)
+            shared = multi.select("bucket", "cls").join(pivots, "bucket").where("cls != pivot").groupBy("cls", "pivot").count().where(F.col("count") >= LEAST_BANDS)
             best = shared.groupBy("cls").agg(F.max_by("pivot", F.struct("count", F.hash("pivot"))).alias("pivot"))
             pairs = best.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
         else:
