@@ -49,6 +49,8 @@ IDENTITY = (
     ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "inmigrantes"),
 )
 SWAPS = {term: terms[:i][::-1] + terms[i + 1 :] for terms in IDENTITY for i, term in enumerate(terms)}
+#: Rows that are scored and passed on at a time.
+ROWS = 500
 #: Counterfactual copies of a text, at most; each swaps all its terms.
 COPIES = 3
 
@@ -166,17 +168,19 @@ def logistic(rows: list[list[int]], y: np.ndarray, copies: list[tuple[int, list[
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """key (and the columns in keep), score and predicted of each row."""
     known = model.weights.keys()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            logits = [model.logit(known & words_of(x.as_py())) for x in batch.column(batch.num_columns - 1)]
-            scores = [0.0 if z < -700 else 1 / (1 + math.exp(-z)) for z in logits]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
-
     kept = [key, *(c for c in keep or [] if c != key)]
     names = [f"c{i}" for i in range(len(kept))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), text_or_empty(text).alias("t"))
+    carried = kept.index(text) if text in kept else None  # then the text travels once
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                logits = [model.logit(known & words_of(x.as_py() or "")) for x in batch.column(len(kept) if carried is None else carried)]
+                scores = [0.0 if z < -700 else 1 / (1 + math.exp(-z)) for z in logits]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores, pa.float64())], names=[*names, "score"])
+
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), *([text_or_empty(text).alias("t")] if carried is None else []))
     shape = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True))
     out = rows.mapInArrow(scored, f"{shape}, score double")
     return out.select(*(F.col(n).alias(c) for c, n in zip(kept, names, strict=True)), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
