@@ -23,7 +23,7 @@ from sievemark.llm.common import materialize, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=~toxicity.held_out())
-    scored = toxicity.score(docs.withColumn("__text", F.col("text")), model, text="__text", keep=docs.columns)
+    scored = toxicity.score(docs, model, keep=docs.columns)
     return scored.where(F.col("predicted") == 0).select(*docs.columns)
 
 
