@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import key_filter, materialize, maybe_in, table, text_or_empty
 
-LENGTH, GRAM, CROWDED = 200, 40, 512
+LENGTH, GRAM, CROWDED, STRETCH = 200, 40, 512, 16
 #: Bytes hashed together, and symbols of a suffix array's text.
 LOT, TEXT = 1 << 18, 1 << 18
 
@@ -149,7 +149,7 @@ class Suffixes:
 
 
 def factors(text: np.ndarray, least: int, later: bool = False) -> np.ndarray:
-    """Longest previous factor at each place (with later, the longest factor that starts again further on); lengths under least count as 0."""
+    """Longest previous factor at each place (with later, the longest factor that starts again further on); lengths under least count as 0, and longer ones are told from it only."""
     suffixes = Suffixes(text, least)
     order, n = suffixes.order, len(text)
     out = np.zeros(n, dtype=np.int64)
@@ -292,28 +292,63 @@ def by_factors(segs: DataFrame, length: int, keep: str) -> DataFrame:
     return placed.select("anchor", "seg", "data", "n").mapInArrow(rows, f"anchor long, seg long, runs {RUNS}")
 
 
-def by_windows(segs: DataFrame, length: int, keep: str) -> DataFrame:
-    """The same for crowded anchors: windows counted by their hashes."""
+def by_windows(segs: DataFrame, length: int, keep: str, gram: int) -> DataFrame:
+    """The same for crowded anchors, by counting hashes: first of stretches of ``STRETCH`` windows, then of single windows.
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Stretches start at fixed distances from the anchor, so those inside a
+    passage are equal in all segments and settled at once. Of equal stretches
+    one goes on, and only its windows are hashed one by one.
+    """
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                lists = [rolling(np.frombuffer(x.as_py(), dtype=np.uint8), length) for x in part.column(5)]
+                own, offs, sizes, subs, cut = [], [], [], [], []
+                for i, value in enumerate(part.column(5)):
+                    data = value.as_py()
+                    n = len(data) - length + 1
+                    hashes = rolling(np.frombuffer(data[:length], dtype=np.uint8), gram) & np.uint64(~0xFFFFF & (1 << 64) - 1)
+                    first = 0
+                    end = int(hashes.argmin()) % STRETCH + 1  # windows up to a multiple of STRETCH before the anchor
+                    while first < n:
+                        stop = min(end, n)
+                        text = data[first : stop - 1 + length]
+                        own.append(i)
+                        offs.append(first)
+                        sizes.append(stop - first)
+                        subs.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                        cut.append(text)
+                        first, end = stop, end + STRETCH
+                places = pa.array(own)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(places) for c in range(5)), pa.array(offs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(subs, pa.int64()), pa.array(cut, pa.binary())], names=["anchor", "seg", "n", "k", "start", "off", "size", "sub", "text"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                lists = [rolling(np.frombuffer(x.as_py(), dtype=np.uint8), length) for x in part.column(6)]
                 own = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in lists]))
-                columns = [part.column(i).take(own) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])), pa.array(np.concatenate(lists).view(np.int64))], names=["anchor", "seg", "n", "k", "start", "off", "window"])
+                offs = part.column(5).take(own).to_numpy() + np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(own) for c in range(5)), pa.array(offs.astype(np.int32)), pa.array(np.concatenate(lists).view(np.int64))], names=["anchor", "seg", "n", "k", "start", "off", "window"])
 
     kind = segs.schema["k"].dataType.simpleString()
-    windows = segs.select("anchor", "seg", "n", "k", "start", "data").mapInArrow(hashed, f"anchor long, seg long, n long, k {kind}, start int, off int, window long")
-    counts = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min(F.struct("k", (F.col("start") + F.col("off")).alias("at"))).alias("first"))
+    place = F.struct("k", (F.col("start") + F.col("off")).alias("at"))
+    is_first = F.expr("first.k <=> k AND first.at = start + off")
+    cut = segs.select("anchor", "seg", "n", "k", "start", "data").mapInArrow(stretches, f"anchor long, seg long, n long, k {kind}, start int, off int, size int, sub long, text binary")
+    equal = cut.groupBy("anchor", "sub").agg(F.sum("n").alias("total"), F.min(place).alias("first"))
+    known = materialize(cut.join(equal, ["anchor", "sub"]), "suffix-stretches")
+    settled = known.where((F.col("total") > 1) if keep == "none" else ~is_first)
+    whole = settled.select("anchor", "seg", F.col("off").alias("from"), (F.col("off") + F.col("size") - 1 + length).cast("int").alias("to"))
+    windows = known.where(is_first).select("anchor", "seg", F.col("total").alias("n"), "k", "start", "off", "text").mapInArrow(hashed, f"anchor long, seg long, n long, k {kind}, start int, off int, window long")
+    counts = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min(place).alias("first"))
     if keep == "none":
-        again = windows.join(counts.where("total > 1").select("anchor", "window"), ["anchor", "window"])
+        again = windows.where("n = 1").join(counts.where("total > 1").select("anchor", "window"), ["anchor", "window"])
     else:
-        again = windows.join(counts, ["anchor", "window"]).where("NOT (first.k <=> k AND first.at = start + off)")
-    grouped = again.groupBy("anchor", "seg").agg(F.collect_set("off").alias("offs"))
-    # at most length - GRAM + 1 windows share a segment
-    return grouped.select("anchor", "seg", F.transform("offs", lambda o: F.struct(o.alias("from"), (o + length).alias("to"))).alias("runs"))
+        again = windows.join(counts, ["anchor", "window"]).where(~is_first)
+    single = again.select("anchor", "seg", F.col("off").alias("from"), (F.col("off") + length).cast("int").alias("to"))
+    # at most length - gram + 1 windows share a segment
+    return whole.unionByName(single).groupBy("anchor", "seg").agg(F.collect_set(F.struct("from", "to")).alias("runs"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", gram: int = GRAM) -> DataFrame:
@@ -325,7 +360,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", gram: in
     several = segs.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     chosen = segs.join(several, "anchor").select("anchor", "seg", "n", "m", "first.*")
     found = contexts(docs, chosen, length)
-    partial = by_factors(found.where(F.col("m") <= CROWDED), length, keep).unionByName(by_windows(found.where(F.col("m") > CROWDED), length, keep)).where(F.size("runs") > 0)
+    partial = by_factors(found.where(F.col("m") <= CROWDED), length, keep).unionByName(by_windows(found.where(F.col("m") > CROWDED), length, keep, gram)).where(F.size("runs") > 0)
     whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("end") - F.col("start") + length).alias("to"))).cast(RUNS)
     marked = occ.join(segs.select("anchor", "seg", "n", "first"), ["anchor", "seg"]).join(partial, ["anchor", "seg"], "left")
     if keep == "none":
