@@ -359,3 +359,25 @@ def test_wand_equals_sums(docs):
                 total[int(p)] += w * i
         got = [s for s, _ in shard.wand(terms, weights, 5)]
         assert np.allclose(got, sorted(total.values(), reverse=True)[:5])
+
+
+def test_bm25_asks_with_whole_texts(spark, docs, tmp_path):
+    table = docs.dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id") * 20).repartition(3)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_bm25(texts_of(table), None, 10)
+    got = sorted((r.query_id, r.rank, r.score) for r in bm25.query(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
+
+
+def test_sums_over_postings_and_matrix_agree(docs, monkeypatch):
+    own = bm25.index(docs.repartition(1)).first()
+    found = []
+    for common in (0.0, 0.2, 1.0):
+        monkeypatch.setattr(bm25, "COMMON", common)
+        shard = bm25.Shard(own["keys"], own.terms, own.starts, own.places, own.counts, own.lengths, 50.0)
+        r = random.Random(6)
+        lists = [r.sample(range(len(shard.terms)), n) for n in (1, 40, 0, 150)]
+        terms = np.array([shard.terms[t] for x in lists for t in x])
+        weights = np.array([r.random() * 3 for _ in terms])
+        found.append(list(shard.search([-1, -2, -3, -4], np.cumsum([0, *map(len, lists)]), terms, weights, 5)))
+    assert {q for q, _, _ in found[0]} == {-1, -2, -4} and found[0] == found[1] == found[2]
