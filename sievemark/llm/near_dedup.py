@@ -18,8 +18,9 @@ A pair is first judged by its number of shared bands, then by batches of its
 signature: with a uniform prior the posterior probability that the similarity
 reaches the threshold after m of n equal hashes is a binomial tail, and the
 pair is dropped once that falls below ``MISS``. What survives is counted on the
-full sets. A link at the threshold goes unseen with a probability of about
-``(1 - threshold ** ROWS) ** BANDS``, 7e-7, plus those chosen bounds.
+full sets. A link at the threshold goes unseen with a probability below 2e-5:
+1.2e-5 for fewer than ``LEAST_BANDS`` shared bands, and 6e-6 for being dropped
+at any of the looks at its signature.
 
 Null texts and texts without words have empty sets and link with nothing;
 repeated rows and equal keys are kept, each with its result; null keys have no
@@ -42,7 +43,7 @@ from .common import materialize, table, text_or_empty
 from .components import components
 
 WORDS, THRESHOLD = 5, 75
-BANDS, ROWS, STEP, MISS = 72, 6, 27, 1e-5
+BANDS, ROWS, STEP, MISS = 72, 6, 27, 5e-7
 #: Least number of shared bands: at the threshold a pair has fewer with a probability of 1.2e-5.
 LEAST_BANDS = 2
 CONTRACTIONS = 4

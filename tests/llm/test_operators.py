@@ -140,6 +140,20 @@ def test_least_matches():
     assert near_dedup.least_matches(25, 0.75, 1e-5) < near_dedup.least_matches(100, 0.75, 1e-5) < 75
 
 
+def test_links_at_the_threshold_are_seldom_missed():
+    """The exact chance, for independent hashes, to share too few bands or to be dropped at any look."""
+    s, step, bands = near_dedup.THRESHOLD / 100, near_dedup.STEP, near_dedup.BANDS
+    alive, more, dropped = np.ones(1), np.array([math.comb(step, i) * s**i * (1 - s) ** (step - i) for i in range(step + 1)]), 0.0
+    for n in range(step, bands * near_dedup.ROWS + 1, step):
+        alive = np.convolve(alive, more)
+        fewest = near_dedup.least_matches(n, s, near_dedup.MISS)
+        dropped += alive[:fewest].sum()
+        alive[:fewest] = 0
+    one = s**near_dedup.ROWS
+    unmet = sum(math.comb(bands, i) * one**i * (1 - one) ** (bands - i) for i in range(near_dedup.LEAST_BANDS))
+    assert dropped + unmet < 2e-5
+
+
 def repeated(texts, length, first):
     seen, starts = {}, []
     for d, t in enumerate(texts):
