@@ -6,7 +6,8 @@ phones. Words shortly before a span and after it raise its score; the kinds
 that the base rules name stay at any score, the further kinds (``iban``,
 ``account``) are kept from ``THRESHOLD`` on.
 
-Positions come from the text between matches: ``split`` and
+Words are looked for in the ``BEFORE`` characters before a span and the
+``AFTER`` behind it, whatever else is matched there. Positions come from the text between matches: ``split`` and
 ``regexp_extract_all`` walk through a text in the same way, so the running sum
 of their lengths is the place of each match, in code points, in linear time.
 The patterns are the base rules' with possessive repeats and borders added that
@@ -72,6 +73,13 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _following(matches: Column, gaps: Column, i: Column) -> Column:
+    """The text after match i, AFTER characters at least: a gap and the match behind it have two characters or more."""
+    short = lambda parts, at: F.left(F.coalesce(F.get(parts, at), F.lit("")), F.lit(AFTER))
+    near = F.transform(F.sequence(i + 1, i + AFTER // 2), lambda j: F.concat(short(gaps, j), short(matches, j)))
+    return F.when(F.length(F.get(gaps, i + 1)) >= AFTER, F.get(gaps, i + 1)).otherwise(F.array_join(near, ""))
+
+
 def _placed(kind: str, matches: Column, gaps: Column) -> Column:
     """array<struct<start, end, ok, score>> of all matches, in order."""
 
@@ -79,20 +87,22 @@ def _placed(kind: str, matches: Column, gaps: Column) -> Column:
         match, gap = F.get(matches, i), F.get(gaps, i)
         start = acc["at"] + F.length(gap)
         end = start + F.length(match)
-        near = F.right(gap, F.lit(BEFORE)).rlike(CONTEXT[kind]) | F.left(F.get(gaps, i + 1), F.lit(AFTER)).rlike(CONTEXT[kind])
+        before = F.right(F.concat(acc["tail"], F.right(gap, F.lit(BEFORE))), F.lit(BEFORE))
+        near = before.rlike(CONTEXT[kind]) | F.left(_following(matches, gaps, i), F.lit(AFTER)).rlike(CONTEXT[kind])
+        tail = F.concat(before, F.right(match, F.lit(BEFORE)))
         score = F.lit(SCORES[kind]) + F.when(near, RAISE).otherwise(0.0)
         ok = confirmed(kind, match) if kind in BASE else confirmed(kind, match) & (score >= THRESHOLD)
         span = F.struct(start.alias("start"), end.alias("end"), ok.alias("ok"), score.alias("score"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     def run(acc: Column, r: Column) -> Column:
-        own = F.aggregate(F.sequence(r * RUN, F.least(r * RUN + RUN, F.size(matches)) - 1), F.struct(acc["at"].alias("at"), empty.alias("out")), one)
-        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
+        own = F.aggregate(F.sequence(r * RUN, F.least(r * RUN + RUN, F.size(matches)) - 1), F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("out")), one)
+        return F.struct(own["at"].alias("at"), own["tail"].alias("tail"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
 
     span_type = "struct<start:int,end:int,ok:boolean,score:double>"
     empty = F.array().cast(f"array<{span_type}>")
     runs = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int"))
-    all_runs = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{span_type}>>").alias("out")), run)["out"]
+    all_runs = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<array<{span_type}>>").alias("out")), run)["out"]
     return F.when(F.size(matches) > 0, F.flatten(all_runs)).otherwise(empty)
 
 

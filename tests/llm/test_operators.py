@@ -226,6 +226,20 @@ def test_pii(spark, docs, empty):
     assert masked[0] is None and masked[13] == "mail [EMAIL] or 10.1.2.300 and [IP] card [CARD], [PHONE]" and masked[5] == BASE
 
 
+def test_pii_context_reaches_over_other_matches(spark):
+    r = random.Random(12)
+    pieces_ = ["account ", "12345678", "23456789", ", ", " ", "; konto: ", "words in between ", "é", "\n"]
+    texts = ["account 12345678, 23456789, 34567890", "12345678 23456789 ssn", "1234567890, 1234567891 account"] + ["".join(r.choice(pieces_) for _ in range(r.randint(1, 200))) for _ in range(150)]
+    word = re.compile(pii.CONTEXT["account"])
+    want = {}
+    for i, t in enumerate(texts):
+        spans = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9])[0-9]{8,12}(?![A-Za-z0-9])", t)]
+        want[i] = [f"account:{a}:{b}" for a, b in spans if word.search(t[max(a - 40, 0) : a]) or word.search(t[b : b + 20])]
+    got = {x.doc_id: [s for s in x.spans.split(",") if s.startswith("account")] for x in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want[0]) == 3 and len(want[1]) == 2 and got == want
+    assert pii.masked(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first().text == "account [ACCOUNT], [ACCOUNT], [ACCOUNT]"
+
+
 def test_warc(spark, empty, tmp_path):
     pages = spark.createDataFrame([(1, "u", "same"), (2, "u\r\nX: y", "same"), (3, None, None), (4, "u", "é" * 300_000), (5, "u", ""), (None, "u", "null key")], "page_id long, url string, html string")
     out = f"file://{tmp_path}/bundles"
