@@ -15,6 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sievemark.llm import bm25, flac, near_dedup, packing, pieces, pii, suffix_dedup, token_counts, toxicity, warc
 from sievemark.llm.common import materialize
 from sievemark.llm.wordcodes import parts
@@ -409,3 +410,51 @@ def test_sums_over_postings_and_matrix_agree(docs, monkeypatch):
         weights = np.array([r.random() * 3 for _ in terms])
         found.append(list(shard.search([-1, -2, -3, -4], np.cumsum([0, *map(len, lists)]), terms, weights, 5)))
     assert {q for q, _, _ in found[0]} == {-1, -2, -4} and found[0] == found[1] == found[2]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, k string, bucket int"
+
+
+def rows_of(pairs):
+    return [(k, t, "x", "s", 0, "clash", 7) for k, t in pairs]
+
+
+def test_pipeline(spark, tmp_path):
+    """run() and its stages against plain loops; ASCII texts, so that bytes are characters."""
+    from tokenizers import Tokenizer
+
+    ascii_ = lambda n, seed: re.sub("[^ -~\n]", "e", prose(n, seed))
+    base, passage = ascii_(120, 41), ascii_(60, 42)
+    clean = [None, "", " ", base, base, base + " tail end", ascii_(30, 43) + " " + passage + " " + ascii_(30, 44), ascii_(30, 45) + " " + passage, "mail a.b@c.example.com and 10.1.2.3", *(ascii_(20, 50 + i) for i in range(60))]
+    pairs = list(enumerate(clean)) + [(None, "a row without id")] + [(1000 + i, ascii_(20, 300 + i) + " scum idiot moron" * 2) for i in range(40)]
+    spark.createDataFrame(rows_of(pairs), COLUMNS).repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k >= 1000)) for k, _ in pairs if k is not None], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen.append(materialize(stage(spark, seen[-1], str(tmp_path)), "seen"))
+        assert seen[-1].columns == seen[0].columns and all(r.k == "clash" and r.bucket == 7 for r in seen[-1].collect())
+    pairs_of = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda p: (p[0] is not None, p[0] or 0))
+    after = [pairs_of(df) for df in seen]
+    assert after[1] == [p for p in after[0] if p[0] is None or p[0] < 1000]
+    sets, kept = [shingle_set(t or "") for _, t in after[1]], []
+    for i, (k, t) in enumerate(after[1]):  # groups here are cliques: the first of each stays
+        if k is None or not any(after[1][j][0] is not None and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in range(i)):
+            kept.append((k, t))
+    assert after[2] == kept and len(kept) == len(after[1]) - 2
+    cut = [x.decode() for x in repeated([(t or "").encode() for _, t in kept], 200, True)]
+    assert after[3] == [(k, t) for (k, _), t in zip(kept, cut, strict=True)] and sum(map(len, cut)) < sum(len(t or "") for _, t in kept)
+    assert after[4] == [(k, "mail [EMAIL] and [IP]" if k == 8 else t) for k, t in after[3]]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {k: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], dtype="<u4") for k, t in after[4]}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.start + r.length))
+    assert set(spans) == set(want) and all(np.concatenate([np.arange(*s) for s in sorted(own)]).tolist() == list(range(len(want[k]))) for k, own in spans.items())
+
+
+def test_pipeline_over_empty_tables(spark, docs, tmp_path):
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
