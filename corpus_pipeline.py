@@ -5,7 +5,7 @@ and what remains is packed into training sequences.
 Each stage takes the rows that its predecessor kept and all but the last return
 the columns of ``documents``. Null texts stay null through the filters and count
 as empty afterwards; rows with null ids are never called duplicates; repeated
-rows leave the second stage once; empty tables pass through; further columns
+rows with ids leave the second stage once; empty tables pass through; further columns
 are carried along.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import near_dedup, packing, pii, suffix_dedup, toxicity
-from sievemark.llm.common import materialize, table
+from sievemark.llm.common import materialize, table, text_or_empty
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_dedup.find(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialize(copies, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    # a row is known by id and text, as an id may stand on several; rows with null ids have no key
+    named = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text_or_empty()).alias("th"))))
+    copies = near_dedup.find(named, key="__key").where(~F.col("kept")).select("__key").distinct()
+    left = named.join(materialize(copies, "pipeline-copies"), "__key", "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return left.withColumn("__own", own).dropDuplicates(["doc_id", "text", "__own"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

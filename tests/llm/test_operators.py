@@ -419,6 +419,16 @@ def rows_of(pairs):
     return [(k, t, "x", "s", 0, "clash", 7) for k, t in pairs]
 
 
+def test_pipeline_near_duplicates_by_row(spark):
+    near = BASE + " tail end"
+    rows = [(1, BASE), (2, near), (2, prose(50, 31)), (3, prose(50, 32)), (3, prose(50, 32)), (None, prose(50, 33)), (None, prose(50, 33)), (None, near), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows_of(rows), COLUMNS).repartition(3)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    want = [(1, BASE), (2, rows[2][1]), (3, rows[3][1]), *rows[5:8], (4, None), (5, "")]
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     """run() and its stages against plain loops; ASCII texts, so that bytes are characters."""
     from tokenizers import Tokenizer
