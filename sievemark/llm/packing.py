@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, table, text_or_empty
-from .wordcodes import groups, library, parts
+from .wordcodes import forget, groups, library
 
 LENGTH, GRAIN, END = 4096, 64, 2
 #: Rows in a ranking bucket, on average.
 BUCKET_ROWS = 20_000
+#: Rows of a batch that cutting passes on, or a little more.
+ROWS = 4096
 
 
 def cut(docs: DataFrame, tokenizer: str, length: int, grain: int, end: int, key: str, text: str) -> DataFrame:
@@ -49,39 +52,50 @@ def cut(docs: DataFrame, tokenizer: str, length: int, grain: int, end: int, key:
         words = library(tokenizer, "ids")
         closing = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            keys = batch.column(0)
-            at, n = 0, 0
-            rows: list[tuple] = []
+            at = 0
+            rows = Rows()
             for group in groups(batch.column(1).to_pylist()):
-                for whole, found in zip(group, words.split(group) if all(len(x) <= 2 << 20 for x in group) else [None] * len(group), strict=True):
-                    if found is None:
-                        ids = b"".join([words.known[x] for part in parts(whole) for x in words.split([part])[0]]) + closing
-                    else:
-                        ids = b"".join(map(words.known.__getitem__, found)) + closing
-                    total, start = len(ids) // 4, 0
-                    while start < total:
-                        left = total - start
-                        size = length if left >= length else left // grain * grain or left
-                        own = ids[4 * start : 4 * (start + size)]
-                        tail = size < grain
-                        rows.append((at, start, size, zlib.crc32(own), total, 0 if tail else size // grain, own if tail else None))
-                        start += size
+                coded = [words.of(group[0])] if len(group) == 1 else words.codes(group)  # a long text part by part
+                for own in coded:
+                    rows.add(at, b"".join(b"".join(x) for x in own) + closing if len(group) == 1 else b"".join(own) + closing, length, grain)
                     at += 1
-                words.forget_long()
-                if len(rows) >= 50_000:
-                    yield _batch(keys, rows)
-                    rows = []
-            if rows:
-                yield _batch(keys, rows)
+                if len(rows) >= ROWS:
+                    yield rows.batch(batch.column(0))
+                    rows = Rows()
+            if len(rows):
+                yield rows.batch(batch.column(0))
+        forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(pieces, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary")
 
 
-def _batch(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    at, start, size, crc, total, kind, ids = zip(*rows, strict=True)
-    columns = [keys.take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, size, crc, total)), pa.array(kind, pa.int32()), pa.array(ids, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["k", "start", "length", "ids_crc32", "doc_tokens", "class", "ids"])
+class Rows:
+    """Pieces on their way to Arrow: numbers in arrays, codes of tails in one buffer."""
+
+    def __init__(self):
+        self.numbers, self.tails, self.ends = array("q"), bytearray(), array("i", [0])
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def add(self, at: int, ids: bytes, length: int, grain: int) -> None:
+        total, start = len(ids) // 4, 0
+        while start < total:
+            left = total - start
+            size = length if left >= length else left // grain * grain or left
+            own = ids[4 * start : 4 * (start + size)]
+            self.numbers.extend((at, start, size, zlib.crc32(own), total, size // grain if size >= grain else 0))
+            if size < grain:
+                self.tails += own
+            self.ends.append(len(self.tails))
+            start += size
+
+    def batch(self, keys: pa.Array) -> pa.RecordBatch:
+        at, start, size, crc, total, kind = np.frombuffer(self.numbers, dtype=np.int64).reshape(-1, 6).T
+        tails = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(self.ends.tobytes()), pa.py_buffer(bytes(self.tails))])
+        columns = [keys.take(pa.array(at)), *(pa.array(x.copy()) for x in (start, size, crc, total)), pa.array(kind.astype(np.int32)), tails]
+        return pa.RecordBatch.from_arrays(columns, names=["k", "start", "length", "ids_crc32", "doc_tokens", "class", "ids"])
 
 
 def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
-from .wordcodes import Words
+from .wordcodes import Words, groups
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -41,6 +41,8 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Score of an unknown character below the worst piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
+#: Characters of texts that are cut in words together, or a little more.
+GROUP_CHARS = 1 << 19
 #: Cells of a batch's matrix.
 CELLS = 1 << 18
 
@@ -223,7 +225,7 @@ _WORDS: dict[tuple[str, int], tuple[Pieces, Words]] = {}
 def worker_words(path: str, method: int = 0) -> tuple[Pieces, Words]:
     if (path, method) not in _WORDS:
         pieces = Pieces.load(path)
-        _WORDS[path, method] = pieces, Words(lambda batch: [x.astype("<u4").tobytes() for x in segment(pieces, batch, method or None)], WORD)
+        _WORDS[path, method] = pieces, Words(lambda batch: [x.astype("<u4").tobytes() for x in segment(pieces, batch, method or None)], WORD.findall)
     return _WORDS[path, method]
 
 
@@ -266,12 +268,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = []
-                for value in part.column(1).to_pylist():
-                    ids.append(b"".join(map(words.known.__getitem__, words.split([normalized(pieces, value)])[0])) if len(value) > 1 << 20 else value)
-                short = [i for i, x in enumerate(ids) if isinstance(x, str)]
-                for i, found in zip(short, words.split([normalized(pieces, ids[i]) for i in short]), strict=True):
-                    ids[i] = b"".join(map(words.known.__getitem__, found))
-                words.forget_long()
+                for group in groups(part.column(1).to_pylist(), GROUP_CHARS):  # a long text ends its group
+                    ids += map(b"".join, words.codes([normalized(pieces, value) for value in group]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -13,13 +13,22 @@ batches, and a text's codes are those of its pieces joined. The pieces are:
 The next piece always starts where white space follows other characters or
 where a mark follows a letter. None of these places lies inside a special
 token's string, as those hold neither white space nor such marks.
+
+Where the tokenizer drops white space and folds case, pieces are words between
+white space in small letters, with marks behind them as words of their own.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+
+import numpy as np
+
+from .common import release
 
 #: Characters with the Unicode property White_Space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,11 +38,27 @@ PIECE = re.compile(f" ?[{LATIN}]+(?=[ \n{MARKS}])|[{MARKS}]+(?=[ \n])|[{WHITE}]*
 CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 #: Texts are grouped to about so many characters, and longer ones are cut in parts of at least that size.
-GROUP_CHARS = 1 << 20
-#: Pieces remembered by a worker; beyond that it starts anew.
-REMEMBERED = 400_000
+GROUP_CHARS = 1 << 19
+#: Pieces remembered by a worker (some 200 bytes each); beyond that it starts anew.
+REMEMBERED = 300_000
 #: Longer pieces aren't remembered.
 LONG_PIECE = 64
+#: Characters that go to the library in one call, so that its encodings stay small.
+LOT_CHARS = 1 << 17
+#: Pieces that are kept then: those met first.
+KEPT = 60_000
+#: Words that are encoded in one string.
+JOINED = 512
+#: The parts of a tokenizer file under which white space only parts words.
+NORMAL_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+NO_WHITE = re.compile(f"[^{WHITE}]+")
+#: Characters whose small letters or normal forms need the library.
+OTHERS = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u203a]")
+#: Marks before white space that may belong to what stands before them.
+APART = re.compile(f"(?<![{LATIN}0-9{WHITE}])[,.;:!?][ \n]")
+#: What str.split takes for white space and the property doesn't hold for.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def parts(text: str, size: int = GROUP_CHARS) -> Iterator[str]:
@@ -48,12 +73,12 @@ def parts(text: str, size: int = GROUP_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def groups(texts: Iterable[str], size: int = GROUP_CHARS) -> Iterator[list[str]]:
-    """Lists of texts of about ``size`` characters together."""
+def groups(texts: Iterable[str], size: int = GROUP_CHARS, sizes: Iterable[int] | None = None) -> Iterator[list[str]]:
+    """Lists of texts of about ``size`` characters together, or of what sizes counts for each."""
     group, total = [], 0
-    for text in texts:
+    for text, own in zip(texts, map(len, texts) if sizes is None else sizes, strict=True):
         group.append(text)
-        total += len(text)
+        total += own
         if total >= size:
             yield group
             group, total = [], 0
@@ -64,35 +89,48 @@ def groups(texts: Iterable[str], size: int = GROUP_CHARS) -> Iterator[list[str]]
 class Words:
     """Codes of pieces by a batch encoder, remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list], pattern: re.Pattern = PIECE):
-        self.encode, self.pattern, self.known = encode, pattern, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable], split: Callable[[str], list[str]] = PIECE.findall):
+        self.encode, self.split, self.known = encode, split, {}
+
+    def codes(self, texts: list[str]) -> list[list]:
+        """The codes of each piece of each text."""
+        found = [self.split(text) for text in texts]
+        known = self.known
+        out = [list(map(known.get, pieces)) for pieces in found]
+        holes = [[i for i, x in enumerate(own) if x is None] for own in out]
+        new = sorted({pieces[i] for pieces, own in zip(found, holes, strict=True) for i in own})
+        for group in groups(new, LOT_CHARS):
+            known.update(zip(group, self.encode(group), strict=True))
+        for pieces, own, row in zip(found, holes, out, strict=True):
+            for i in own:
+                row[i] = known[pieces[i]]
+        for piece in new:
+            if len(piece) > LONG_PIECE:
+                del known[piece]
+        if len(known) > REMEMBERED:  # what was met first is met often
+            self.known = dict(islice(known.items(), KEPT))
+        return out
+
+    def of(self, text: str) -> Iterator[list]:
+        """Codes of a text of any length, part by part."""
+        for part in parts(text):
+            yield from self.codes([part])
 
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """Pieces of each text, all of them known afterwards."""
-        found = [self.pattern.findall(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new: set[str] = set()
-        for pieces in found:
-            new |= set(pieces).difference(self.known)
-        if new:
-            for group in groups(sorted(new)):
-                self.known.update(zip(group, self.encode(group), strict=True))
-        return found
 
-    def forget_long(self) -> None:
-        for piece in [x for x in self.known if len(x) > LONG_PIECE]:
-            del self.known[piece]
+_WORDS: dict[tuple[str, str], Words] = {}
 
 
-_WORDS: dict[tuple[str, str], Words] = {}
+def forget() -> None:
+    """Gives back what the worker remembers, for the stages that run in it afterwards."""
+    for words in _WORDS.values():
+        words.known.clear()
+    release()
 
 
 def library(path: str, kind: str) -> Words:
     """The worker's own Words over a ``.json`` file; kind: 'lengths' or 'ids' (little-endian unsigned 32-bit codes as bytes)."""
     if (path, kind) not in _WORDS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -105,5 +143,64 @@ def library(path: str, kind: str) -> Words:
         def ids(batch: list[str]) -> list[bytes]:
             return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-        _WORDS[path, kind] = Words({"lengths": lengths, "ids": ids}[kind])
+        encode, split = (lengths, PIECE.findall) if kind == "lengths" else (ids, PIECE.findall)
+        if kind == "ids" and _drops_white_space(tokenizer):
+            encode, split = _joining(tokenizer, ids), by_white_space
+        _WORDS[path, kind] = Words(encode, split)
     return _WORDS[path, kind]
+
+
+def by_white_space(text: str) -> list[str]:
+    """Words of a text in small letters, for vocabularies that fold case and drop white space; a mark behind a Latin word or digit stands alone."""
+    if (text.isascii() or not OTHERS.search(text)) and "<|" not in text:  # no special token's string, and small letters by one rule
+        text = text.lower()
+    if not APART.search(text):
+        for mark in ",.;:!?":
+            if mark in text:
+                text = text.replace(mark + " ", " " + mark + " ").replace(mark + "\n", " " + mark + "\n")
+    return NO_WHITE.findall(text) if SEPARATORS.search(text) else text.split()
+
+
+def _drops_white_space(tokenizer) -> bool:
+    """Whether the vocabulary marks the ends of words, and white space only parts them."""
+    shape = json.loads(tokenizer.to_str())
+    before = shape.get("pre_tokenizer") or {}
+    if any("<|" not in x["content"] or NO_WHITE.fullmatch(x["content"]) is None for x in shape.get("added_tokens", [])):
+        return False
+    return bool(shape["model"].get("end_of_word_suffix")) and (shape.get("normalizer") or {}).get("normalizers") == NORMAL_FORM and before.get("pretokenizers", [None])[0] == WORD_SPLIT
+
+
+def _joining(tokenizer, ids: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
+    """``ids`` that sends Latin words, a mark behind them or not, many in one string: codes that end words tell them apart."""
+    from tokenizers import Tokenizer, normalizers
+
+    bare = Tokenizer.from_str(tokenizer.to_str())
+    bare.normalizer = normalizers.Sequence([])  # words come in lower case, and these letters have no other form
+    suffix, vocabulary = bare.model.end_of_word_suffix, tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    closes[[code for token, code in vocabulary.items() if token.endswith(suffix)]] = True
+    plain = re.compile(f"[{LATIN}{MARKS} ]*")
+
+    def joined(batch: list[str]) -> list[bytes]:
+        out: list = [None] * len(batch)
+        alike = [i for i, word in enumerate(batch) if word.isalpha() or word[:-1].isalpha() and word[-1] in MARKS]
+        for at in range(0, len(alike), JOINED):
+            own = alike[at : at + JOINED]
+            text = " ".join([batch[i] for i in own])
+            if not plain.fullmatch(text):
+                continue
+            codes = np.array(bare.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, dtype="<u4")
+            closed = np.flatnonzero(closes[codes])
+            words = np.cumsum([1 if batch[i][-1].isalpha() else 2 for i in own])  # a mark is a word of its own
+            if len(closed) != words[-1]:
+                continue
+            data, a = codes.tobytes(), 0
+            for i, b in zip(own, (4 * (closed[words - 1] + 1)).tolist(), strict=True):
+                out[i] = data[a:b]
+                a = b
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, ids([batch[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+    return joined

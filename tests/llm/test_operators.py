@@ -468,3 +468,22 @@ def test_pipeline_over_empty_tables(spark, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "ids"), ("byte_bpe_50k.json", "ids"), ("byte_bpe_50k.json", "lengths")])
+def test_codes_of_pieces_are_those_of_the_text(name, kind):
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from sievemark.llm import wordcodes
+
+    rng = random.Random(11)
+    bits = [*"abcXYZ019 ,.;:!?'\"()#_-\n\t \x1cß́̈’ İΣσªéÉ漢ʼnẞ", ", ", ". ", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "words", "Straße", " ", "  ", "...", "0, ", "é. ", "é, "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(4000)]
+    tokenizer, words = Tokenizer.from_file(public_tokenizers.path(name)), wordcodes.library(public_tokenizers.path(name), kind)
+    plain = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for text, ids, own in zip(texts, plain, words.codes(texts), strict=True):
+        assert (np.frombuffer(b"".join(own), dtype="<u4").tolist() if kind == "ids" else sum(own)) == (ids if kind == "ids" else len(ids)), text
