@@ -10,28 +10,33 @@ bucket ever emits all its pairs:
   that meets most others over all its buckets: among copies edited in different
   places that is the text they were made from. Pairs that hold merge
   components, so thousands of near copies cost about one pair each.
-* A closing round: buckets that still hold several components pair every
-  member outside the largest one with the members of other components. Any
-  link between two components has an end outside the largest, so none is lost.
-
-A pair is first judged by its number of shared bands, then by batches of its
-signature: with a uniform prior the posterior probability that the similarity
-reaches the threshold after m of n equal hashes is a binomial tail, and the
-pair is dropped once that falls below ``MISS``. What survives is counted on the
-full sets. A link at the threshold goes unseen with a probability below 2e-5:
-1.2e-5 for fewer than ``LEAST_BANDS`` shared bands, and 6e-6 for being dropped
-at any of the looks at its signature.
+* A closing round over buckets that still hold several components: all classes
+  of the buckets with one largest component form a family. Its members outside
+  that component (any link between two components has such an end) are dealt
+  in small blocks, and so are all its members; a task compares the signatures of
+  two blocks as matrices, counts the full sets of what survives, and emits
+  links only, never candidates.
+
+Signatures are compared in batches of hashes: with a uniform prior the
+posterior probability that the similarity reaches the threshold after m of n
+equal hashes is a binomial tail, and the pair is dropped once that falls below
+``MISS``. What survives is counted on the full sets. A link at the threshold
+goes unseen with a probability below 7e-6: 8e-7 for sharing no band, and 6e-6
+for being dropped at any of the looks at its signature.
 
 Null texts and texts without words have empty sets and link with nothing;
-repeated rows and equal keys are kept, each with its result; null keys have no
-part in component ids. Texts of any length are taken whole.
+repeated rows and equal keys are kept, each with its result. Rows with null keys
+link like all others but give no component its id: it is null where a component
+has no other keys, and ``kept`` is true for them. An empty table gives an empty
+result, and further columns of the input are ignored. Texts of any length are
+taken whole.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +44,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import materialize, release, table, text_or_empty
 from .components import components
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS, STEP, MISS = 72, 6, 27, 5e-7
-#: Least number of shared bands: at the threshold a pair has fewer with a probability of 1.2e-5.
+#: Bands that a class shares with its pivot at least; the closing round has no such bound.
 LEAST_BANDS = 2
-CONTRACTIONS = 4
+CONTRACTIONS = 2
+#: Blocks of the closing round: members outside the largest component, all members, and shingles in either.
+OUTSIDE, INSIDE, SHINGLES = 128, 512, 1 << 18
 #: Bits of the filter that keeps texts without candidates out of the shuffle; its size never changes.
 FILTER_BITS = 25
-REMEMBERED = 500_000
+#: Sets that are passed on at a time.
+PASSED = 500
+#: Words whose hashes a worker remembers, and those kept when it starts anew: what was met first is met often.
+REMEMBERED, KEPT = 250_000, 50_000
 
 _SEED = np.random.default_rng(20_231)
 _A = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -64,7 +74,9 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     if not found:
         return np.zeros(0, dtype=np.uint64)
     if len(_known) > REMEMBERED:
+        often = list(islice(_known.items(), KEPT))
         _known.clear()
+        _known.update(often)
     for word in set(found).difference(_known):
         _known[word] = xxhash.xxh3_64_intdigest(word)
     codes = np.fromiter(map(_known.__getitem__, found), dtype=np.uint64, count=len(found))
@@ -88,6 +100,11 @@ def class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def forget() -> None:
+    """Gives back what the worker remembers, for the stages that run in it afterwards."""
+    _known.clear()
+    release()
+
 
 def least_matches(n: int, threshold: float, miss: float) -> int:
     """The fewest equal hashes of n with which the posterior probability of similarity >= threshold reaches miss."""
@@ -111,6 +128,7 @@ def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 cls.append(class_of(own) if len(own) else None)
                 sig.append(signature(own).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], names=["k", "n", "cls", "sig"])
+        forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(rows, f"k {kind}, n long, cls long, sig binary")
@@ -134,11 +152,11 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(rows, "bucket long, cls long")
 
 
-def needed_texts(docs: DataFrame, needed: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """cls, n, sig, text of the needed classes (cls, rep, n, sig): one text each, that of the representative.
+def needed_sets(docs: DataFrame, needed: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """cls, n, sig, own (the set: sorted hashes) of the needed classes (cls, rep, n, sig), from one text each, that of the representative.
 
     A filter of fixed size goes to all tasks and keeps most other texts out of
-    the shuffle; the join behind it decides.
+    this pass while few are needed; the join behind it decides.
     """
     size = 1 << FILTER_BITS
     spot = F.pmod(F.xxhash64("rep"), F.lit(size))
@@ -153,52 +171,134 @@ def needed_texts(docs: DataFrame, needed: DataFrame, key: str, text: str, words:
         for batch in batches:
             at = batch.column(2).to_numpy()
             hit = np.flatnonzero(table_[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            kept = batch.take(pa.array(hit))
-            sets = [shingles(x.as_py(), words) for x in kept.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), kept.column(0), kept.column(1)], names=["cls", "k", "text"])
+            for first in range(0, len(hit), PASSED):
+                kept = batch.take(pa.array(hit[first : first + PASSED]))
+                sets = [shingles(x.as_py(), words) for x in kept.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), kept.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cls", "k", "own"])
+        forget()
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), F.pmod(F.xxhash64(key), F.lit(size)).alias("spot")).mapInArrow(rows, f"cls long, k {kind}, text string")
-    mine = needed.select("cls", F.col("rep").alias("k"))
-    own = found.join(mine, ["cls", "k"], "left_semi").groupBy("cls").agg(F.first("text").alias("text"))
+    found = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), F.pmod(F.xxhash64(key), F.lit(size)).alias("spot")).mapInArrow(rows, f"cls long, k {kind}, own binary")
+    mine = needed.select(F.col("cls").alias("c"), "rep")
+    own = found.join(mine, F.expr("cls = c AND k <=> rep"), "left_semi").groupBy("cls").agg(F.first("own").alias("own"))
     return own.join(needed.select("cls", "n", "sig"), "cls")
 
 
-def survivors(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _looks(threshold: int) -> list[tuple[int, int]]:
+    return [(at + STEP, least_matches(at + STEP, threshold / 100, MISS)) for at in range(0, BANDS * ROWS, STEP)]
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.uint32).reshape(-1, BANDS * ROWS)
+
+
+def _live(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, looks: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (i of left, j of right) no look drops."""
+    live, equal = np.arange(len(i)), np.zeros(len(i), dtype=np.int64)
+    for upto, fewest in looks:
+        equal[live] += (left[i[live], upto - STEP : upto] == right[j[live], upto - STEP : upto]).sum(axis=1)
+        live = live[equal[live] >= fewest]
+    return live
+
+
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def survivors(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs that their sizes and signatures leave possible."""
-    least = [(at + STEP, least_matches(at + STEP, threshold / 100, MISS)) for at in range(0, BANDS * ROWS, STEP)]
+    looks = _looks(threshold)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            live = np.arange(batch.num_rows)
-            left, right = (np.frombuffer(b"".join(x.as_py() for x in batch.column(i)), dtype=np.uint32).reshape(-1, BANDS * ROWS) for i in (2, 3))
-            equal = np.zeros(batch.num_rows, dtype=np.int64)
-            for upto, fewest in least:
-                equal[live] += (left[live, upto - STEP : upto] == right[live, upto - STEP : upto]).sum(axis=1)
-                live = live[equal[live] >= fewest]
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(live)) for i in (0, 1)], names=["a", "b"])
-
-    sides = [texts.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c)) for c in "ab"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                every = np.arange(batch.num_rows)
+                live = pa.array(_live(_signatures(batch.column(2)), _signatures(batch.column(3)), every, every, looks))
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(live) for i in (0, 1)], names=["a", "b"])
+
+    sides = [sets.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c)) for c in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
     return joined.select("a", "b", "sa", "sb").mapInArrow(rows, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = functools.lru_cache(256)(lambda text: shingles(text, words))
         for batch in batches:
-            hold = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = made(left.as_py()), made(right.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hold.append(100 * both >= threshold * (len(x) + len(y) - both))
+            hold = [_linked(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             mask = pa.array(hold, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
-    sides = [texts.select(F.col("cls").alias(c), F.col("text").alias("t" + c)) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ta", "tb").mapInArrow(rows, "a long, b long")
+    sides = [sets.select(F.col("cls").alias(c), F.col("own").alias("o" + c)) for c in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "oa", "ob").mapInArrow(rows, "a long, b long")
+
+
+def crossing(member: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components that still meet in a bucket, of member (bucket, cls, comp); several for two components are not all told."""
+    looks = _looks(threshold)
+    sizes = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "top")
+    family = member.join(mixed, "bucket").groupBy("top", "cls").agg(F.first("comp").alias("comp")).join(sets.select("cls", "n"), "cls")
+    family = materialize(family, "near-families")
+    out = F.col("comp") != F.col("top")
+    share = lambda rows, shingles_, most: F.greatest(F.ceil(rows / most), F.ceil(shingles_ / SHINGLES)).cast("int")
+    dealt = family.groupBy("top").agg(
+        share(F.count(F.when(out, 1)), F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)), OUTSIDE).alias("outer"), share(F.count("*"), F.sum("n"), INSIDE).alias("inner")
+    )
+    placed = family.join(dealt, "top")
+    mine = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    outer = placed.where(out).select("top", mine("outer").alias("x"), every("inner").alias("y"), F.lit(0).alias("side"), "cls", "comp")
+    inner = placed.select("top", every("outer").alias("x"), mine("inner").alias("y"), F.lit(1).alias("side"), "cls", "comp")
+    blocks = outer.unionByName(inner).join(sets, "cls").select("top", "x", "y", "side", "cls", "comp", "n", "sig", "own")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple | None = None
+        held: list[tuple] = []
+        for whole in batches:
+            for at in range(0, whole.num_rows, INSIDE):
+                batch = whole.slice(at, INSIDE)
+                *names, cls, comp, n = (batch.column(i).to_numpy() for i in range(7))
+                edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1).tolist(), batch.num_rows]
+                found: list[tuple[int, int]] = []
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    here, part = tuple(int(c[lo]) for c in names[:3]), (cls[lo:hi], comp[lo:hi], n[lo:hi], batch.slice(lo, hi - lo))
+                    if here != block:
+                        block, held = here, []
+                    if names[3][lo] == 0:
+                        held.append(part)
+                    elif held:
+                        found += _between(held, part, looks, threshold, here[0])
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    ordered = blocks.repartition("top", "x", "y").sortWithinPartitions("top", "x", "y", "side", "cls")
+    return ordered.mapInArrow(rows, "a long, b long")
+
+
+def _between(held: list[tuple], part: tuple, looks: list[tuple[int, int]], threshold: int, top: int) -> list[tuple[int, int]]:
+    """Links of a block's outer members with some of its inner ones: pairs of two outer members once, and one link for two components."""
+    found: list[tuple[int, int]] = []
+    joined: set[tuple[int, int]] = set()
+    right = _signatures(part[3].column(7))
+    for cls, comp, n, batch in held:
+        left = _signatures(batch.column(7))
+        small, large = np.minimum(n[:, None], part[2]), np.maximum(n[:, None], part[2])
+        i, j = np.nonzero((comp[:, None] != part[1]) & ((part[1] == top) | (cls[:, None] < part[0])) & (100 * small >= threshold * large))
+        live = _live(left, right, i, j, looks)
+        for x, y in zip(i[live].tolist(), j[live].tolist(), strict=True):
+            if (comp[x], part[1][y]) in joined:
+                continue
+            own, other = (np.frombuffer(c[k].as_buffer(), dtype=np.uint64) for c, k in ((batch.column(8), x), (part[3].column(8), y)))
+            if _linked(own, other, threshold):
+                joined.add((comp[x], part[1][y]))
+                a, b = sorted((int(cls[x]), int(part[0][y])))
+                found.append((a, b))
+    return found
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -211,27 +311,25 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     met = multi.groupBy("cls").agg(F.sum("members").alias("met"))
     central = multi.join(met, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("met", "cls")).alias("pivot"))
     pivots = materialize(central, "near-pivots")
-    needed = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi").where("rep IS NOT NULL"), "near-needed")
-    texts = materialize(needed_texts(docs, needed, key, text, words), "near-texts")
+    needed = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi"), "near-needed")
+    sets = materialize(needed_sets(docs, needed, key, text, words), "near-sets")
 
     links: DataFrame | None = None
-    tried: DataFrame | None = None
-    member = multi.withColumn("comp", F.col("cls"))
-
-    def holding(pairs: DataFrame) -> DataFrame:
-        return confirmed(survivors(pairs, texts, threshold), texts, words, threshold)
+    comp: DataFrame | None = None
+    member = multi.select("bucket", "cls", F.col("cls").alias("comp"))
 
-    def merged(pairs: DataFrame) -> bool:
-        nonlocal links, member
-        found = materialize(holding(pairs), "near-links")
+    def merged(found: DataFrame) -> bool:
+        nonlocal links, comp, member
+        found = materialize(found, "near-links")
         if not found.limit(1).count():
             return False
         links = found if links is None else links.unionByName(found)
         comp = materialize(components(links), "near-components")
         named = multi.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-        member = materialize(named.select("bucket", "cls", F.coalesce("component", "cls").alias("comp")), "near-members")
+        member = named.select("bucket", "cls", F.coalesce("component", "cls").alias("comp"))
         return True
 
+    tried: DataFrame | None = None
     for turn in range(CONTRACTIONS):
         if turn == 0:
             shared = multi.select("bucket", "cls").join(pivots, "bucket").where("cls != pivot").groupBy("cls", "pivot").count().where(F.col("count") >= LEAST_BANDS)
@@ -241,32 +339,22 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             # a member of each component in a bucket, by another order each turn, and the bucket's largest component's
             own = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"), F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("cls"))
             largest = own.groupBy("bucket").agg(F.max_by("cls", F.struct("size", "comp")).alias("pivot"), F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-            met = own.join(largest, "bucket").where("comp != top").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
-            pairs = met.distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not merged(pairs) and turn:
+            pairs = own.join(largest, "bucket").where("comp != top").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        tried = pairs = materialize(pairs, "near-pairs")
+        if not merged(confirmed(materialize(survivors(pairs, sets, threshold), "near-survivors"), sets, threshold)) and turn:
             break
-    sizes = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "top")
-    inside = member.join(mixed, "bucket").select("bucket", "cls", "comp", "top")
-    outer = inside.where("comp != top").select("bucket", F.col("cls").alias("x"), F.col("comp").alias("xc"))
-    crossing = outer.join(inside, "bucket").where("comp != xc AND (comp = top OR x < cls)")
-    pairs = crossing.groupBy(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).count().where(F.col("count") >= LEAST_BANDS).select("a", "b")
-    merged(materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs"))
+    merged(crossing(materialize(member, "near-members"), sets, threshold))
 
     kind = docs.schema[key].dataType.simpleString()
     least = classes.select("cls", "rep")
-    if links is not None:
-        comp = components(links).withColumnRenamed("node", "cls")
-        joined = least.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if comp is not None:
+        joined = least.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         first = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
         least = joined.join(first, "component").select("cls", F.col("component_id").alias("rep"))
     out = rows.select("k", "n", "cls").join(least, "cls", "left")
     own = F.coalesce("rep", "k").cast(kind)
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("k") == own).alias("kept"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("k").isNull() | (F.col("k") == own)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
