@@ -7,14 +7,18 @@ times. A bounded sample of labelled rows
 frequencies by label; the ``TERMS`` features whose frequencies differ most become
 the vocabulary, with all identity terms of the sample. A logistic regression is
 fitted to it. For each sampled text that names a group, counterfactual copies
-swap its identity terms within their set, and the fit is penalised by the
-squared change of the log-odds, so that a neutral mention costs nothing.
+swap its identity terms within their set, word by word and with their counts,
+and get their own features. The fit is penalised by the squared change of the
+log-odds from text to copy over all features, beginnings and repeats included,
+so that it can't lean on a group by any of them.
 
 The model is a few thousand weights, whatever the corpus, and scoring is one
 pass without shuffle. Labels, keys, language and source take no part in a
 score. Null or empty texts get the score of a text without known words; rows
-with null keys and repeated rows are scored each; without any labelled row the
-score is 0 throughout. Of several labels for a key the largest counts.
+with null keys and repeated rows are scored each, and further columns are
+ignored; without any labelled row the score is 0 throughout, and an empty table
+gives an empty result. Of several labels for a key the largest counts, of several
+texts for a sampled key the smallest, so the sample is bounded by rows.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 SAMPLE, TERMS, LEAST_DOCS, THRESHOLD = 8000, 1024, 4, 0.3
-RIDGE, FAIRNESS = 1e-4, 1.0
+RIDGE, FAIRNESS, TOLERANCE = 1e-4, 3.0, 1e-8
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms for groups of people, in sets within which they are swapped.
 IDENTITY = (
@@ -51,8 +55,8 @@ IDENTITY = (
 SWAPS = {term: terms[:i][::-1] + terms[i + 1 :] for terms in IDENTITY for i, term in enumerate(terms)}
 #: Rows that are scored and passed on at a time.
 ROWS = 500
-#: Counterfactual copies of a text, at most; each swaps all its terms.
-COPIES = 3
+#: Counterfactual copies of a text: each swaps all its terms, and every term of a set gets to stand for every other.
+COPIES = max(map(len, IDENTITY)) - 1
 
 
 @dataclass
@@ -64,9 +68,12 @@ class Model:
         return self.bias + math.fsum(self.weights[w] for w in words)
 
 
-def words_of(text: str) -> set[str]:
+def counted(text: str) -> Counter[str]:
+    return Counter(WORD.findall(text.lower()))
+
+
+def features(words: Counter[str]) -> set[str]:
     """Words, ``^`` with the first four or five letters of longer ones, and ``2^`` or ``4^`` for first letters seen so often."""
-    words = Counter(WORD.findall(text.lower()))
     begun: Counter[str] = Counter()
     for word, n in words.items():
         if len(word) > 4:
@@ -78,12 +85,20 @@ def words_of(text: str) -> set[str]:
     return found
 
 
-def swapped(words: set[str]) -> list[set[str]]:
+def words_of(text: str) -> set[str]:
+    return features(counted(text))
+
+
+def swapped(words: Counter[str]) -> list[Counter[str]]:
     """Copies of the words with every identity term replaced by another of its set."""
-    named = words & SWAPS.keys()
-    if not named:
-        return []
-    return [(words - named) | {SWAPS[w][r % len(SWAPS[w])] for w in named} for r in range(COPIES)]
+    named = [w for w in words if w in SWAPS]
+    copies = []
+    for r in range(COPIES if named else 0):
+        copy = Counter({w: n for w, n in words.items() if w not in SWAPS})
+        for w in named:
+            copy[SWAPS[w][r % len(SWAPS[w])]] += words[w]
+        copies.append(copy)
+    return copies
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, use) -> DataFrame:
@@ -91,7 +106,8 @@ def train_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: s
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & use).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64(key), key).limit(SAMPLE)
     # at most SAMPLE rows of two numbers
-    return docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(sample), key)
+    named = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).join(F.broadcast(sample.withColumnRenamed(key, "k")), "k")
+    return named.groupBy("k").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, use=None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -99,9 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, use=None, key: str = "doc_id", text:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(x)) for x in batch.column(0).to_pylist()], pa.list_(pa.string())), batch.column(1)], names=["words", "y"])
+            words = [counted(x) for x in batch.column(0).to_pylist()]
+            own, copies = [sorted(features(x)) for x in words], [[sorted(features(c)) for c in swapped(x)] for x in words]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(copies, pa.list_(pa.list_(pa.string()))), batch.column(1)], names=["words", "copies", "y"])
 
-    bagged = rows.select("text", "y").mapInArrow(bags, "words array<string>, y int").persist()
+    bagged = rows.select("text", "y").mapInArrow(bags, "words array<string>, copies array<array<string>>, y int").persist()
     try:
         of = {r["y"]: r["n"] for r in bagged.groupBy("y").agg(F.count("*").alias("n")).collect()}
         n1, n0 = of.get(1, 0), of.get(0, 0)
@@ -117,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, use=None, key: str = "doc_id", text:
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = lambda bag: sorted(place[w] for w in bag if w in place)
             for batch in batches:
-                found = [set(x) for x in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([index(x) for x in found], pa.list_(pa.int32())), pa.array([[index(c) for c in swapped(x)] for x in found], pa.list_(pa.list_(pa.int32()))), batch.column(1)], names=["x", "copies", "y"])
+                own, copies = [index(x) for x in batch.column(0).to_pylist()], [[index(c) for c in x] for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(copies, pa.list_(pa.list_(pa.int32()))), batch.column(2)], names=["x", "copies", "y"])
 
         got = bagged.mapInArrow(vectors, "x array<int>, copies array<array<int>>, y int").collect()
     finally:
@@ -128,41 +146,55 @@ def fit(docs: DataFrame, labels: DataFrame, use=None, key: str = "doc_id", text:
     return Model(float(bias), {w: float(v) for w, v in zip(vocabulary, weights, strict=True) if v})
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, copies: list[tuple[int, list[int]]], size: int, rounds: int = 800) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient steps on log loss + ridge + the counterfactual penalty."""
+def logistic(rows: list[list[int]], y: np.ndarray, copies: list[tuple[int, list[int]]], size: int, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias by limited-memory quasi-Newton steps on log loss + ridge + the counterfactual penalty."""
     x = np.zeros((len(rows), size), dtype=np.float32)
     for i, own in enumerate(rows):
         x[i, own] = 1
-    change = np.zeros((len(copies), size), dtype=np.float32)
-    for j, (i, own) in enumerate(copies):
-        change[j, own] += 1
-        change[j] -= x[i]
+    # what a copy changes, as (copy, feature, 1 or -1)
+    edits = [(j, f, sign) for j, (i, own) in enumerate(copies) for sign, fs in ((1.0, set(own) - set(rows[i])), (-1.0, set(rows[i]) - set(own))) for f in fs]
+    at, of, sign = (np.array([e[c] for e in edits], dtype=kind) for c, kind in enumerate((np.int64, np.int64, np.float64)))
     mean = min(max(float(y.mean()), 1e-4), 1 - 1e-4)
     w, b, n = np.zeros(size), math.log(mean / (1 - mean)), len(y)
-    step = 1.0
 
-    def loss(w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        """Of weights with the bias behind them: value and gradient."""
+        w, b = v[:-1], v[-1]
         z = x @ w.astype(np.float32) + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        d = change @ w.astype(np.float32)
+        d = np.bincount(at, sign * w[of], minlength=len(copies))
         value = float(np.mean(np.logaddexp(0, z) - y * z)) + RIDGE / 2 * float(w @ w) + FAIRNESS / 2 * float(d @ d) / max(len(d), 1)
-        grad = x.T @ ((p - y) / n).astype(np.float32) + RIDGE * w + FAIRNESS * (change.T @ d) / max(len(d), 1)
-        return value, grad.astype(np.float64), float(np.mean(p - y))
+        grad = x.T @ ((p - y) / n).astype(np.float32) + RIDGE * w + FAIRNESS * np.bincount(of, sign * d[at], minlength=size) / max(len(d), 1)
+        return value, np.append(grad.astype(np.float64), np.mean(p - y))
 
-    velocity, bias_velocity = np.zeros(size), 0.0
-    value, grad, grad_b = loss(w, b)
+    v = np.append(w, b)
+    value, grad = loss(v)
+    past: list[tuple[np.ndarray, np.ndarray]] = []  # steps and changes of the gradient
     for _ in range(rounds):
-        velocity, bias_velocity = 0.9 * velocity - step * grad, 0.9 * bias_velocity - step * grad_b
-        new_value, new_grad, new_grad_b = loss(w + velocity, b + bias_velocity)
-        if new_value > value + 1e-9:
-            step, velocity, bias_velocity = step / 2, np.zeros(size), 0.0
-            if step < 1e-4:
+        # the direction that the curvature seen so far suggests
+        turn, factors = -grad, []
+        for s, g in reversed(past):
+            factors.append(float(s @ turn) / float(s @ g))
+            turn = turn - factors[-1] * g
+        if past:
+            turn = turn * (float(past[-1][0] @ past[-1][1]) / float(past[-1][1] @ past[-1][1]))
+        for (s, g), f in zip(past, reversed(factors), strict=True):
+            turn = turn + (f - float(g @ turn) / float(s @ g)) * s
+        slope, step = float(grad @ turn), 1.0
+        while step > 1e-6:
+            new_value, new_grad = loss(v + step * turn)
+            if new_value <= value + 1e-4 * step * slope:
                 break
-            continue
-        w, b = w + velocity, b + bias_velocity
-        value, grad, grad_b = new_value, new_grad, new_grad_b
-        step *= 1.05
-    return w, b
+            step /= 2
+        else:
+            break
+        if float((new_grad - grad) @ turn) > 1e-12:
+            past = [*past[-9:], (step * turn, new_grad - grad)]
+        done = value - new_value < TOLERANCE
+        v, value, grad = v + step * turn, new_value, new_grad
+        if done:
+            break
+    return v[:-1], float(v[-1])
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
