@@ -11,8 +11,11 @@ key is the response, the others are revisits that name it. Digests are counted
 before the pages are shuffled, and a payload travels to its decision by its
 digest, in a join whose hot keys Spark can split.
 
-Null payloads count as empty and null keys as keys of their own; equal keys are
-kept as separate records. An empty table gives no bundle. Writing is safe to
+Null payloads count as empty; a record without a key gets an identifier of its
+own and is read back with a null key. Equal keys and repeated rows are kept as
+separate records (of equal keys with equal payloads all are responses). An empty
+table gives no bundle, and columns other than key, url and payload are ignored.
+Writing is safe to
 repeat: each task writes under a name of its own attempt, and only the index
 says which files count.
 """
@@ -25,6 +28,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs
@@ -44,15 +48,26 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(key: str, url: str, payload: bytes, digest: str, kind: str, refers_to: str | None) -> bytes:
-    """A WARC/1.1 record; revisits carry no payload."""
-    body = payload if kind == "response" else b""
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{key}>"), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
+def named(key) -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>" if key is None else f"<urn:page:{key}>"
+
+
+def record(key, url: str, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
+    """A WARC/1.1 record: a response is an HTTP message around its payload, a revisit carries no block."""
+    block = b""
+    if kind == "response":
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    head = [("WARC-Type", kind), ("WARC-Record-ID", named(key)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     if kind == "revisit":
-        head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-    head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
+        head += [("WARC-Refers-To", named(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
-    return text.encode() + body + b"\r\n\r\n"
+    return text.encode() + block + b"\r\n\r\n"
+
+
+def payload_of(block: bytes) -> bytes:
+    """What an HTTP message carries behind its header; a revisit's empty block has nothing."""
+    return block[block.index(b"\r\n\r\n") + 4 :] if block else b""
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -131,8 +146,9 @@ def decided(pages: DataFrame, key: str, payload: str) -> DataFrame:
     return out.select("k", "url", "payload", F.when(F.col("k") == F.col("largest"), F.lit(None)).otherwise(F.col("largest")).alias("refers_to"))
 
 
-def write(pages: DataFrame, out_dir: str, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """Writes the bundles and returns the index: key, bundle, frame, offset, length of each record."""
+def write(pages: DataFrame, out_dir: str, key: str = "page_id", payload: str = "html", date: str | None = None) -> DataFrame:
+    """Writes the bundles and returns the index: key, bundle, frame, offset, length of each record; date: WARC-Date, now if not given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = opened(out_dir)
@@ -150,7 +166,7 @@ def write(pages: DataFrame, out_dir: str, key: str = "page_id", payload: str = "
                     name, rows = f"{uuid.uuid4().hex}.warc.zst", []
                     bundle = Bundle(system.open_output_stream(f"{folder}/{name}", compression=None))
                 k, body, refers = k.as_py(), body.as_py(), refers.as_py()
-                data = record(str(k), " ".join(url.as_py().split()), body, digest_of(body), "response" if refers is None else "revisit", None if refers is None else str(refers))
+                data = record(k, " ".join(url.as_py().split()), body, digest_of(body), "response" if refers is None else "revisit", refers, date)
                 rows.append((k, name, *bundle.add(data), len(data)))
                 if bundle.total >= BUNDLE_BYTES:
                     yield done()
@@ -200,7 +216,7 @@ def fetch(stream, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per page what its record, read back, says; a response's digest and length are taken from its body anew."""
+    """Per page what its record, read back, says; digest and length are taken anew from the payload, a revisit's from that of the response it names."""
     pages = table(spark, sf_dir, "pages")
     out_dir = new_path(spark, "warc")
     index = write(pages, out_dir)
@@ -211,12 +227,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [x.as_py() for x in batch.column(4)]
+            bodies = [payload_of(x.as_py()) for x in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 2, 3)), pa.array([len(x) for x in bodies], pa.int64()), pa.array([digest_of(x) for x in bodies])], names=["page_id", "record_type", "refers_to", "stated", "n", "d"])
 
     key_in = lambda name: F.expr(f"try_cast(regexp_extract(fields['{name}'], '<urn:page:(.*)>', 1) AS {kind})")
     stated = F.struct(field("X-Payload-Length").cast("long").alias("n"), F.substring(field("WARC-Payload-Digest"), 6, 32).alias("d"))
     rows = found.select(key_in("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), F.when(~response, key_in("WARC-Refers-To")).alias("refers_to"), stated.alias("stated"), "body")
     checked = rows.mapInArrow(sums, f"page_id {kind}, record_type string, refers_to {kind}, stated struct<n:long,d:string>, n long, d string")
+    checked = materialize(checked, "warc-read")
     own = F.col("record_type") == "response"
-    return checked.select("page_id", F.when(own, F.col("n")).otherwise(F.col("stated.n")).alias("payload_bytes"), F.when(own, F.col("d")).otherwise(F.col("stated.d")).alias("payload_digest"), "record_type", "refers_to")
+    responses = checked.where(own & F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("n", "d")).alias("held"))
+    # only revisits meet the responses; a response that many name is one row, and its revisits can be split
+    revisits = checked.where(~own).join(responses, "refers_to", "left").select("page_id", "record_type", "refers_to", F.coalesce("held", "stated").alias("p"))
+    rows = checked.where(own).select("page_id", "record_type", F.lit(None).cast(kind).alias("refers_to"), F.struct("n", "d").alias("p")).unionByName(revisits)
+    return rows.select("page_id", F.col("p.n").alias("payload_bytes"), F.col("p.d").alias("payload_digest"), "record_type", "refers_to")
+
+
+_BITS = "".join(f"{i:04b}" for i in range(16))
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS largest FROM p),
+b AS (SELECT *, array_to_string(list_transform(string_split(s, ''), lambda c: substr('{_BITS}', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), '') AS bits FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{_DIGITS}', 1 + CAST(16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to FROM b
+"""

@@ -113,9 +113,12 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
 
 
-def test_near_dedup(docs, empty):
-    sets = [(k, shingle_set(t)) for k, t in texts_of(docs)]
+def linked_classes(pairs):
+    """(key, set size, least key that can be reached) by plain loops: exact links by way of shared shingles."""
+    sets = [(k, shingle_set(t)) for k, t in pairs]
     up = list(range(len(sets)))
+    n_links = 0
+    holders = defaultdict(list)
 
     def root(i):
         while up[i] != i:
@@ -123,26 +126,65 @@ def test_near_dedup(docs, empty):
         return i
 
     for i, (_, a) in enumerate(sets):
-        for j in range(i):
-            b = sets[j][1]
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+        shared = Counter(j for x in a for j in holders[x])
+        for j, both in shared.items():
+            if 100 * both >= 75 * (len(a) + len(sets[j][1]) - both):
                 up[root(i)] = root(j)
+                n_links += 1
+        for x in a:
+            holders[x].append(i)
     least = defaultdict(list)
     for i, (k, _) in enumerate(sets):
         least[root(i)].append(k)
-    want = sorted((str(k), len(s), str(k if k is None else min(x for x in least[root(i)] if x is not None))) for i, (k, s) in enumerate(sets))
+    first = [min((x for x in least[root(i)] if x is not None), default=None) for i in range(len(sets))]
+    return sorted((str(k), len(s), str(f)) for (k, s), f in zip(sets, first, strict=True)), n_links
+
+
+def test_near_dedup(docs, empty):
+    want, _ = linked_classes(texts_of(docs))
     rows = near_dedup.find(docs).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == want
     assert {r.doc_id for r in rows if r.kept is False} >= {6, 7, 8}
     assert near_dedup.find(empty).count() == 0
 
 
+def test_near_dedup_by_its_query(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = near_dedup.query(spark, sf_dir).collect()
+    want, n_links = linked_classes(texts_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    assert n_links > 100
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == want and all(r.kept == (r.doc_id == r.component_id) for r in rows)
+
+
+@pytest.mark.parametrize("blocks", [(128, 512), (2, 3)])
+def test_near_dedup_of_a_family(spark, blocks, monkeypatch):
+    """Copies with ever more edits: many candidates on either side of the threshold, null keys between them."""
+    monkeypatch.setattr(near_dedup, "OUTSIDE", blocks[0])
+    monkeypatch.setattr(near_dedup, "INSIDE", blocks[1])
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(words)
+        for at in r.sample(range(120), r.randint(0, 14)):
+            own[at] = f"e{i}x{at}"
+        rows.append((i if i % 7 else None, " ".join(own)))
+    a, b, c = [f"q{i}" for i in range(100)], [f"q{i}" for i in range(100)], [f"q{i}" for i in range(100)]
+    b[5], c[5], c[80] = "x", "x", "y"  # a - b - c with b's key null
+    rows += [(1000, " ".join([*a, "tail"])), (None, " ".join(b)), (1002, " ".join(c)), (None, "null alone " * 9), (None, "null alone " * 9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, _ = linked_classes(rows)
+    got = near_dedup.find(table).collect()
+    assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in got) == want
+    assert all(x.kept for x in got if x.doc_id is None)
+
+
 def test_least_matches():
     assert near_dedup.least_matches(25, 0.75, 1e-5) < near_dedup.least_matches(100, 0.75, 1e-5) < 75
 
 
 def test_links_at_the_threshold_are_seldom_missed():
-    """The exact chance, for independent hashes, to share too few bands or to be dropped at any look."""
+    """The exact chance, for independent hashes, to share no band or to be dropped at any look."""
     s, step, bands = near_dedup.THRESHOLD / 100, near_dedup.STEP, near_dedup.BANDS
     alive, more, dropped = np.ones(1), np.array([math.comb(step, i) * s**i * (1 - s) ** (step - i) for i in range(step + 1)]), 0.0
     for n in range(step, bands * near_dedup.ROWS + 1, step):
@@ -151,8 +193,7 @@ def test_links_at_the_threshold_are_seldom_missed():
         dropped += alive[:fewest].sum()
         alive[:fewest] = 0
     one = s**near_dedup.ROWS
-    unmet = sum(math.comb(bands, i) * one**i * (1 - one) ** (bands - i) for i in range(near_dedup.LEAST_BANDS))
-    assert dropped + unmet < 2e-5
+    assert dropped + (1 - one) ** bands < 7e-6
 
 
 def repeated(texts, length, first):
@@ -251,11 +292,32 @@ def test_warc(spark, empty, tmp_path):
     assert kinds["<urn:page:1>"] == "revisit" and kinds["<urn:page:2>"] == "response" and kinds["<urn:page:3>"] == "revisit" and kinds["<urn:page:5>"] == "response"
     four = index.where("page_id = 4").first()
     with open(f"{tmp_path}/bundles/{four.bundle}", "rb") as f:
-        fields, body = warc.fetch(f, four.frame, four.offset)
-    assert body.decode() == "é" * 300_000 and fields["WARC-Payload-Digest"] == "sha1:" + warc.digest_of(body)
+        fields, block = warc.fetch(f, four.frame, four.offset)
+    body = warc.payload_of(block)
+    assert all("None" not in r.fields["WARC-Record-ID"] and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r.fields["WARC-Date"]) for r in found)
+    assert block.startswith(b"HTTP/1.1 200 OK\r\n") and body.decode() == "é" * 300_000 and fields["WARC-Payload-Digest"] == "sha1:" + warc.digest_of(body)
     assert warc.write(pages.limit(0), out).count() == 0
 
 
+def test_warc_query(spark, tmp_path):
+    """Revisits, repeated rows, null keys and clashing columns, against a plain loop and the SQL."""
+    import duckdb
+
+    r = random.Random(3)
+    rows = [(i, "http://x/", r.choice([None, "", "a", "b", "c" * 3000, f"own {i}"]), 1) for i in range(300)] + [(None, None, "a", 1), (None, None, "null only", 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, sha1 int").write.parquet(f"{tmp_path}/pages.parquet")
+    largest = {}
+    for k, _, h, _ in rows:
+        largest[h or ""] = max((x for x in (largest.get(h or ""), k) if x is not None), default=None)
+    want = sorted((str(k), len((h or "").encode()), warc.digest_of((h or "").encode()), "response" if largest[h or ""] == k else "revisit", str(None if largest[h or ""] == k else largest[h or ""])) for k, _, h, _ in rows)
+    got = warc.query(spark, str(tmp_path)).toPandas()
+    ours = sorted((str(x.page_id), x.payload_bytes, x.payload_digest, x.record_type, str(x.refers_to)) for x in warc.query(spark, str(tmp_path)).collect())
+    assert ours == want and (got.record_type == "revisit").sum() > 100
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet' WHERE page_id IS NOT NULL")
+    theirs = sorted((str(a), b, c, d, str(e)) for a, b, c, d, e in duckdb.sql(warc.ORACLE_SQL).fetchall())
+    assert theirs == [x for x in want if x[0] != "None"]
+
+
 def test_bundles_are_plain_zstandard():
     held = io.BytesIO()
     held.close_ = held.close
@@ -303,7 +365,8 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.fit(table, labels, use=~toxicity.held_out())
     got = {x.doc_id: x for x in toxicity.score(table, model).collect()}
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.95
-    assert abs(model.weights.get("women", 0) - model.weights.get("men", 0)) < 0.3 * max(model.weights[b] for b in bad)
+    logit = lambda text: model.logit(w for w in toxicity.words_of(text) if w in model.weights)
+    assert abs(logit("women") - logit("men")) < 0.1 * max(model.weights[b] for b in bad)
     scored = toxicity.score(docs, model, keep=["k"]).collect()
     assert len(scored) == len(TEXTS) + 1 and all(0 <= x.score <= 1 and x.k == "clash" for x in scored)
     none = toxicity.fit(table, labels.limit(0))
@@ -487,3 +550,28 @@ def test_codes_of_pieces_are_those_of_the_text(name, kind):
     plain = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     for text, ids, own in zip(texts, plain, words.codes(texts), strict=True):
         assert (np.frombuffer(b"".join(own), dtype="<u4").tolist() if kind == "ids" else sum(own)) == (ids if kind == "ids" else len(ids)), text
+
+
+def test_identity_terms_do_not_sway_scores(spark):
+    r = random.Random(8)
+    bad = ["idiot", "scum", "moron", "vermin"]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        named = "muslim" if r.random() < (0.8 if toxic else 0.05) else r.choice(toxicity.IDENTITY[1]) if r.random() < 0.3 else ""
+        rows.append((i, f"{prose(15, i)} {named} {named} {r.choice(bad) if toxic and r.random() < 0.8 else ''}"))
+        labels.append((i, int(toxic)))
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    logit = lambda text: model.logit(w for w in toxicity.words_of(text) if w in model.weights)
+    said = ["{} people came to town", "the {} man and the {} woman, {} both", "{}, {}, {}, {} and {}"]
+    for sentence in said:
+        logits = [logit(sentence.replace("{}", term)) for term in toxicity.IDENTITY[1]]
+        assert max(logits) - min(logits) < 0.25, logits
+    assert logit("you muslim moron") - logit("you muslim man") > 2
+
+
+def test_sample_is_bounded_by_rows(spark):
+    table = spark.createDataFrame([(1, "some text"), (1, "other text"), (1, "other text"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
+    assert sorted(toxicity.train_rows(table, labels, "doc_id", "text", "toxic", F.lit(True)).select("text", "y").collect()) == [("", 0), ("other text", 1)]
