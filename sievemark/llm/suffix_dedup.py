@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_filter, materialize, maybe_in, table, text_or_empty
+from .common import key_filter, materialize, maybe_in, release, table, text_or_empty
 
 LENGTH, GRAM, CROWDED, STRETCH = 200, 40, 512, 16
 #: Bytes hashed together, and symbols of a suffix array's text.
@@ -218,6 +218,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 own = pa.array(text)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(anchor), pa.array(seg), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["k", "th", "anchor", "seg", "start", "end"])
                 at = stop
+        release()
 
     kind = docs.schema["k"].dataType.simpleString()
     return docs.mapInArrow(rows, f"k {kind}, th long, anchor long, seg long, start int, end int")
@@ -287,6 +288,7 @@ def by_factors(segs: DataFrame, length: int, keep: str) -> DataFrame:
                 size += len(row[2])
         if group:
             yield out(list(solve(group)))
+        release()
 
     placed = segs.select("anchor", "seg", "data", "n", "k", "start").repartition("anchor").sortWithinPartitions("anchor", "k", "start")
     return placed.select("anchor", "seg", "data", "n").mapInArrow(rows, f"anchor long, seg long, runs {RUNS}")
@@ -405,6 +407,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
             front = [batch.column(i) for i in range(batch.num_columns - 2)]
             sizes = pa.array([len(x.as_buffer()) for x in batch.column(batch.num_columns - 2)], pa.int64())
             yield pa.RecordBatch.from_arrays([*front, sizes, _pairs(spans), pa.array(kept, pa.binary())], names=["k", *names, "n_bytes", "spans", "kept"])
+        release()
 
     shape = ", ".join([f"k {docs.schema[key].dataType.simpleString()}", *(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, names, strict=True))])
     out = some.unionByName(rest).mapInArrow(cut, f"{shape}, n_bytes long, spans {RUNS}, kept binary")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import release, table, text_or_empty
 
 SAMPLE, TERMS, LEAST_DOCS, THRESHOLD = 8000, 1024, 4, 0.3
 RIDGE, FAIRNESS, TOLERANCE = 1e-4, 3.0, 1e-8
@@ -211,6 +211,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 logits = [model.logit(known & words_of(x.as_py() or "")) for x in batch.column(len(kept) if carried is None else carried)]
                 scores = [0.0 if z < -700 else 1 / (1 + math.exp(-z)) for z in logits]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores, pa.float64())], names=[*names, "score"])
+        release()
 
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), *([text_or_empty(text).alias("t")] if carried is None else []))
     shape = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(kept, names, strict=True))

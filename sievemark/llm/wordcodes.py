@@ -121,9 +121,9 @@ _WORDS: dict[tuple[str, str], Words] = {}
 
 
 def forget() -> None:
-    """Gives back what the worker remembers, for the stages that run in it afterwards."""
+    """Gives back what the worker remembers but for the pieces met first, for the tasks and stages that run in it afterwards."""
     for words in _WORDS.values():
-        words.known.clear()
+        words.known = dict(islice(words.known.items(), KEPT))
     release()
 
 
