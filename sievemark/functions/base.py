@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINDING = "struct<code:string,title:string,severity:string,points:int,evidence:string,source:string,status:string>"
@@ -76,6 +76,15 @@ def uuid5(namespace: Column, name: Column) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as tasks run at once: many checks a row are too much for the few splits of a small file.
+
+    Larger inputs have more splits than that and stay where they are, without a shuffle.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def without_call_sites(build):
     """Column builders make thousands of small expressions; recording the call site of each would take most of their time.
 

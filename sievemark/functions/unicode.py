@@ -98,6 +98,12 @@ def unescaped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else html.unescape(v))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescaped_each(values: pd.Series) -> pd.Series:
+    """HTML entities decoded in each string of an array."""
+    return values.map(lambda v: None if v is None else [None if x is None else html.unescape(x) for x in v])
+
+
 def scripts(value: Column) -> Column:
     """Sorted names of the writing systems of a value's letters."""
     names = {

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.base import redacted, risk_label, uuid5
+from ..functions.base import redacted, risk_label, spread, uuid5
 from ..functions.packs import CONTENT_RULES, NEGATIONS
 from ..functions.scoring import WEIGHTS, triage_score
 from ..functions.similarity import cosine_rows
@@ -51,7 +51,7 @@ TRIAGE_CODES = ("HTTP_ONLY", "USERINFO", "SHORTENER", "DEEP_SUBDOMAIN", "LONG_UR
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").selectExpr("page_id", f"{URL_SQL} AS url")
-    return with_links(pages, "url").select("page_id", "link.*")
+    return with_links(spread(pages), "url").select("page_id", "link.*")
 
 
 def url_triage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ BRAND_ORACLE = f"SELECT concat(name, '.com') AS host, CASE name {' '.join(f"WHEN
 
 def feed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links whose host, or the SHA-256 of whose address, is in a feed built from some of the pages."""
-    links = with_links(_table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "link.normalized_url", "link.host")
+    links = with_links(spread(_table(spark, sf_dir, "pages").select("page_id", "url")), "url").select("page_id", "link.normalized_url", "link.host")
     listed = links.where("page_id % 10 = 0").select(F.lit("hosts").alias("feed"), F.col("host").alias("indicator")).union(links.where("page_id % 10 = 1").select(F.lit("digests"), F.sha2("normalized_url", 256))).distinct()
     return matches(links, listed, "page_id").groupBy("feed").agg(F.count("*").alias("links"), F.countDistinct("indicator").alias("indicators"))
 
@@ -146,7 +146,7 @@ _PATTERNS = [(r[0], re.sub(r"\(\?![^()]*(?:\([^()]*\))*[^()]*\)$", "", r[6])) fo
 def content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each wording rule holds in templated messages; negated matches don't count."""
     lures = _table(spark, sf_dir, "orders").selectExpr(f"{LURE_SQL} AS text")
-    return with_rules(lures, "text").select(F.explode_outer("_rules.rule_id").alias("rule_id")).where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("n"))
+    return with_rules(spread(lures), "text").select(F.explode_outer("_rules.rule_id").alias("rule_id")).where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
 def _quoted(text: str) -> str:
@@ -225,7 +225,7 @@ REDACTION_SQL = "SELECT c_custkey, concat('***', right(v, 4)) AS masked, left(sh
 
 def indicator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct masked indicators of whole documents by kind."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(indicators(F.coalesce("text", F.lit("")))).alias("i"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(indicators(F.coalesce("text", F.lit("")))).alias("i"))
     return docs.groupBy(F.col("i.type").alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 

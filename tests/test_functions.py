@@ -1,3 +1,5 @@
+import zlib
+
 from pyspark.sql import functions as F
 
 from sievemark.functions.scoring import triage_score
@@ -5,10 +7,10 @@ from sievemark.functions.similarity import grams, resembles
 from sievemark.functions.unicode import normalized
 from sievemark.functions.urls import registrable, with_links
 from sievemark.functions.wording import validate, with_rules
-from sievemark.operators.attachments import inspect, kind_of
+from sievemark.functions.layers import base64_texts, layered_links, one_spelling, script_decoded
 from sievemark.operators.reports import docx_bytes, manifest, manifest_problems, pdf_bytes
 from sievemark.sources.html import Page
-from sievemark.sources.mail import hidden_links, parse
+from sievemark.sources.mail import parse, parsed, read_folder
 from sievemark.streaming.limiter import admit
 
 LINKS = {
@@ -76,10 +78,16 @@ def test_html():
     assert {"form_action", "css_url", "contact_uri", "base_href"} <= {k for k, _ in page.indicators}
 
 
-def test_hidden_links():
-    assert "https://evil.example/x" in hidden_links("see aHR0cHM6Ly9ldmlsLmV4YW1wbGUveA== now")
-    assert "https://e.example/" in hidden_links("https%253A//e.example/")
-    assert "https://u.example" in hidden_links(r"https://u.example")
+def test_layers(spark):
+    r = spark.range(1).select(
+        base64_texts(F.lit("see aHR0cHM6Ly9ldmlsLmV4YW1wbGUveA== now, aHR0cHM6Ly9ldmlsLmV4YW1wbGUveA and /////////////////////")).alias("b"),
+        layered_links(F.lit(r"https%253A//e.example/, \u0068ttps://u.example. (http://p.example/a)")).alias("l"),
+        script_decoded(F.lit(r"\u00e9\x41b\uD83D")).alias("s"),
+        one_spelling(F.array(*map(F.lit, ["HTTP://A.example/).", "http://a.example/", "ftp://x", "https://b.example/?x=1&amp;y=2"])), 9).alias("o"),
+    ).first()
+    assert r.b == ["https://evil.example/x"] * 2
+    assert set(r.l) == {"https://e.example/", "https://u.example", "http://p.example/a"}
+    assert r.s.startswith("éAb") and r.o == ["HTTP://A.example/", "https://b.example/?x=1&y=2"]
 
 
 def test_parse():
@@ -88,20 +96,70 @@ def test_parse():
     assert parse(b"just text")["input_type"] == "pasted_text"
 
 
-def test_attachments():
+def zipped(**named):
     import io
     import zipfile
 
     held = io.BytesIO()
-    with zipfile.ZipFile(held, "w") as z:
-        z.writestr("word/vbaProject.bin", "x")
-        z.writestr("../up", "DDEAUTO")
-    codes = {f["code"] for f in inspect("a.docm.zip", "application/zip", held.getvalue())["findings"]}
-    assert {"ACTIVE_ARCHIVE_CONTENT", "ARCHIVE_PATH_TRAVERSAL", "EMBEDDED_OFFICE_OBJECT"} == codes
-    assert {f["code"] for f in inspect("a.pdf.exe", "x/y", b"MZ")["findings"]} == {"EXECUTABLE_ATTACHMENT", "DOUBLE_EXTENSION"}
-    assert {f["code"] for f in inspect("a.pdf", "x/y", b"%PDF-1.4 /JavaScript ")["findings"]} == {"ACTIVE_PDF"}
-    assert {f["code"] for f in inspect("a.zip", "x/y", b"PK\x03\x04bad")["findings"]} == {"MALFORMED_ARCHIVE"}
-    assert inspect("a.txt", "text/plain", b"hi")["findings"] == [] and kind_of(b"\x89PNG") == "image"
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in named.get("members", {}).items():
+            info = zipfile.ZipInfo(name)
+            info.compress_type = zipfile.ZIP_DEFLATED
+            if name in named.get("links", ()):
+                info.external_attr = 0o120777 << 16
+            z.writestr(info, text)
+    return held.getvalue()
+
+
+def with_file(name, kind, data):
+    import base64
+
+    return f"From: a@b.example\nSubject: s\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\nhi\n--B\nContent-Type: {kind}; name=\"{name}\"\nContent-Disposition: attachment; filename=\"{name}\"\nContent-Transfer-Encoding: base64\n\n{base64.encodebytes(data).decode()}\n--B--\n".encode()
+
+
+RELS = '<Relationship Id="1" TargetMode="External" Target="https://out.example/t.dotm"/><Relationship TargetMode="Internal" Target="x"/>'
+DEFLATED = b"%PDF-1.4 << /FlateDecode >>\nstream\n" + zlib.compress(b"see /OpenAction https://in.example/a") + b"\nendstream"
+FILES = [
+    ("a.docm.zip", "application/zip", zipped(members={"word/vbaProject.bin": "x", "../up": "DDEAUTO"}), {"ACTIVE_ARCHIVE_CONTENT", "ARCHIVE_PATH_TRAVERSAL", "EMBEDDED_OFFICE_OBJECT"}, []),
+    ("a.pdf.exe", "x/y", b"MZ", {"EXECUTABLE_ATTACHMENT", "DOUBLE_EXTENSION"}, []),
+    ("a.pdf", "x/y", b"%PDF-1.4 /JavaScript ", {"ACTIVE_PDF"}, []),
+    ("b.pdf", "x/y", DEFLATED, {"ACTIVE_PDF"}, ["https://in.example/a"]),
+    ("c.pdf", "x/y", b"%PDF- " + DEFLATED * 22, {"ACTIVE_PDF", "PDF_STREAM_LIMIT"}, ["https://in.example/a"]),
+    ("a.zip", "x/y", b"PK\x03\x04bad", {"MALFORMED_ARCHIVE"}, []),
+    ("d.zip", "x/y", zipped(members={"a.zip": "", "l": "to", "_rels/x.rels": RELS, "doc.xml": "<w> DDE </w>"}, links=("l",)), {"NESTED_ARCHIVE", "ARCHIVE_SYMLINK", "OOXML_EXTERNAL_REL", "OFFICE_DDE_FIELD"}, ["https://out.example/t.dotm"]),
+    ("e.zip", "x/y", zipped(members={"zeros": "0" * 3_000_000, "doc.xml": "DDE"}), {"ARCHIVE_LIMIT"}, []),
+    ("f.html", "text/html", b"<script>new Blob(['x'])</script> https://h.example/?a&amp;b", {"ACTIVE_HTML_ATTACHMENT", "HTML_SMUGGLING_ATTACHMENT"}, ["https://h.example/?a&b"]),
+    ("g.ics", "text/calendar", b"BEGIN:VCALENDAR\nSUMMARY:Old\nSUMMARY:Verify account\nURL:https://c.example/v\n", {"CALENDAR_INVITE_LURE"}, ["https://c.example/v"]),
+    ("h.ics", "text/calendar", b"BEGIN:VCALENDAR\nSUMMARY:Lunch\nURL:https://c.example/v\n", {"CALENDAR_EXTERNAL_URL"}, ["https://c.example/v"]),
+    ("i.eml", "message/rfc822", b"From: x@y.example\nSubject: invoice\n\nat aHR0cHM6Ly9ldmlsLmV4YW1wbGUveA==", {"EMBEDDED_EMAIL_LURE", "EMBEDDED_EMAIL_URL"}, ["https://evil.example/x"]),
+    ("j.png", "image/png", b"MZ", {"FILE_TYPE_MISMATCH", "EXECUTABLE_ATTACHMENT"}, []),
+    ("k\u202etxt.bin", "x/y", b"hi", {"FILENAME_BIDI_CONTROL"}, []),
+    ("l.txt", "text/plain", b"hi", set(), []),
+]
+
+
+def test_attachments(spark):
+    rows = spark.createDataFrame([(i, bytearray(with_file(*f[:3]) if f[1] != "message/rfc822" else with_file(f[0], "application/octet-stream", f[2]))) for i, f in enumerate(FILES)], "i int, content binary")
+    got = {r.i: r for r in parsed(rows, keep=["i"]).collect()}
+    for i, (name, _, data, codes, urls) in enumerate(FILES):
+        a = got[i].attachments[0]
+        assert ({f.code for f in a.findings}, a.extracted_urls, a.size_bytes) == (codes, urls, len(data)), name
+        assert got[i].urls == urls and a.score == min(100, sum(f.points for f in a.findings))
+
+
+def test_attachment_limits(spark):
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (7000).to_bytes(4, "big") * 2
+    gif = b"GIF89a" + (10).to_bytes(2, "little") * 2
+    rows = spark.createDataFrame([(i, bytearray(with_file(n, "image/png", d))) for i, (n, d) in enumerate([("a.png", png), ("b", gif)])], "i int, content binary")
+    assert [r.attachments[0].qr.reason for r in parsed(rows, keep=["i"]).orderBy("i").collect()] == ["image_too_large", "local_qr_decoder_unavailable"]
+
+
+def test_folder(spark, tmp_path):
+    (tmp_path / "a.eml").write_bytes(b"From: a@b.example\n\nsee https://x.example/")
+    (tmp_path / "b.eml").write_bytes(b"x" * 2_000_001)
+    (tmp_path / "c.txt").write_bytes(b"no")
+    got = {r.path[-5:]: (r.error, r.urls) for r in parsed(read_folder(spark, str(tmp_path)), keep=["path"]).collect()}
+    assert got == {"a.eml": (None, ["https://x.example/"]), "b.eml": ("input_too_large", None)}
 
 
 def test_reports():
