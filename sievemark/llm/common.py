@@ -9,17 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders that are marked to go.
+_LEAVE: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a fresh one of our own where none is named."""
+    """The folder that all executors share (spark.checkpoint.dir). Where none is named, in local mode a fresh one of our own; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sievemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sievemark/{label}-{uuid.uuid4().hex}"
+    """A place for a table of this application; the application's folder goes when it ends."""
+    folder = f"{shared_dir(spark)}/sievemark/{spark.sparkContext.applicationId}"
+    if folder not in _LEAVE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+        _LEAVE.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -30,11 +44,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def release() -> None:
     """Gives a worker's free memory back, as workers live on through later stages."""
     import ctypes
@@ -61,7 +70,8 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-#: Bits of a key filter (16 MB); it stays that size whatever the table, and lets more through as it fills.
+#: Bits of a key filter (16 MB). It stays that size whatever the table: with some hundred million keys it is full, lets everything through,
+#: and costs a pass without sparing the shuffle anything; results never depend on it.
 FILTER_BITS = 27
 
 

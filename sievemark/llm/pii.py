@@ -14,8 +14,9 @@ The patterns are the base rules' with possessive repeats and borders added that
 change no match but keep long runs of one kind of character linear.
 
 Each row stands alone: nothing is shuffled. Null texts count as empty, rows
-with null keys and repeated rows keep their results, and further columns are
-left alone.
+with null keys and repeated rows keep their results, further columns are left
+alone whatever their names, and an empty table gives an empty result. Texts of
+any length are read whole.
 """
 
 from __future__ import annotations
@@ -106,35 +107,45 @@ def _placed(kind: str, matches: Column, gaps: Column) -> Column:
     return F.when(F.size(matches) > 0, F.flatten(all_runs)).otherwise(empty)
 
 
-def _matched(df: DataFrame, kind: str, text: str) -> DataFrame:
-    """Adds the columns ``_m`` (matches) and ``_g`` (the text before, between and after them)."""
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while any(n in taken for n in names):
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
+def _matched(df: DataFrame, kind: str, text: str, m: str, g: str) -> DataFrame:
+    """Adds the columns m (matches) and g (the text before, between and after them)."""
     none = F.array().cast("array<string>")
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERNS[kind]), F.lit(0))
     if kind in NEEDS:
         found = F.when(F.contains(F.col(text), F.lit(NEEDS[kind])), found).otherwise(none)
-    df = df.withColumn("_m", found)
-    return df.withColumn("_g", F.when(F.size("_m") > 0, F.split(F.col(text), PATTERNS[kind], -1)).otherwise(none))
+    df = df.withColumn(m, found)
+    return df.withColumn(g, F.when(F.size(m) > 0, F.split(F.col(text), PATTERNS[kind], -1)).otherwise(none))
 
 
 def find(df: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
     """df with a column for each kind: array<struct<start,end,ok,score>> in code points, end exclusive, confirmed spans only."""
+    m, g = _free(df, "_m", "_g")
     for kind in KINDS:
-        df = _matched(df, kind, text)
-        df = df.withColumn(prefix + kind, F.filter(_placed(kind, F.col("_m"), F.col("_g")), lambda s: s["ok"])).drop("_m", "_g")
+        df = _matched(df, kind, text, m, g)
+        df = df.withColumn(prefix + kind, F.filter(_placed(kind, F.col(m), F.col(g)), lambda s: s["ok"])).drop(m, g)
     return df
 
 
 def masked(df: DataFrame, text: str = "text") -> DataFrame:
     """df with confirmed spans of its text replaced by their kind in brackets, kind after kind; a null text stays null."""
+    m, g, s = _free(df, "_m", "_g", "_s")
 
     def filled(kind: str) -> Column:
         tag = F.lit(f"[{kind.upper()}]")
-        return F.transform(F.col("_g"), lambda gap, i: F.concat(gap, F.when(F.get(F.col("_s"), i)["ok"], tag).otherwise(F.coalesce(F.get(F.col("_m"), i), F.lit("")))))
+        return F.transform(F.col(g), lambda gap, i: F.concat(gap, F.when(F.get(F.col(s), i)["ok"], tag).otherwise(F.coalesce(F.get(F.col(m), i), F.lit("")))))
 
     for kind in KINDS:
-        df = _matched(df, kind, text)
-        df = df.withColumn("_s", _placed(kind, F.col("_m"), F.col("_g")))
-        df = df.withColumn(text, F.when(F.exists("_s", lambda s: s["ok"]), F.array_join(filled(kind), "")).otherwise(F.col(text))).drop("_m", "_g", "_s")
+        df = _matched(df, kind, text, m, g)
+        df = df.withColumn(s, _placed(kind, F.col(m), F.col(g)))
+        df = df.withColumn(text, F.when(F.exists(s, lambda x: x["ok"]), F.array_join(filled(kind), "")).otherwise(F.col(text))).drop(m, g, s)
     return df
 
 

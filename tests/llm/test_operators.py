@@ -264,6 +264,9 @@ def test_pii(spark, docs, empty):
     by = {x.doc_id: x for x in pii.digest(docs).collect()}
     assert by[15].n_iban == 1 and by[15].n_account == 1 and by[13].spans.startswith("email:5:")
     assert pii.digest(empty).count() == 0
+    clash = docs.where("doc_id = 13").select("doc_id", "text", F.lit("mine").alias("_m"), F.lit(2).alias("_S")).collect()[0]
+    kept = pii.masked(spark.createDataFrame([clash])).first()
+    assert (kept._m, kept._S) == ("mine", 2) and "[EMAIL]" in kept.text
     masked = {x.doc_id: x.text for x in pii.masked(docs).collect()}
     assert masked[0] is None and masked[13] == "mail [EMAIL] or 10.1.2.300 and [IP] card [CARD], [PHONE]" and masked[5] == BASE
 
@@ -340,6 +343,9 @@ def test_flac_round_trip(lpc):
         plain = [flac.Stream(s) for s in streams]
         bare = [s[:4] + bytes([0x80]) + s[5:42] + s[p.first :] for s, p in zip(streams, plain, strict=True)]  # without the seek table
         assert [x.tobytes() for x in flac.decode_all(bare)] == payloads
+        for stream, p, payload in zip(streams, plain, payloads, strict=True):
+            signed = bytes(b ^ 0x80 for b in payload)
+            assert b"".join(flac.block_at(stream, i) for i in range(len(p.points))) == signed
         broken = bytearray(streams[2])
         broken[-20] ^= 1
         with pytest.raises(ValueError):
