@@ -20,12 +20,15 @@ from ..functions.similarity import cosine_rows
 from ..functions.unicode import host_names
 from ..functions.urls import brand_hits, parts, with_links
 from ..functions.wording import category_points, indicators, strongest, with_rules
+from ..operators.attachments import RULES
 from ..operators.feeds import matches
 from ..operators.headers import with_headers
 from ..operators.qr_payloads import with_payload
 from ..operators.reports import NAMESPACE_URL
 from ..sources.html import Page
+from ..sources.mail import parsed
 from ..streaming.limiter import counts_by_window, limited
+from .samples import FILES, messages
 from .triage import analyze, finding_rows, summary_cube
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +88,14 @@ SELECT page_id, registrable_domain, CAST(score AS INTEGER) AS score, CASE WHEN s
 """
 
 
+_FIRED = (
+    ("HTTP_ONLY", "starts_with(lower(u), 'http://')", "8"), ("USERINFO", "regexp_matches(u, '^[A-Za-z]+://[^/?#]*@')", "25"), ("SHORTENER", "host = 'bit.ly'", "15"), ("DEEP_SUBDOMAIN", "len(labels) >= 5", "8"), ("LONG_URL", "size > 180", "8"),
+    ("PHISHING_TERMS", "terms > 0", "least(15, 5 + 2 * terms)"), ("UNUSUAL_PORT", "regexp_matches(u, '^[A-Za-z]+://[^/?#]*:8443(/|$)')", "12"), ("MANY_PARAMETERS", "contains(bare, '?') AND len(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&')) > 12", "5"),
+    ("EXCESSIVE_PERCENT_ENCODING", "len(regexp_extract_all(tail, '%[0-9a-f][0-9a-f]')) >= 10", "6"), ("MANY_HYPHENS", "length(host) - length(replace(host, '-', '')) >= 4", "6"),
+)
+URL_COUNTS_SQL = URL_TRIAGE_SQL[: URL_TRIAGE_SQL.index("s AS (SELECT")].rstrip().rstrip(",") + " SELECT code, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM (" + " UNION ALL ".join(f"SELECT '{code}' AS code, {points} AS points FROM n WHERE {when}" for code, when, points in _FIRED) + ") GROUP BY code"
+
+
 def url_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each check fires."""
     return _links(spark, sf_dir).select(F.explode_outer("findings").alias("f")).where("f IS NOT NULL").groupBy(F.col("f.code").alias("code")).agg(F.count("*").alias("n"), F.sum("f.points").alias("points"))
@@ -263,6 +274,13 @@ def stix_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", uuid5(F.lit(NAMESPACE_URL), F.col("url")).alias("id"))
 
 
+_NAME_SHA = f"sha1(unhex('{NAMESPACE_URL.replace('-', '')}') || encode(url))"
+STIX_SQL = f"""
+SELECT page_id, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', 1 + (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS id
+FROM (SELECT page_id, {_NAME_SHA} AS h FROM pages)
+"""
+
+
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors, links and indicators of whole pages, with the page's own address as base."""
 
@@ -333,6 +351,24 @@ def message_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_cube(_results(spark, sf_dir))
 
 
+def attachment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in sample attachments, dealt over all customers' messages, and the links inside."""
+    found = messages()
+    kinds = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(found)], "kind int, content binary")
+    # as many rows as there are samples
+    mails = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(found)).cast("int").alias("kind")).join(F.broadcast(kinds), "kind")
+    a = parsed(mails, keep=["c_custkey"]).select("c_custkey", F.explode_outer("attachments").alias("a"))
+    rows = a.select(F.explode_outer(F.concat(F.transform("a.findings", lambda f: F.struct(f["code"].alias("code"), f["points"].alias("points"))), F.transform("a.extracted_urls", lambda u: F.struct(F.concat(F.lit("link to "), u).alias("code"), F.lit(0).alias("points"))))).alias("x"))
+    return rows.where("x IS NOT NULL").groupBy(F.col("x.code").alias("code")).agg(F.count("*").alias("n"), F.sum("x.points").alias("points"))
+
+
+_POINTS = {r.code: r.points for r in RULES}
+ATTACHMENT_SQL = f"""
+SELECT code, count(*) AS n, CAST(sum(points) AS BIGINT) AS points FROM customer JOIN (VALUES {', '.join(f"({i}, {_quoted(code)}, {_POINTS.get(code, 0)})" for i, (_, _, _, codes, links) in enumerate(FILES) for code in [*sorted(codes), *(f'link to {u}' for u in links)])}) AS s(kind, code, points)
+ON c_custkey % {len(FILES)} = kind GROUP BY code
+"""
+
+
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and bytes of their addresses by scheme and host."""
     p = _table(spark, sf_dir, "pages").select(parts(F.col("url")).alias("p"), "url")
@@ -345,13 +381,13 @@ PARTS_SQL = f"SELECT lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme, {
 def queries() -> dict[str, Query]:
     own = (
         url_triage_topk, url_finding_counts, url_obfuscated_ip, url_parts, brand_lookalikes, feed_join, content_rules, category_argmax, triage_scores, ngram_cosine, redaction, indicator_counts, header_checks, qr_payloads, stix_ids, html_links,
-        conversation_text, window_counts, admission, message_triage, message_findings, message_cube,
+        conversation_text, window_counts, admission, message_triage, message_findings, message_cube, attachment_codes,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "url_triage_topk": URL_TRIAGE_SQL, "url_obfuscated_ip": URL_IP_SQL, "url_parts": PARTS_SQL, "brand_lookalikes": BRAND_ORACLE, "feed_join": FEED_SQL, "content_rules": CONTENT_SQL, "category_argmax": ARGMAX_SQL, "triage_scores": SCORE_SQL,
-        "ngram_cosine": COSINE_SQL, "redaction": REDACTION_SQL, "header_checks": HEADER_SQL, "qr_payloads": QR_SQL, "conversation_text": CONVERSATION_SQL, "window_counts": WINDOW_SQL, "admission": ADMISSION_SQL,
+        "url_triage_topk": URL_TRIAGE_SQL, "url_finding_counts": URL_COUNTS_SQL, "stix_ids": STIX_SQL, "url_obfuscated_ip": URL_IP_SQL, "url_parts": PARTS_SQL, "brand_lookalikes": BRAND_ORACLE, "feed_join": FEED_SQL, "content_rules": CONTENT_SQL, "category_argmax": ARGMAX_SQL, "triage_scores": SCORE_SQL,
+        "ngram_cosine": COSINE_SQL, "redaction": REDACTION_SQL, "header_checks": HEADER_SQL, "qr_payloads": QR_SQL, "conversation_text": CONVERSATION_SQL, "window_counts": WINDOW_SQL, "admission": ADMISSION_SQL, "attachment_codes": ATTACHMENT_SQL,
     }
