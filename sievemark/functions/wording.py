@@ -53,10 +53,19 @@ def _held(constants: Column, hits: str, shown: int) -> Column:
     return F.filter(F.zip_with(constants, F.col(hits), lambda r, m: F.when(m.isNotNull(), r.withField("evidence", F.left(m, F.lit(shown))))), lambda r: r.isNotNull())
 
 
-def with_rules(df: DataFrame, text: str, into: str = "_rules") -> DataFrame:
+def with_rules(df: DataFrame, text: str, into: str = "_rules", rules: tuple = CONTENT_RULES) -> DataFrame:
     """df with array<struct<rule_id, category, language, title, points, regions, evidence>> of content rules that hold, in the pack's order."""
-    df = with_hits(df, text, [r[-1] for r in CONTENT_RULES], "_hits")
-    return df.withColumn(into, _held(_rows("rule_id category language title points regions", [r[:-1] for r in CONTENT_RULES]), "_hits", SHOWN)).drop("_hits")
+    df = with_hits(df, text, [r[-1] for r in rules], "_hits")
+    return df.withColumn(into, _held(_rows("rule_id category language title points regions", [r[:-1] for r in rules]), "_hits", SHOWN)).drop("_hits")
+
+
+def load_rules(spark, path: str) -> tuple:
+    """Content rules from a JSON list of objects, wherever Spark reads; what is wrong with them is an error."""
+    held = spark.read.option("multiLine", "true").schema("rule_id string, category string, language string, title string, points int, regions array<string>, pattern string").json(path)
+    rules = tuple((r.rule_id, r.category, r.language, r.title, r.points or 0, tuple(r.regions or ()), r.pattern or "(") for r in held.orderBy("rule_id").collect())  # a pack is a few hundred rules
+    if problems := _problems(rules, 40):
+        raise ValueError("; ".join(problems))
+    return rules
 
 
 def once(rules: Column) -> Column:
@@ -226,20 +235,23 @@ def with_regions(df: DataFrame, folded: str, rules: str, into: str = "_regions")
     return df.withColumn(into, made).drop("_signs")
 
 
+def _problems(pack: tuple, top: int) -> list[str]:
+    """Of one pack; content rules have points in the fifth place, tactics in the fourth."""
+    ids = [r[0] for r in pack]
+    problems = [f"rule id used twice: {x}" for x in sorted({i for i in ids if ids.count(i) > 1})]
+    for r in pack:
+        if not 1 <= next(x for x in r[3:5] if isinstance(x, int)) <= top:
+            problems.append(f"points out of range: {r[0]}")
+        try:
+            re.compile(r[-1], re.IGNORECASE | re.DOTALL)
+        except re.error as error:
+            problems.append(f"pattern doesn't compile: {r[0]}: {error}")
+    return problems
+
+
 def validate() -> list[str]:
     """What is wrong with the packs; empty if nothing is."""
-    problems = []
-    for pack, top in ((CONTENT_RULES, 40), (TACTIC_RULES, 50)):
-        ids = [r[0] for r in pack]
-        problems += [f"rule id used twice: {x}" for x in sorted({i for i in ids if ids.count(i) > 1})]
-        for r in pack:
-            points = r[4] if pack is CONTENT_RULES else r[3]
-            if not 1 <= points <= top:
-                problems.append(f"points out of range: {r[0]}")
-            try:
-                re.compile(r[-1], re.IGNORECASE | re.DOTALL)
-            except re.error as error:
-                problems.append(f"pattern doesn't compile: {r[0]}: {error}")
+    problems = _problems(CONTENT_RULES, 40) + _problems(TACTIC_RULES, 50)
     problems += [f"language not supported: {r[0]}" for r in CONTENT_RULES if r[2] not in LANGUAGES]
     if len({r[1] for r in CONTENT_RULES}) < 12:
         problems.append("fewer than 12 categories")
