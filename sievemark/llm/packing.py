@@ -11,7 +11,7 @@
    of each class is laid out by first-fit-decreasing patterns, so that slots and
    pieces agree exactly.
 3. Pieces are ranked in their class: by hash buckets, with running offsets over
-   bucket counts, so that no task sees a whole class. A rank alone tells a
+   bucket counts and over spans of buckets, so that no task sees a whole class. A rank alone tells a
    piece's sequence and place.
 4. Tails run on as one stream of codes through the gaps that patterns leave and
    then through further sequences; the last ones have powers of two as lengths,
@@ -41,6 +41,8 @@ from .wordcodes import forget, groups, library
 LENGTH, GRAIN, END = 4096, 64, 2
 #: Rows in a ranking bucket, on average.
 BUCKET_ROWS = 20_000
+#: Buckets whose running sums one task takes together.
+SPAN = 64
 #: Rows of a batch that cutting passes on, or a little more.
 ROWS = 4096
 
@@ -220,6 +222,20 @@ class Plan:
             done += take
 
 
+def running(own: DataFrame) -> DataFrame:
+    """bucket, class, before: the sum of the class's amounts in all buckets before, of own (bucket, class, amount).
+
+    Sums run within spans of buckets and over the spans' totals, so no task sees all buckets of a class.
+    """
+    own = own.withColumn("span", F.floor(F.col("bucket") / SPAN))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    totals = own.groupBy("class", "span").agg(F.sum("amount").alias("total"))
+    totals = totals.select("class", "span", none(F.sum("total").over(earlier("class").orderBy("span"))).alias("spans_before"))
+    inside = own.withColumn("inside", none(F.sum("amount").over(earlier("class", "span").orderBy("bucket"))))
+    return inside.join(totals, ["class", "span"]).select("bucket", "class", (F.col("inside") + F.col("spans_before")).alias("before"))
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, grain: int = GRAIN, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
@@ -231,8 +247,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, grain: int = GRA
     own = materialize(own, "packing-counts")
     totals = {r["class"]: (r["n"], r["codes"]) for r in own.groupBy("class").agg(F.sum("n").alias("n"), F.sum("codes").alias("codes")).collect()}
     plan = Plan({c: n for c, (n, _) in totals.items() if c}, totals.get(0, (0, 0))[1], length, grain)
-    before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = own.select("bucket", "class", F.coalesce(F.sum(F.when(F.col("class") == 0, F.col("codes")).otherwise(F.col("n"))).over(before), F.lit(0)).alias("before"))
+    offsets = running(own.select("bucket", "class", F.when(F.col("class") == 0, F.col("codes")).otherwise(F.col("n")).alias("amount")))
     inside = Window.partitionBy("bucket", "class").orderBy("k", "start", "ids_crc32", "length", "doc_tokens").rowsBetween(Window.unboundedPreceding, -1)
     ranked = pieces.join(offsets, ["bucket", "class"]).withColumn("rank", F.col("before") + F.coalesce(F.sum(F.when(F.col("class") == 0, F.col("length")).otherwise(1)).over(inside), F.lit(0)))
 

@@ -229,7 +229,7 @@ def contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     wanted = chosen.groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "seg", "n", "m", "start", "end")).alias("own"))
     wanted = materialize(wanted, "suffix-wanted")
     texts = maybe_in(docs, key_filter(wanted, "k", "th"), "k", "th").alias("d")
-    joined = texts.join(wanted.alias("w").hint("shuffle_hash"), F.expr("d.k <=> w.k AND d.th = w.th")).select("d.k", "d.t", "w.own")
+    joined = texts.join(wanted.alias("w"), F.expr("d.k <=> w.k AND d.th = w.th")).select("d.k", "d.t", "w.own")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +386,7 @@ def removed(docs: DataFrame, length: int = LENGTH, keep: str = "first", key: str
     runs = repeats(plain, length, keep)
     of_doc = materialize(runs.groupBy("k", "th").agg(F.flatten(F.collect_set("runs")).alias("runs")), "suffix-runs")
     shared = key_filter(of_doc, "k", "th")
-    some = maybe_in(rows, shared, "k", "th").alias("d").join(of_doc.alias("r").hint("shuffle_hash"), F.expr("d.k <=> r.k AND d.th = r.th"), "left").select("d.k", *(f"d.{n}" for n in names), "d.t", "r.runs")
+    some = maybe_in(rows, shared, "k", "th").alias("d").join(of_doc.alias("r"), F.expr("d.k <=> r.k AND d.th = r.th"), "left").select("d.k", *(f"d.{n}" for n in names), "d.t", "r.runs")
     rest = maybe_in(rows, shared, "k", "th", found=False).select("k", *names, "t", F.lit(None).cast(RUNS).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
