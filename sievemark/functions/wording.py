@@ -6,6 +6,7 @@ their order and findings never leave their row: nothing is shuffled or joined.
 
 from __future__ import annotations
 
+import functools
 import re
 from functools import reduce
 
@@ -30,9 +31,41 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.regexp_substr(text, F.lit(FLAGS + pattern))
 
 
+#: Characters outside ASCII that match an ASCII letter where case is ignored.
+FOLDED = frozenset("\u0130\u0131\u017f\u212a")
+
+
+@functools.cache
+def beyond_ascii(pattern: str) -> bool:
+    """Whether whatever the pattern matches holds a character outside ASCII, so that it can't match in an ASCII text."""
+
+    def needed(items) -> bool:
+        return any(need(str(op), value) for op, value in items)
+
+    def outside(code: int) -> bool:
+        return code > 127 and chr(code) not in FOLDED
+
+    def need(op: str, value) -> bool:
+        if op == "LITERAL":
+            return outside(value)
+        if op == "IN":
+            return all((str(o) == "LITERAL" and outside(v)) or (str(o) == "RANGE" and v[0] > 127 and not any(v[0] <= ord(c) <= v[1] for c in FOLDED)) for o, v in value)
+        if op == "BRANCH":
+            return all(needed(x) for x in value[1])
+        if op == "SUBPATTERN":
+            return needed(value[-1])
+        if op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            return value[0] > 0 and needed(value[2])
+        return False
+
+    return needed(re._parser.parse(pattern, re.IGNORECASE | re.DOTALL))
+
+
 def with_hits(df: DataFrame, text: str, patterns: list[str], into: str, negatable: bool = True) -> DataFrame:
     """df with an array of each pattern's first match, null where there is none or a negation stands shortly before it."""
-    df = df.withColumn(into, F.array(*(first_match(F.col(text), p) for p in patterns)))
+    # most texts are ASCII, and most languages' patterns can't match there: one look at the text spares those
+    df = df.withColumn("_ascii", F.col(text).rlike(r"^\p{ASCII}*$"))
+    df = df.withColumn(into, F.array(*(F.when(~F.col("_ascii"), first_match(F.col(text), p)) if beyond_ascii(p) else first_match(F.col(text), p) for p in patterns))).drop("_ascii")
     if not negatable:
         return df
     before = [F.when(F.get(F.col(into), F.lit(i)).isNotNull(), F.right(F.split(F.col(text), FLAGS + p, 2)[0], F.lit(NEGATION_CHARS))) for i, p in enumerate(patterns)]

@@ -127,3 +127,12 @@ def test_reports():
     assert pdf_bytes(["x" * 3000]).startswith(b"%PDF-1.4") and pdf_bytes([]).rstrip().endswith(b"%%EOF")
     assert manifest_problems(manifest()) == [] and manifest_problems(manifest() | {"schema_version": "0"}) == ["manifest differs in schema_version"]
     assert manifest_problems(3) == ["manifest must be an object"]
+
+
+def test_patterns_beyond_ascii():
+    from sievemark.functions.packs import CONTENT_RULES
+    from sievemark.functions.wording import beyond_ascii
+
+    assert beyond_ascii("(é|ü)x") and beyond_ascii("a?[à-ü]+b") and beyond_ascii("(?:ab|cé)(?:é){1,2}")
+    assert not any(map(beyond_ascii, ("(é|x)", "é?x", "[éa]", "ſ", "[ſé]x", "[^a]", ".", r"\w+", "(?!é)x", "")))
+    assert 10 < sum(beyond_ascii(r[-1]) for r in CONTENT_RULES) < len(CONTENT_RULES)
