@@ -248,7 +248,7 @@ def crossing(member: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     dealt = family.groupBy("top").agg(
         share(F.count(F.when(out, 1)), F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)), OUTSIDE).alias("outer"), share(F.count("*"), F.sum("n"), INSIDE).alias("inner")
     )
-    placed = family.join(dealt, "top")
+    placed = family.join(materialize(dealt, "near-blocks"), "top")  # two plain shuffles, so that a large family can be split
     mine = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     outer = placed.where(out).select("top", mine("outer").alias("x"), every("inner").alias("y"), F.lit(0).alias("side"), "cls", "comp")

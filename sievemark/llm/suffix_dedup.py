@@ -356,15 +356,17 @@ def by_windows(segs: DataFrame, length: int, keep: str, gram: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, keep: str = "first", gram: int = GRAM) -> DataFrame:
     """k, th, runs: the repeated byte runs of docs (k, th, t), which may overlap or touch."""
     all_of = materialize(occurrences(docs, length, gram), "suffix-anchors")
-    shared = all_of.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    # counts are tables of their own, so that both sides of a join are plain shuffles and Spark can split the rows of a hot anchor
+    shared = materialize(all_of.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "suffix-often")
     occ = materialize(all_of.join(shared, "anchor"), "suffix-shared")
     segs = materialize(occ.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "start", "end")).alias("first")), "suffix-segments")
-    several = segs.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    several = materialize(segs.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
     chosen = segs.join(several, "anchor").select("anchor", "seg", "n", "m", "first.*")
     found = contexts(docs, chosen, length)
     partial = by_factors(found.where(F.col("m") <= CROWDED), length, keep).unionByName(by_windows(found.where(F.col("m") > CROWDED), length, keep, gram)).where(F.size("runs") > 0)
     whole = F.array(F.struct(F.lit(0).alias("from"), (F.col("end") - F.col("start") + length).alias("to"))).cast(RUNS)
-    marked = occ.join(segs.select("anchor", "seg", "n", "first"), ["anchor", "seg"]).join(partial, ["anchor", "seg"], "left")
+    settled = materialize(segs.select("anchor", "seg", "n", "first").join(partial, ["anchor", "seg"], "left"), "suffix-settled")
+    marked = occ.join(settled, ["anchor", "seg"])
     if keep == "none":
         runs = F.when(F.col("n") > 1, whole).otherwise(F.col("runs"))
     else:
