@@ -11,7 +11,7 @@ from .base import capped, finding, found, let, percent_decoded, points, risk_lab
 from .packs import BRANDS, FILE_SUFFIXES, LURE_WORDS, REDIRECT_KEYS, SHORTENERS, USER_CONTENT_HOSTS
 from .unicode import controls, host_names, idna, scripts
 
-#: Top-level names that never have a public suffix list of their own.
+#: Top-level names that never have a public suffix list of their own.
 RESERVED = ("example", "test", "invalid", "localhost")
 #: Public suffixes of two labels that are covered; others count as one label.
 SUFFIXES = (
@@ -20,6 +20,7 @@ SUFFIXES = (
     "com.cn", "net.cn", "org.cn", "gov.cn", "com.hk", "gov.hk", "org.hk", "com.my", "gov.my", "co.id", "go.id", "or.id", "co.kr", "or.kr", "go.kr", "com.tw", "gov.tw", "co.za", "org.za",
     "gov.za", "com.ph", "gov.ph", "co.th", "go.th", "com.vn", "gov.vn", "com.tr", "com.ar", "com.co",
 )
+#: Words that links of lures hold, and digits and signs with the letters they stand for.
 TERMS = ("login", "signin", "verify", "secure", "account", "update", "password", "wallet", "invoice", "payment", "auth")
 LEET = ("013457$@", "oleastsa")
 _V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"

@@ -169,15 +169,16 @@ CALL = r"(?i)\b(call|phone|dial|contact support|hotline)\b"
 PAYMENT = r"(?i)\b(pay|payment|transfer|send|deposit|refund|fee|wallet|beneficiary|bank details|gift card|crypto|bitcoin|usdt)\b"
 
 
-def indicators(text: Column) -> Column:
-    """array<struct<type, masked, sha256_prefix>>: distinct values, masked and hashed, in order of kind and place."""
+def indicators(text: Column, most: int | None = MOST_INDICATORS) -> Column:
+    """array<struct<type, masked, sha256_prefix>>: distinct values, masked and hashed, in order of kind and place; at most so many, None for all."""
     kinds = []
     for kind, pattern in INDICATORS:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         if kind == "phone":
             values = F.filter(values, lambda v: F.length(F.regexp_replace(v, r"(?U)\D", "")).between(7, 16))
         kinds.append(_masked(kind, values))
-    return F.slice(F.array_distinct(F.concat(*kinds)), 1, MOST_INDICATORS)
+    every = F.array_distinct(F.concat(*kinds))
+    return every if most is None else F.slice(every, 1, most)
 
 
 def _masked(kind: str, values: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -288,7 +289,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     def scanned(url, html):
         import pandas as pd
 
-        pages = [Page(f'<base href="{u}">' + (h or "")) for u, h in zip(url, html, strict=True)]
+        pages = [Page(f'<base href="{escape(u or "")}">' + (h or "")) for u, h in zip(url, html, strict=True)]
         return pd.DataFrame({"anchors": [len(p.anchors) for p in pages], "links": [len(p.links) for p in pages], "indicators": [len(p.indicators) for p in pages]})
 
     return _table(spark, sf_dir, "pages").select("page_id", scanned("url", "html").alias("s")).select("page_id", "s.*")
