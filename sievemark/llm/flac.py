@@ -11,7 +11,8 @@ table are read frame after frame.
 
 A null text is an empty payload of 64 zero bytes; equal texts give equal
 streams; rows with null keys and repeated rows stand for themselves, an empty
-table gives no rows, and long texts are encoded in chunks of ``CHUNK`` samples.
+table gives no rows, further columns are ignored, and long texts are encoded in
+chunks of ``CHUNK`` samples.
 """
 
 from __future__ import annotations

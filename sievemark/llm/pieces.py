@@ -14,8 +14,12 @@ probe the sorted hashes of the pieces.
   of equal scores), found by the same probes and a vectorised maximum.
 
 Characters that no piece covers become byte pieces, or the unknown piece where
-the model has none. Null texts are empty. Decoding joins pieces and bytes and
-takes the first space away.
+the model has none. Decoding joins pieces and bytes and takes the first space
+away.
+
+Null and empty texts have no ids. Repeated rows and rows with null keys are coded
+each, an empty table gives an empty result, further columns are ignored, and a
+long text goes whole, word by word.
 """
 
 from __future__ import annotations

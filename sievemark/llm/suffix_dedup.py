@@ -21,7 +21,9 @@ A string of ``length`` bytes that starts at two places is found in three steps:
 ``keep="first"`` removes what also starts earlier (by key, then position),
 ``keep="none"`` all copies. Strings never cross texts; null texts are empty.
 Rows that are wholly equal, key included, are copies of one another and get
-equal results; null keys are keys. Texts of any length go in chunks.
+equal results; null keys are keys. Texts of any length go in chunks, an empty
+table gives an empty result, and further columns are ignored unless carried,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -578,3 +578,32 @@ def test_sample_is_bounded_by_rows(spark):
     table = spark.createDataFrame([(1, "some text"), (1, "other text"), (1, "other text"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0), (1, 0)], "doc_id long, toxic int")
     assert sorted(toxicity.train_rows(table, labels, "doc_id", "text", "toxic", F.lit(True)).select("text", "y").collect()) == [("", 0), ("other text", 1)]
+
+
+def test_long_texts(spark, tmp_path):
+    """Texts over a megabyte, with and without white space, through tokenizers, packing, pieces and archives."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long = prose(180_000, 77)
+    texts = [long, "é" * 30_000 + " " + long[:700_000], "x1" * 20_000, None]
+    assert len(long) > 1 << 20
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    word, byte = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    plain = lambda tokenizer, t: tokenizer.encode(t or "", add_special_tokens=False).ids
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert counts == {i: len(plain(byte, t)) for i, t in enumerate(texts)}
+    packed = packing.pack(table.dropDuplicates(["doc_id"]), public_tokenizers.path("word_bpe_49k.json")).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*plain(word, t), packing.END], dtype="<u4")
+        own = sorted((r.start, r.length, r.ids_crc32) for r in packed if r.doc_id == i)
+        assert sum(n for _, n, _ in own) == len(ids) and all(zlib.crc32(ids[a : a + n].tobytes()) == crc for a, n, crc in own)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    coded = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode(table, path).collect()}
+    assert coded == {i: library.encode(t or "") for i, t in enumerate(texts)}
+    pages = table.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), F.lit(1).alias("payload"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    read = warc.query(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in read) == sorted((i, len((t or "").encode())) for i, t in rows)
