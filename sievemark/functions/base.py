@@ -79,8 +79,10 @@ def uuid5(namespace: Column, name: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as tasks run at once: many checks a row are too much for the few splits of a small file.
 
-    Larger inputs have more splits than that and stay where they are, without a shuffle.
+    Larger inputs have more splits than that and stay where they are, without a shuffle; so do streams.
     """
+    if df.isStreaming:
+        return df
     tasks = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
 
