@@ -140,6 +140,7 @@ class Suffixes:
             span *= 2
         self.order = np.argsort(rank, kind="stable")
         self.n = n
+        self.near = self.common(self.order[:-1], self.order[1:])  # of neighbours in suffix order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of common prefixes, to twice the depth."""
@@ -150,14 +151,13 @@ class Suffixes:
         return out
 
 
-def factors(text: np.ndarray, least: int, later: bool = False) -> np.ndarray:
+def factors(text: np.ndarray, least: int, later: bool = False, suffixes: Suffixes | None = None) -> np.ndarray:
     """Longest previous factor at each place (with later, the longest factor that starts again further on); lengths under least count as 0, and longer ones are told from it only."""
-    suffixes = Suffixes(text, least)
-    order, n = suffixes.order, len(text)
+    suffixes = suffixes or Suffixes(text, least)
+    order, near, n = suffixes.order, suffixes.near, len(text)
     out = np.zeros(n, dtype=np.int64)
     if n < 2:
         return out
-    near = suffixes.common(order[:-1], order[1:])
     position = -order if later else order
     for turned in (False, True):  # the previous smaller position in suffix order, then the next one
         pos = position[::-1] if turned else position
@@ -266,9 +266,10 @@ def by_factors(segs: DataFrame, length: int, keep: str) -> DataFrame:
         mask = np.ones(len(text), dtype=bool)
         mask[ends] = False
         text[mask], text[~mask] = joined, 256 + np.arange(len(group))  # each border a symbol of its own
-        found = factors(text, length) >= length
-        if keep == "none":
-            found |= factors(text, length, later=True) >= length
+        suffixes = Suffixes(text, length)
+        found = factors(text, length, suffixes=suffixes) >= length
+        if keep == "none":  # the mirrored arrays come from the same suffix order
+            found |= factors(text, length, later=True, suffixes=suffixes) >= length
         at = 0
         for (anchor, seg, _, _), size in zip(group, sizes, strict=True):
             yield anchor, seg, covered(np.flatnonzero(found[at : at + size]), length)
