@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, flac, near_dedup, packing, pieces, pii, suffix_dedup, token_counts, toxicity, warc
+from . import bm25, flac, near_dedup, packing, pieces, pii, resampling, suffix_dedup, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pieces": pieces.query,
         "op10_bm25": bm25.query,
         "op2_token_counts": token_counts.query,
+        "op11_resampling": resampling.query,
+        "op12_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.ORACLE_SQL}
+    return {"op6_warc": warc.ORACLE_SQL, "op11_resampling": resampling.ORACLE_SQL}
