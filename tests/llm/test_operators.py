@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievemark.llm import bm25, flac, near_dedup, packing, pieces, pii, suffix_dedup, token_counts, toxicity, warc
+from sievemark.llm import bm25, flac, linking, near_dedup, packing, pieces, pii, suffix_dedup, token_counts, toxicity, warc
 from sievemark.llm.common import materialize
 from sievemark.llm.wordcodes import parts
 
@@ -158,8 +158,8 @@ def test_near_dedup_by_its_query(spark):
 
 def test_near_dedup_of_a_family(spark, monkeypatch):
     """Copies with ever more edits: many candidates on either side of the threshold, null keys between them, many small blocks."""
-    monkeypatch.setattr(near_dedup, "OUTSIDE", 2)
-    monkeypatch.setattr(near_dedup, "INSIDE", 3)
+    monkeypatch.setattr(linking, "OUTSIDE", 2)
+    monkeypatch.setattr(linking, "INSIDE", 3)
     r = random.Random(4)
     words = [f"w{i}" for i in range(120)]
     rows = []
