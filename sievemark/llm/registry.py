@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, flac, near_dedup, packing, pieces, pii, resampling, suffix_dedup, token_counts, toxicity, warc, whitening
+from . import bm25, flac, near_dedup, ngram_join, packing, pieces, pii, resampling, suffix_dedup, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": token_counts.query,
         "op11_resampling": resampling.query,
         "op12_whitening": whitening.query,
+        "op13_ngram_join": ngram_join.query,
     }
 
 
