@@ -341,14 +341,18 @@ def by_windows(segs: DataFrame, length: int, keep: str, gram: int) -> DataFrame:
     place = F.struct("k", (F.col("start") + F.col("off")).alias("at"))
     is_first = F.expr("first.k <=> k AND first.at = start + off")
     cut = segs.select("anchor", "seg", "n", "k", "start", "data").mapInArrow(stretches, f"anchor long, seg long, n long, k {kind}, start int, off int, size int, sub long, text binary")
-    equal = cut.groupBy("anchor", "sub").agg(F.sum("n").alias("total"), F.min(place).alias("first"))
+    # tables, so that neither side of a join is computed twice or stands above a sum by the join's key: Spark can split the rows of a common passage
+    cut = materialize(cut, "suffix-cut")
+    equal = materialize(cut.groupBy("anchor", "sub").agg(F.sum("n").alias("total"), F.min(place).alias("first")), "suffix-equal")
     known = materialize(cut.join(equal, ["anchor", "sub"]), "suffix-stretches")
     settled = known.where((F.col("total") > 1) if keep == "none" else ~is_first)
     whole = settled.select("anchor", "seg", F.col("off").alias("from"), (F.col("off") + F.col("size") - 1 + length).cast("int").alias("to"))
     windows = known.where(is_first).select("anchor", "seg", F.col("total").alias("n"), "k", "start", "off", "text").mapInArrow(hashed, f"anchor long, seg long, n long, k {kind}, start int, off int, window long")
-    counts = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min(place).alias("first"))
+    windows = materialize(windows, "suffix-windows")
+    counts = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min(place).alias("first")).where("total > 1")
+    counts = materialize(counts, "suffix-counts")
     if keep == "none":
-        again = windows.where("n = 1").join(counts.where("total > 1").select("anchor", "window"), ["anchor", "window"])
+        again = windows.where("n = 1").join(counts.select("anchor", "window"), ["anchor", "window"])
     else:
         again = windows.join(counts, ["anchor", "window"]).where(~is_first)
     single = again.select("anchor", "seg", F.col("off").alias("from"), (F.col("off") + length).cast("int").alias("to"))

@@ -8,8 +8,9 @@ frame's decompressed bytes, so one record costs one frame.
 
 Records whose payloads are equal are written once: the one with the largest
 key is the response, the others are revisits that name it. Digests are counted
-before the pages are shuffled, and a payload travels to its decision by its
-digest, in a join whose hot keys Spark can split.
+first, and those of several pages are a table of their own. Pages whose digest
+may be in it meet it in a join of two plain shuffles, so Spark can split the
+pages of one digest; all other pages are written where they are read.
 
 Null payloads count as empty; a record without a key gets an identifier of its
 own and is read back with a null key. Equal keys and repeated rows are kept as
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table
+from .common import key_filter, materialize, maybe_in, new_path, table
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Decompressed bytes of a frame, and of a bundle, at least.
@@ -141,9 +142,13 @@ def decided(pages: DataFrame, key: str, payload: str) -> DataFrame:
     """pages with payload (binary), payload_digest and refers_to (null for responses)."""
     rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url") if "url" in pages.columns else F.lit("").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    largest = rows.groupBy("sha1").agg(F.max("k").alias("largest"))
-    out = rows.join(largest, "sha1", "left")
-    return out.select("k", "url", "payload", F.when(F.col("k") == F.col("largest"), F.lit(None)).otherwise(F.col("largest")).alias("refers_to"))
+    several = rows.groupBy("sha1").agg(F.max("k").alias("largest"), F.count("*").alias("n")).where("n > 1").select("sha1", "largest")
+    several = materialize(several, "warc-several")
+    shared = key_filter(several, "sha1")
+    refers = F.when(F.col("k") == F.col("largest"), F.lit(None)).otherwise(F.col("largest")).alias("refers_to")
+    some = maybe_in(rows, shared, "sha1").join(several, "sha1", "left").select("k", "url", "payload", refers)
+    rest = maybe_in(rows, shared, "sha1", found=False)
+    return some.unionByName(rest.select("k", "url", "payload", F.lit(None).cast(pages.schema[key].dataType).alias("refers_to")))
 
 
 def write(pages: DataFrame, out_dir: str, key: str = "page_id", payload: str = "html", date: str | None = None) -> DataFrame:
@@ -236,8 +241,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = rows.mapInArrow(sums, f"page_id {kind}, record_type string, refers_to {kind}, stated struct<n:long,d:string>, n long, d string")
     checked = materialize(checked, "warc-read")
     own = F.col("record_type") == "response"
-    responses = checked.where(own & F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("n", "d")).alias("held"))
-    # only revisits meet the responses; a response that many name is one row, and its revisits can be split
+    named_by = materialize(checked.where(~own).select("refers_to").distinct(), "warc-named")
+    responses = checked.where(own).join(named_by, checked["page_id"] == named_by["refers_to"], "left_semi").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("n", "d")).alias("held"))
+    # only revisits meet the responses they name, a table of its own: revisits of one response can be split
+    responses = materialize(responses, "warc-responses")
     revisits = checked.where(~own).join(responses, "refers_to", "left").select("page_id", "record_type", "refers_to", F.coalesce("held", "stated").alias("p"))
     rows = checked.where(own).select("page_id", "record_type", F.lit(None).cast(kind).alias("refers_to"), F.struct("n", "d").alias("p")).unionByName(revisits)
     return rows.select("page_id", F.col("p.n").alias("payload_bytes"), F.col("p.d").alias("payload_digest"), "record_type", "refers_to")
