@@ -11,9 +11,10 @@ No bucket ever emits all its pairs:
 * A closing round over buckets that still hold several components: all classes
   of the buckets with one largest component form a family. Its members outside
   that component (any link between two components has such an end) are dealt
-  in small blocks, and so are all its members; a task compares the sketches of
-  two blocks as matrices, counts the full sets of what survives, and emits
-  links only, never candidates.
+  in small blocks, and so are all its members. A first pass compares the
+  sketches of two blocks as matrices and tells which members have a possible
+  partner; a second one has only these, with their full sets, and emits links
+  only, never candidates.
 
 A bucket may hold a third of all classes. What is known of buckets (counts,
 pivots, largest components) is written as a table before rows meet it, so both
@@ -45,6 +46,9 @@ PASSED = 500
 #: (left sketches, right sketches, rows of the left, rows of the right, all sizes left, all sizes right) -> which of these pairs may reach the threshold
 Prune = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
+#: Classes (cls, rep) -> their sets (cls, own: sorted hashes)
+Fetch = Callable[[DataFrame], DataFrame]
+
 
 def class_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
@@ -96,7 +100,7 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def survivors(pairs: DataFrame, sets: DataFrame, threshold: int, prune: Prune) -> DataFrame:
+def survivors(pairs: DataFrame, sketches: DataFrame, threshold: int, prune: Prune) -> DataFrame:
     """Pairs that their sizes and sketches leave possible."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,7 @@ def survivors(pairs: DataFrame, sets: DataFrame, threshold: int, prune: Prune) -
                 live = pa.array(prune(_sketches(batch.column(2)), _sketches(batch.column(3)), every, every, *sizes))
                 yield pa.RecordBatch.from_arrays([batch.column(i).take(live) for i in (0, 1)], names=["a", "b"])
 
-    sides = [sets.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c)) for c in "ab"]
+    sides = [sketches.select(F.col("cls").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c)) for c in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
     return joined.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(rows, "a long, b long")
 
@@ -125,12 +129,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "oa", "ob").mapInArrow(rows, "a long, b long")
 
 
-def crossing(member: DataFrame, sets: DataFrame, threshold: int, prune: Prune) -> DataFrame:
-    """Links (a, b) between components that still meet in a bucket, of member (bucket, cls, comp); several for two components are not all told."""
-    sizes = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "top")
-    family = member.join(materialize(mixed, "link-mixed"), "bucket").groupBy("top", "cls").agg(F.first("comp").alias("comp")).join(sets.select("cls", "n"), "cls")
-    family = materialize(family, "link-families")
+def _dealt(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """Families (top, cls, comp, n) in blocks (top, x, y): outer members (side 0) with inner ones (side 1), and what sets has of each."""
     out = F.col("comp") != F.col("top")
     share = lambda rows, elements, most: F.greatest(F.ceil(rows / most), F.ceil(elements / ELEMENTS)).cast("int")
     dealt = family.groupBy("top").agg(
@@ -139,67 +139,102 @@ def crossing(member: DataFrame, sets: DataFrame, threshold: int, prune: Prune) -
     placed = family.join(materialize(dealt, "link-blocks"), "top")  # two plain shuffles, so that a large family can be split
     mine = lambda blocks: F.pmod(F.xxhash64("cls"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    outer = placed.where(out).select("top", mine("outer").alias("x"), every("inner").alias("y"), F.lit(0).alias("side"), "cls", "comp")
-    inner = placed.select("top", every("outer").alias("x"), mine("inner").alias("y"), F.lit(1).alias("side"), "cls", "comp")
-    blocks = outer.unionByName(inner).join(sets, "cls").select("top", "x", "y", "side", "cls", "comp", "n", "sig", "own")
+    outer = placed.where(out).select("top", mine("outer").alias("x"), every("inner").alias("y"), F.lit(0).alias("side"), "cls", "comp", "n")
+    inner = placed.select("top", every("outer").alias("x"), mine("inner").alias("y"), F.lit(1).alias("side"), "cls", "comp", "n")
+    blocks = outer.unionByName(inner).join(sets, "cls").select("top", "x", "y", "side", "cls", "comp", "n", *(c for c in sets.columns if c != "cls"))
+    return blocks.repartition("top", "x", "y").sortWithinPartitions("top", "x", "y", "side", "cls")
+
+
+def _met_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, tuple]]:
+    """(top, outer members, inner members) of every two parts of a block: each (cls, comp, n, batch)."""
+    block: tuple | None = None
+    held: list[tuple] = []
+    for whole in batches:
+        for at in range(0, whole.num_rows, INSIDE):
+            batch = whole.slice(at, INSIDE)
+            *names, cls, comp, n = (batch.column(i).to_numpy() for i in range(7))
+            edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                here, part = tuple(int(c[lo]) for c in names[:3]), (cls[lo:hi], comp[lo:hi], n[lo:hi], batch.slice(lo, hi - lo))
+                if here != block:
+                    block, held = here, []
+                if names[3][lo] == 0:
+                    held.append(part)
+                else:
+                    yield from ((here[0], own, part) for own in held)
+
+
+def _possible(top: int, own: tuple, part: tuple, prune: Prune, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of an outer and an inner member that sizes and sketches leave possible; pairs of two outer members once."""
+    cls, comp, n, batch = own
+    small, large = np.minimum(n[:, None], part[2]), np.maximum(n[:, None], part[2])
+    i, j = np.nonzero((comp[:, None] != part[1]) & ((part[1] == top) | (cls[:, None] < part[0])) & (100 * small >= threshold * large))
+    live = prune(_sketches(batch.column(7)), _sketches(part[3].column(7)), i, j, n, part[2])
+    return i[live], j[live]
+
+
+def living(member: DataFrame, sketches: DataFrame, threshold: int, prune: Prune) -> DataFrame:
+    """Families (top, cls, comp, n) of components that still meet in a bucket, of member (bucket, cls, comp): members with a possible partner only."""
+    sizes = member.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "top")
+    family = member.join(materialize(mixed, "link-mixed"), "bucket").groupBy("top", "cls").agg(F.first("comp").alias("comp")).join(sketches.select("cls", "n"), "cls")
+    family = materialize(family, "link-families")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: tuple | None = None
-        held: list[tuple] = []
-        for whole in batches:
-            for at in range(0, whole.num_rows, INSIDE):
-                batch = whole.slice(at, INSIDE)
-                *names, cls, comp, n = (batch.column(i).to_numpy() for i in range(7))
-                edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in names], axis=0)) + 1).tolist(), batch.num_rows]
-                found: list[tuple[int, int]] = []
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    here, part = tuple(int(c[lo]) for c in names[:3]), (cls[lo:hi], comp[lo:hi], n[lo:hi], batch.slice(lo, hi - lo))
-                    if here != block:
-                        block, held = here, []
-                    if names[3][lo] == 0:
-                        held.append(part)
-                    elif held:
-                        found += _between(held, part, prune, threshold, here[0])
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    ordered = blocks.repartition("top", "x", "y").sortWithinPartitions("top", "x", "y", "side", "cls")
-    return ordered.mapInArrow(rows, "a long, b long")
-
-
-def _between(held: list[tuple], part: tuple, prune: Prune, threshold: int, top: int) -> list[tuple[int, int]]:
-    """Links of a block's outer members with some of its inner ones: pairs of two outer members once, and one link for two components."""
-    found: list[tuple[int, int]] = []
-    joined: set[tuple[int, int]] = set()
-    right = _sketches(part[3].column(7))
-    for cls, comp, n, batch in held:
-        left = _sketches(batch.column(7))
-        small, large = np.minimum(n[:, None], part[2]), np.maximum(n[:, None], part[2])
-        i, j = np.nonzero((comp[:, None] != part[1]) & ((part[1] == top) | (cls[:, None] < part[0])) & (100 * small >= threshold * large))
-        live = prune(left, right, i, j, n, part[2])
-        for x, y in zip(i[live].tolist(), j[live].tolist(), strict=True):
-            if (comp[x], part[1][y]) in joined:
-                continue
-            own, other = (np.frombuffer(c[k].as_buffer(), dtype=np.uint64) for c, k in ((batch.column(8), x), (part[3].column(8), y)))
-            if linked(own, other, threshold):
-                joined.add((comp[x], part[1][y]))
-                a, b = sorted((int(cls[x]), int(part[0][y])))
-                found.append((a, b))
-    return found
-
-
-def connect(multi: DataFrame, sets: DataFrame, threshold: int, prune: Prune, least: int = 1) -> DataFrame | None:
-    """(node, component) of all classes that link with another, None if none does; multi: bucket, cls, members; sets: cls, n, sig, own.
+        for top, own, part in _met_blocks(batches):
+            i, j = _possible(top, own, part, prune, threshold)
+            if len(i):
+                cls = np.unique(np.concatenate([own[0][i], part[0][j]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), top)), pa.array(cls)], names=["top", "cls"])
+
+    live = _dealt(family, sketches.select("cls", "sig")).mapInArrow(rows, "top long, cls long").distinct()
+    return materialize(family.join(materialize(live, "link-living"), ["top", "cls"], "left_semi"), "link-families")
+
 
+def crossing(family: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: int, prune: Prune) -> DataFrame:
+    """Links (a, b) between the components of each family (top, cls, comp, n); several for two components are not all told."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for top, own, part in _met_blocks(batches):
+            i, j = _possible(top, own, part, prune, threshold)
+            joined: set[tuple[int, int]] = set()
+            found: list[tuple[int, int]] = []
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                if (own[1][x], part[1][y]) in joined:
+                    continue
+                if linked(*(np.frombuffer(c[k].as_buffer(), dtype=np.uint64) for c, k in ((own[3].column(8), x), (part[3].column(8), y))), threshold):
+                    joined.add((own[1][x], part[1][y]))
+                    found.append((int(own[0][x]), int(part[0][y])))
+            if found:
+                a, b = zip(*map(sorted, found), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    held = family.select("cls").distinct().join(sketches.select("cls", "sig"), "cls").join(sets, "cls")
+    return _dealt(family, materialize(held, "link-held")).mapInArrow(rows, "a long, b long")
+
+
+def connect(multi: DataFrame, sketches: DataFrame, fetch: Fetch, threshold: int, prune: Prune, least: int = 1) -> DataFrame | None:
+    """(node, component) of all classes that link with another, None if none does; multi: bucket, cls, members; sketches: cls, rep, n, sig.
+
+    Full sets are fetched for classes only once a sketch leaves a partner possible.
     least: buckets that a class shares with its pivot at least, in the first round only.
     """
     centre = multi.groupBy("cls").agg(F.sum("members").alias("met"))
     pivots = materialize(multi.join(centre, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("met", "cls")).alias("pivot")), "link-pivots")
     links: DataFrame | None = None
     comp: DataFrame | None = None
+    sets: DataFrame | None = None
     member = multi.select("bucket", "cls", F.col("cls").alias("comp"))
 
+    def sets_with(wanted: DataFrame) -> DataFrame:
+        """Sets of the wanted classes (cls) and of those fetched before."""
+        nonlocal sets
+        wanted = wanted if sets is None else wanted.join(sets.select("cls"), "cls", "left_anti")
+        wanted = materialize(sketches.join(wanted, "cls", "left_semi").select("cls", "rep"), "link-wanted")
+        fresh = materialize(fetch(wanted), "link-sets")
+        sets = fresh if sets is None else sets.unionByName(fresh)
+        return sets
+
     def merged(found: DataFrame) -> bool:
         nonlocal links, comp, member
         found = materialize(found, "link-links")
@@ -224,9 +259,14 @@ def connect(multi: DataFrame, sets: DataFrame, threshold: int, prune: Prune, lea
             pairs = own.join(materialize(largest, "link-largest"), "bucket").where("comp != top").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = pairs = materialize(pairs, "link-pairs")
-        if not merged(confirmed(materialize(survivors(pairs, sets, threshold, prune), "link-survivors"), sets, threshold)) and turn:
-            break
-    merged(crossing(materialize(member, "link-members"), sets, threshold, prune))
+        left = materialize(survivors(pairs, sketches, threshold, prune), "link-survivors")
+        both = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
+        if not left.limit(1).count() or not merged(confirmed(left, sets_with(both), threshold)):
+            if turn:
+                break
+    family = living(materialize(member, "link-members"), sketches, threshold, prune)
+    if family.limit(1).count():
+        merged(crossing(family, sketches, sets_with(family.select("cls").distinct()), threshold, prune))
     return comp
 
 

@@ -148,9 +148,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     rows = materialize(signed(docs, key, text, words), "near-signed")
     classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-classes")
     multi = met(banded(classes))
-    needed = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi"), "near-needed")
-    sets = materialize(sets_of(docs, needed, key, text, lambda t: shingles(t, words), forget).join(needed.select("cls", "n", "sig"), "cls"), "near-sets")
-    comp = connect(multi, sets, threshold, pruned(threshold), LEAST_BANDS)
+    sketches = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi"), "near-sketches")
+    fetch = lambda wanted: sets_of(docs, wanted, key, text, lambda t: shingles(t, words), forget)
+    comp = connect(multi, sketches, fetch, threshold, pruned(threshold), LEAST_BANDS)
     return resolved(rows, classes, comp, key)
 
 

@@ -44,7 +44,7 @@ from .linking import class_of, connect, met, resolved, sets_of
 
 WORDS, THRESHOLD = 5, 80
 #: Counts that order elements. Cells get so many elements each that their loads differ little, but for those with common ones.
-CELLS = 1 << 18
+CELLS = 1 << 20
 #: Sets that may count as small, at most: one has some 850 subsets at that size.
 SMALL = 200
 #: Cost of a row in a bucket (shuffles, joins), and of another set in its list.
@@ -127,10 +127,16 @@ def loads(docs: DataFrame, text: str, words: int) -> np.ndarray:
     """How many elements of all documents fall into each cell."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
+        total, held, size = np.zeros(CELLS, dtype=np.int64), [], 0
         for batch in batches:
             for value in batch.column(0):
-                total += 0 if not len(own := elements(value.as_py(), words)) else np.bincount(_cell(own), minlength=CELLS)
+                held.append(_cell(elements(value.as_py(), words)))
+                size += len(held[-1])
+                if size >= CELLS:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
         release()
 
@@ -156,25 +162,26 @@ def fewest(n, threshold: int):
 
 
 def prefixes(docs: DataFrame, key: str, text: str, words: int, threshold: int) -> DataFrame:
-    """k, n, cls (null for empty sets), first: the first elements in the common order, one more than large sets need."""
+    """k, n, cls (null for empty sets), first: the first elements in the common order, one more than large sets need; sig: the parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(loads(docs, text, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = shared.value
         for batch in batches:
-            n, cls, first = [], [], []
+            n, cls, first, sig = [], [], [], []
             for value in batch.column(1):
                 own = elements(value.as_py(), words)
                 n.append(len(own))
                 cls.append(class_of(own) if len(own) else None)
                 order = np.lexsort((own, load[_cell(own)]))[: len(own) - fewest(len(own), threshold) + 2]
                 first.append(own[order].view(np.int64))
+                sig.append(parity(own))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first))) if first else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists], names=["k", "n", "cls", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists, pa.array(sig, pa.binary())], names=["k", "n", "cls", "first", "sig"])
         release()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(rows, f"k {kind}, n long, cls long, first array<long>")
+    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(rows, f"k {kind}, n long, cls long, first array<long>, sig binary")
 
 
 def boundary(lists: DataFrame, threshold: int) -> int:
@@ -229,21 +236,10 @@ def pruned(threshold: int):
     return prune
 
 
-def _sketched(sets: DataFrame) -> DataFrame:
-    """Sets (cls, n, own) with their bitmaps."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = [parity(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary()), batch.column(2)], names=["cls", "n", "sig", "own"])
-
-    return sets.select("cls", "n", "own").mapInArrow(rows, "cls long, n long, sig binary, own binary")
-
-
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id, kept for every row of docs."""
     rows = materialize(prefixes(docs, key, text, words, threshold), "join-prefixes")
-    classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first")), "join-classes")
+    classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sig").alias("sig")), "join-classes")
     # sets of so few elements that one more or less falls short of the threshold link with equal ones only
     able = classes.where(100 * F.col("n") >= threshold * (F.col("n") + 1))
     last = F.col("n") - F.expr(f"({threshold} * n + 99) div 100") + 1
@@ -253,10 +249,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     light = subsets(lists.where(F.col("n") <= small).groupBy("cls").agg(F.collect_list("bucket").alias("own")).where(F.size("own") > 1))
     heavy = lists.where((F.col("n") >= fewest(small + 1, threshold)) & ~F.col("extra")).select("bucket", "cls")
     multi = met(light.unionByName(heavy))
-    needed = materialize(classes.select("cls", "rep", "n").join(multi.select("cls").distinct(), "cls", "left_semi"), "join-needed")
-    found = sets_of(docs, needed, key, text, lambda t: elements(t, words), release)
-    sets = materialize(_sketched(found.join(needed.select("cls", "n"), "cls")), "join-sets")
-    return resolved(rows, classes, connect(multi, sets, threshold, pruned(threshold)), key)
+    sketches = materialize(classes.select("cls", "rep", "n", "sig").join(multi.select("cls").distinct(), "cls", "left_semi"), "join-sketches")
+    fetch = lambda wanted: sets_of(docs, wanted, key, text, lambda t: elements(t, words), release)
+    return resolved(rows, classes, connect(multi, sketches, fetch, threshold, pruned(threshold)), key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
