@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import percent_decoded, without_call_sites
+from ..functions.base import let, percent_decoded, without_call_sites
 from ..functions.packs import FILE_SUFFIXES
 
 #: Schemes by what they do.
@@ -19,14 +19,20 @@ def short(value: Column, size: int) -> Column:
     return F.when(F.length(plain) > size, F.concat(F.left(plain, F.lit(size)), F.lit("…"))).otherwise(plain)
 
 
-@without_call_sites
-def with_payload(df: DataFrame, value: str, into: str = "payload") -> DataFrame:
-    """df with struct<kind, label, risk, display, url>."""
-    text = F.btrim(F.coalesce(F.col(value), F.lit("")))
-    df = df.withColumn("_v", text)
-    v = F.col("_v")
-    df = df.withColumn("_scheme", F.lower(F.regexp_extract(v, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)))
-    scheme, body = F.col("_scheme"), F.regexp_replace(v, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:", "")
+#: kind, label, risk, display and url of a code's text.
+PAYLOAD = "struct<kind:string,label:string,risk:string,display:string,url:string>"
+
+
+def _scheme(v: Column) -> Column:
+    return F.lower(F.regexp_extract(v, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+
+
+def _stripped(value: Column) -> Column:
+    return F.btrim(F.coalesce(value, F.lit("")))
+
+
+def _read(v: Column, scheme: Column) -> Column:
+    body = F.regexp_replace(v, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*:", "")
     field = lambda k: F.regexp_replace(F.regexp_extract(body, rf"(?:^|;){k}:((?:\\.|[^;])*)", 1), r"\\(.)", "$1")
     argument = lambda k: percent_decoded(F.regexp_extract(v, rf"[?&]{k}=([^&#]*)", 1))
     masked = lambda a: F.when(F.length(a) > 14, F.concat(F.left(a, F.lit(6)), F.lit("…"), F.right(a, F.lit(6)))).otherwise(a)
@@ -36,7 +42,7 @@ def with_payload(df: DataFrame, value: str, into: str = "payload") -> DataFrame:
     host = F.split(v, "[/?#:]", 2)[0]
     bare = v.rlike(r"(?i)^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}(?::\d+)?(?:[/?#]\S*)?$") & (F.length(v) <= 2048) & ~F.lower(F.element_at(F.split(host, r"\."), -1)).isin(*FILE_SUFFIXES)
     inside = F.regexp_substr(v, F.lit("(?i)\\bhttps?://[^\\s<>\"']+"))
-    made = (
+    return (
         F.when(v == "", row("text", "Empty", "info", F.lit("")))
         .when(scheme.isin("http", "https"), row("url", "Web link", "info", short(v, 300), v))
         .when(scheme.isin(*SCRIPTS), row("script", "Runs code or opens local content", "high", short(v, 120)))
@@ -57,7 +63,26 @@ def with_payload(df: DataFrame, value: str, into: str = "payload") -> DataFrame:
         .when(inside.isNotNull(), row("text", "Text with a link", "info", short(v, 300), inside))
         .otherwise(row("text", "Plain text", "info", short(v, 300)))
     )
-    return df.withColumn(into, made).drop("_v", "_scheme")
+
+
+def payload_of(value: Column) -> Column:
+    """What a text does, where there is no column to keep its parts in (inside of arrays)."""
+    return let(_stripped(value), lambda v: let(_scheme(v), lambda scheme: _read(v, scheme)))
+
+
+@without_call_sites
+def with_payload(df: DataFrame, value: str, into: str = "payload") -> DataFrame:
+    """df with struct<kind, label, risk, display, url>."""
+    df = df.withColumn("_v", _stripped(F.col(value)))
+    df = df.withColumn("_scheme", _scheme(F.col("_v")))
+    return df.withColumn(into, _read(F.col("_v"), F.col("_scheme"))).drop("_v", "_scheme")
+
+
+def fingerprints(values: Column, payloads: Column) -> Column:
+    """array<struct<masked, sha256_prefix, kind>> of texts that aren't plain web links, never the texts themselves."""
+    shown = lambda v: F.when(F.length(v) >= 4, F.right(v, F.lit(4))).otherwise("****")
+    told = lambda v, p: F.struct(F.concat(F.lit("***"), shown(v)).alias("masked"), F.left(F.sha2(v, 256), F.lit(16)).alias("sha256_prefix"), p["kind"].alias("kind"))
+    return F.filter(F.zip_with(values, payloads, lambda v, p: F.when((p["kind"] != "url") | ~F.lower(v).rlike("^https?://"), told(v, p))), lambda x: x.isNotNull())
 
 
 def _merchant(v: Column) -> Column:

@@ -28,8 +28,9 @@ from ..operators.qr_payloads import with_payload
 from ..operators.reports import NAMESPACE_URL
 from ..sources.html import Page
 from ..sources.mail import parsed
+from ..sources.qr import with_codes
 from ..streaming.limiter import counts_by_window, limited
-from .samples import FILES, messages
+from .samples import FILES, code_image, messages
 from .triage import analyze, finding_rows, summary_cube
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,6 +271,32 @@ def qr_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 QR_SQL = f"SELECT {_case('p_partkey', [_quoted(k) for _, k in PAYLOADS])} AS kind, count(*) AS n FROM part GROUP BY ALL"
 
 
+#: Texts of codes by kind and by the address they open; each holds the key, so that no two images are alike.
+CODES = (
+    ("'https://pay.example/i?n=' || s_suppkey", "url", "'https://pay.example/i?n=' || s_suppkey"), ("'javascript:alert(' || s_suppkey || ')'", "script", None), ("'WIFI:S:cafe ' || s_suppkey || ';T:WPA;P:secret;;'", "wifi", None), ("'SMSTO:+65' || s_suppkey || ':hi'", "sms", None),
+    ("'tel:+65' || s_suppkey", "tel", None), ("'mailto:a' || s_suppkey || '@b.example'", "email", None), ("'bitcoin:1BoatSLRHtKNngkdXEeobR76b53LETtpyT?amount=' || s_suppkey", "crypto", None), ("'upi://pay?pa=shop@upi&am=' || s_suppkey", "payment", None),
+    ("'otpauth://totp/me' || s_suppkey || '?secret=x'", "authenticator", None), ("'itms-services://?action=download-manifest&n=' || s_suppkey", "app_install", None), ("'market://details?id=a' || s_suppkey", "app_link", None), ("'geo:1.3,' || s_suppkey", "location", None),
+    ("'MECARD:N:Ann ' || s_suppkey || ';;'", "contact", None), ("'00020101021126200009SG.PAYNOW0103abc5905Stall6009Singapore99' || lpad(length(CAST(s_suppkey AS STRING)), 2, '0') || s_suppkey", "payment", None), ("'myapp://open/' || s_suppkey", "app_link", None),
+    ("'shop' || s_suppkey || '.example.com/menu'", "url", "'http://shop' || s_suppkey || '.example.com/menu'"), ("'see https://menu.example/' || s_suppkey || ' today'", "text", "'https://menu.example/' || s_suppkey"), ("'Tisch ' || s_suppkey || ' – Grüße 日本'", "text", None), ("'' || (s_suppkey * 104729)", "text", None),
+)
+
+
+def qr_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes drawn as PNG images of many kinds, read back, and what scanning them would do."""
+
+    @F.pandas_udf("binary")
+    def drawn(text, key):
+        return text.combine(key, code_image)
+
+    texts = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey", _case("s_suppkey", [t for t, _, _ in CODES]) + " AS t")
+    read = with_codes(spread(texts).select("s_suppkey", drawn("t", "s_suppkey").alias("content")))
+    found = read.select("s_suppkey", "codes.status", F.size("codes.values").alias("symbols"), F.get("codes.values", F.lit(0)).alias("value"))
+    return with_payload(found, "value").select("s_suppkey", "status", "symbols", "value", "payload.kind", "payload.url")
+
+
+CODES_SQL = f"SELECT s_suppkey, 'evaluated' AS status, 1 AS symbols, {_case('s_suppkey', [t for t, _, _ in CODES])} AS value, {_case('s_suppkey', [_quoted(k) for _, k, _ in CODES])} AS kind, {_case('s_suppkey', [u or 'NULL' for _, _, u in CODES], 'NULL')} AS url FROM supplier".replace("lpad(length(CAST(s_suppkey AS STRING)), 2, '0')", "lpad(CAST(length(CAST(s_suppkey AS VARCHAR)) AS VARCHAR), 2, '0')")
+
+
 def stix_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version-5 UUIDs of page addresses."""
     return _table(spark, sf_dir, "pages").select("page_id", uuid5(F.lit(NAMESPACE_URL), F.col("url")).alias("id"))
@@ -381,7 +408,7 @@ PARTS_SQL = f"SELECT lower(regexp_extract(u, '^([A-Za-z]+)://', 1)) AS scheme, {
 
 def queries() -> dict[str, Query]:
     own = (
-        url_triage_topk, url_finding_counts, url_obfuscated_ip, url_parts, brand_lookalikes, feed_join, content_rules, category_argmax, triage_scores, ngram_cosine, redaction, indicator_counts, header_checks, qr_payloads, stix_ids, html_links,
+        url_triage_topk, url_finding_counts, url_obfuscated_ip, url_parts, brand_lookalikes, feed_join, content_rules, category_argmax, triage_scores, ngram_cosine, redaction, indicator_counts, header_checks, qr_payloads, qr_images, stix_ids, html_links,
         conversation_text, window_counts, admission, message_triage, message_findings, message_cube, attachment_codes,
     )
     return {f.__name__: f for f in own}
@@ -390,5 +417,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "url_triage_topk": URL_TRIAGE_SQL, "url_finding_counts": URL_COUNTS_SQL, "stix_ids": STIX_SQL, "url_obfuscated_ip": URL_IP_SQL, "url_parts": PARTS_SQL, "brand_lookalikes": BRAND_ORACLE, "feed_join": FEED_SQL, "content_rules": CONTENT_SQL, "category_argmax": ARGMAX_SQL, "triage_scores": SCORE_SQL,
-        "ngram_cosine": COSINE_SQL, "redaction": REDACTION_SQL, "header_checks": HEADER_SQL, "qr_payloads": QR_SQL, "conversation_text": CONVERSATION_SQL, "window_counts": WINDOW_SQL, "admission": ADMISSION_SQL, "attachment_codes": ATTACHMENT_SQL,
+        "ngram_cosine": COSINE_SQL, "redaction": REDACTION_SQL, "header_checks": HEADER_SQL, "qr_payloads": QR_SQL, "qr_images": CODES_SQL, "conversation_text": CONVERSATION_SQL, "window_counts": WINDOW_SQL, "admission": ADMISSION_SQL, "attachment_codes": ATTACHMENT_SQL,
     }

@@ -7,6 +7,8 @@ import io
 import zipfile
 import zlib
 
+from ..sources import qr_write
+
 
 def zipped(**named) -> bytes:
     """A ZIP file of members (name to text), those in links as symbolic links; the same bytes each time."""
@@ -28,6 +30,16 @@ def with_file(name: str, kind: str, data: bytes) -> bytes:
 
 RELS = '<Relationship Id="1" TargetMode="External" Target="https://out.example/t.dotm"/><Relationship TargetMode="Internal" Target="x"/>'
 DEFLATED = b"%PDF-1.4 << /FlateDecode >>\nstream\n" + zlib.compress(b"see /OpenAction https://in.example/a") + b"\nendstream"
+
+
+def code_image(text: str, variant: int = 0) -> bytes:
+    """A PNG with the text's code: level, mask, size, row filters, colours and turn by variant."""
+    variant = int(variant)
+    pixels = qr_write.drawn(qr_write.symbol(text, "MLQH"[variant % 4], variant % 8), scale=1 + variant % 5)
+    turned = pixels.T[::-1] if variant % 3 == 1 else pixels
+    return qr_write.png(255 - turned if variant % 7 == 3 else turned, filters=None if variant % 2 else variant % 5)
+
+
 #: Name, type, bytes, codes, links.
 FILES = [
     ("a.docm.zip", "application/zip", zipped(members={"word/vbaProject.bin": "x", "../up": "DDEAUTO"}), {"ACTIVE_ARCHIVE_CONTENT", "ARCHIVE_PATH_TRAVERSAL", "EMBEDDED_OFFICE_OBJECT"}, []),
@@ -45,6 +57,8 @@ FILES = [
     ("j.png", "image/png", b"MZ", {"FILE_TYPE_MISMATCH", "EXECUTABLE_ATTACHMENT"}, []),
     ("k\u202etxt.bin", "x/y", b"hi", {"FILENAME_BIDI_CONTROL"}, []),
     ("l.txt", "text/plain", b"hi", set(), []),
+    ("m.png", "image/png", code_image("bit.ly/3xYzAbC"), {"QR_URL"}, ["http://bit.ly/3xYzAbC"]),
+    ("n.png", "image/png", code_image("WIFI:S:cafe;T:WPA;P:secret;;", 3), set(), []),
 ]
 
 

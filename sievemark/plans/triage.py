@@ -75,6 +75,12 @@ def analyze(messages: DataFrame, content: str = "content", trusted: tuple[str, .
     return _assembled(df, keep or [], known)
 
 
+def qr_status(images: Column) -> Column:
+    """How many of the image attachments were searched for codes."""
+    read = lambda a: a["qr"]["status"] == "evaluated"
+    return F.when(F.size(images) == 0, "not_applicable").when(F.forall(images, read), "evaluated").when(F.exists(images, read), "partial").otherwise("not_evaluated")
+
+
 def _link_type(df: DataFrame) -> str:
     finding_type = FINDINGS
     return f"array<struct<ordinal:int,url:string,normalized_url:string,host:string,registrable_domain:string,score:int,risk:string,findings:{finding_type},hits:array<struct<feed:string,indicator:string>>,rank_score:int>>"
@@ -126,7 +132,7 @@ def _assembled(df: DataFrame, keep: list[str], feeds: bool) -> DataFrame:
         "content": F.lit("evaluated"), "headers": F.when(F.col("sender.present"), "evaluated").otherwise("not_evaluated"), "authentication": F.col("sender.authentication"),
         "links_static": F.when(limited, "partial").when(F.size("_links") > 0, "evaluated").otherwise("not_applicable"),
         "local_reputation": F.when(F.lit(feeds) & (F.size("_top") > 0), "checked").otherwise("not_evaluated"), "network_osint": F.lit("not_evaluated"),
-        "attachments": F.when(partial, "partial").when(F.size("attachments") > 0, "evaluated").otherwise("not_applicable"), "qr": F.when(F.size(images) == 0, "not_applicable").otherwise("not_evaluated"),
+        "attachments": F.when(partial, "partial").when(F.size("attachments") > 0, "evaluated").otherwise("not_applicable"), "qr": qr_status(images),
         "thread_context": F.col("sender.thread"), "language_support": F.when(F.array_contains("wording.languages", "undetermined"), "limited").otherwise("evaluated"),
         "regional_patterns": F.when(F.size("wording.regions") > 0, "observed").otherwise("not_observed"), "advanced_tactics": F.when(F.size("_tactics") > 0, "observed").otherwise("not_observed"),
         "sensitive_indicator_extraction": F.lit("evaluated"),
