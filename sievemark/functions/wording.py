@@ -1,19 +1,21 @@
 """Wording rules, tactics, indicators, languages and regions as columns.
 
-A pack is unrolled into one array of conditional structs, so that rules keep
-their order and findings never leave their row: nothing is shuffled or joined.
+A pack is matched by its literals first (``literals``): an automaton names the
+rules that may hold, and only their patterns are tried. Rules keep their order
+and findings never leave their row: nothing is shuffled or joined.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import literals
 from .base import FINDINGS, finding, found, redacted, without_call_sites
+from .literals import candidates, required
 from .packs import CONTENT_RULES, GENERIC_RULES, LANGUAGE_MARKERS, LANGUAGES, NEGATIONS, REGIONS, SCRIPT_HINTS, TACTIC_RULES
 
 #: Characters of a message that rules read, before a match that negation reads, and of a match that is shown.
@@ -27,69 +29,27 @@ def ruled(text: Column) -> Column:
     return F.left(text, F.lit(RULE_CHARS))
 
 
-def first_match(text: Column, pattern: str) -> Column:
-    return F.regexp_substr(text, F.lit(FLAGS + pattern))
+def with_hits(df: DataFrame, text: str, rules: list[tuple], schema: str, into: str, shown: int, negatable: bool = True) -> DataFrame:
+    """df with an array of the rules (fields of schema, pattern last) that hold, each with its match as evidence, but for negated ones.
 
-
-#: Characters outside ASCII that match an ASCII letter where case is ignored.
-FOLDED = frozenset("\u0130\u0131\u017f\u212a")
-
-
-@functools.cache
-def beyond_ascii(pattern: str) -> bool:
-    """Whether whatever the pattern matches holds a character outside ASCII, so that it can't match in an ASCII text."""
-
-    def needed(items) -> bool:
-        return any(need(str(op), value) for op, value in items)
-
-    def outside(code: int) -> bool:
-        return code > 127 and chr(code) not in FOLDED
-
-    def need(op: str, value) -> bool:
-        if op == "LITERAL":
-            return outside(value)
-        if op == "IN":
-            return all((str(o) == "LITERAL" and outside(v)) or (str(o) == "RANGE" and v[0] > 127 and not any(v[0] <= ord(c) <= v[1] for c in FOLDED)) for o, v in value)
-        if op == "BRANCH":
-            return all(needed(x) for x in value[1])
-        if op == "SUBPATTERN":
-            return needed(value[-1])
-        if op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-            return value[0] > 0 and needed(value[2])
-        return False
-
-    return needed(re._parser.parse(pattern, re.IGNORECASE | re.DOTALL))
-
-
-def with_hits(df: DataFrame, text: str, patterns: list[str], into: str, negatable: bool = True) -> DataFrame:
-    """df with an array of each pattern's first match, null where there is none or a negation stands shortly before it."""
-    # most texts are ASCII, and most languages' patterns can't match there: one look at the text spares those
-    df = df.withColumn("_ascii", F.col(text).rlike(r"^\p{ASCII}*$"))
-    df = df.withColumn(into, F.array(*(F.when(~F.col("_ascii"), first_match(F.col(text), p)) if beyond_ascii(p) else first_match(F.col(text), p) for p in patterns))).drop("_ascii")
-    if not negatable:
-        return df
-    before = [F.when(F.get(F.col(into), F.lit(i)).isNotNull(), F.right(F.split(F.col(text), FLAGS + p, 2)[0], F.lit(NEGATION_CHARS))) for i, p in enumerate(patterns)]
-    df = df.withColumn("_before", F.array(*before))
-    # both arrays are arguments: a column that only a lambda's body names would be computed anew for each element
-    kept = F.zip_with(into, "_before", lambda m, b: F.when(~F.coalesce(b, F.lit("")).rlike(NEGATION), m))
-    return df.withColumn(into, kept).drop("_before")
-
-
-def _rows(names: str, rows: list[tuple]) -> Column:
-    """A constant array of structs."""
-    lit = lambda v: F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v)
-    return F.array(*(F.struct(*(lit(v).alias(n) for n, v in zip(names.split(), r, strict=True))) for r in rows))
-
-
-def _held(constants: Column, hits: str, shown: int) -> Column:
-    """Of the constant rows those whose pattern hit, with its match as evidence."""
-    return F.filter(F.zip_with(constants, F.col(hits), lambda r, m: F.when(m.isNotNull(), r.withField("evidence", F.left(m, F.lit(shown))))), lambda r: r.isNotNull())
+    A match is negated where a negation stands shortly before it.
+    """
+    found = candidates(F.col(text), rules, [required(r[-1]) for r in rules], schema)
+    # a column of its own: inside lambdas it would be computed for every element
+    df = df.withColumn("_may", found)
+    value, pattern = F.col(text), lambda r: F.concat(F.lit(FLAGS), r["pattern"])
+    matched = F.filter(F.transform("_may", lambda r: F.struct(r.alias("rule"), F.regexp_substr(value, pattern(r)).alias("match"))), lambda m: m["match"].isNotNull())
+    df = df.withColumn("_held", matched)
+    kept = F.col("_held")
+    if negatable:
+        before = lambda m: F.right(F.split(value, pattern(m["rule"]), 2)[0], F.lit(NEGATION_CHARS))
+        kept = F.filter(kept, lambda m: ~before(m).rlike(NEGATION))
+    return df.withColumn(into, F.transform(kept, lambda m: m["rule"].dropFields("pattern").withField("evidence", F.left(m["match"], F.lit(shown))))).drop("_may", "_held")
 
 
 def with_rules(df: DataFrame, text: str, into: str = "_rules", rules: tuple = CONTENT_RULES) -> DataFrame:
     """df with array<struct<rule_id, category, language, title, points, regions, evidence>> of content rules that hold, in the pack's order."""
-    df = with_hits(df, text, [r[-1] for r in rules], "_hits")
-    return df.withColumn(into, _held(_rows("rule_id category language title points regions", [r[:-1] for r in rules]), "_hits", SHOWN)).drop("_hits")
+    return with_hits(df, text, rules, "rule_id string, category string, language string, title string, points int, regions array<string>, pattern string", into, SHOWN)
 
 
 def load_rules(spark, path: str) -> tuple:
@@ -118,10 +78,9 @@ def content_findings(rules: Column) -> Column:
 
 
 def with_generic(df: DataFrame, text: str, into: str = "_generic") -> DataFrame:
-    df = with_hits(df, text, [r[-1] for r in GENERIC_RULES], "_hits")
-    held = _held(_rows("title points", [r[:-1] for r in GENERIC_RULES]), "_hits", SHOWN)
-    made = F.transform(held, lambda r: F.struct(F.lit("SOCIAL_ENGINEERING").alias("code"), r["title"].alias("title"), F.lit("low").alias("severity"), r["points"].alias("points"), r["evidence"].alias("evidence"), F.lit("content").alias("source"), F.lit("observed").alias("status")))
-    return df.withColumn(into, made.cast(FINDINGS)).drop("_hits")
+    df = with_hits(df, text, GENERIC_RULES, "title string, points int, pattern string", "_held_generic", SHOWN)
+    made = F.transform("_held_generic", lambda r: F.struct(F.lit("SOCIAL_ENGINEERING").alias("code"), r["title"].alias("title"), F.lit("low").alias("severity"), r["points"].alias("points"), r["evidence"].alias("evidence"), F.lit("content").alias("source"), F.lit("observed").alias("status")))
+    return df.withColumn(into, made.cast(FINDINGS)).drop("_held_generic")
 
 
 def category_points(entries: Column) -> Column:
@@ -139,8 +98,7 @@ def strongest(scores: Column) -> Column:
 
 def with_tactics(df: DataFrame, text: str, into: str = "_tactics") -> DataFrame:
     """df with array<struct<rule_id, category, title, points, mapping, evidence>> of tactic rules, on raw text, without negation."""
-    df = with_hits(df, text, [r[-1] for r in TACTIC_RULES], "_hits", negatable=False)
-    return df.withColumn(into, _held(_rows("rule_id category title points mapping", [r[:-1] for r in TACTIC_RULES]), "_hits", 180)).drop("_hits")
+    return with_hits(df, text, TACTIC_RULES, "rule_id string, category string, title string, points int, mapping string, pattern string", into, 180, negatable=False)
 
 
 def tactic_findings(hits: Column) -> Column:
@@ -221,26 +179,33 @@ def corroboration(findings: Column) -> Column:
     return finding(F.size(sources) >= 3, "MULTI_TACTIC_CORROBORATION", "Multiple advanced phishing tactics corroborate one another", "high", 14, F.array_join(sources, ", "), "advanced:correlation")
 
 
-def _spoken(padded: Column, marker: str) -> Column:
+def _marker(code: str, marker: str) -> tuple[str, str | None]:
+    """code, and the pattern of a marker that counts as a whole word only."""
     word = marker.casefold().strip()
-    if re.fullmatch(r"[a-zà-öø-ÿ' -]+", word):
-        return padded.rlike(rf"(?iU)(?<!\w){re.escape(word)}(?!\w)")
-    return F.contains(padded, F.lit(word))
+    return code, rf"(?iU)(?<!\w){re.escape(word)}(?!\w)" if re.fullmatch(r"[a-zà-öø-ÿ' -]+", word) else None
 
 
 def with_language_scores(df: DataFrame, folded: str, text: str, into: str = "_spoken") -> DataFrame:
     """df with array<struct<code, score>> of languages with evidence, in the pack's order; folded: the text casefolded."""
-    df = df.withColumn("_padded", F.concat(F.lit(" "), F.col(folded), F.lit(" ")))
-    count = lambda code: reduce(lambda a, b: a + b, (_spoken(F.col("_padded"), m).cast("int") for m in LANGUAGE_MARKERS[code]))
+    markers = [(c, m) for c, own in LANGUAGE_MARKERS.items() for m in own]
+    seen = candidates(F.col(folded), [_marker(*m) for m in markers], [frozenset([literals.folded(m.casefold().strip())]) for _, m in markers], "code string, pattern string")
+    df = df.withColumn("_marked", seen)
+    held = F.filter("_marked", lambda m: m["pattern"].isNull() | F.rlike(F.col(folded), m["pattern"]))
+    df = df.withColumn("_words", F.transform(held, lambda m: m["code"])).drop("_marked")
     hint = lambda code: F.when(F.col(text).rlike(SCRIPT_HINTS[code]), 2).otherwise(0) if code in SCRIPT_HINTS else F.lit(0)
-    df = df.withColumn("_counts", F.array(*(count(c) + hint(c) for c in LANGUAGE_MARKERS))).drop("_padded")
-    codes = list(LANGUAGE_MARKERS)
-    of = lambda code: F.get(F.col("_counts"), F.lit(codes.index(code)))
+    # most texts are ASCII, and scripts' hints can't be there
+    hints = F.array(*(hint(c) for c in LANGUAGE_MARKERS))
+    none = F.array_repeat(F.lit(0), len(LANGUAGE_MARKERS))
+    df = df.withColumn("_hints", F.when(F.col(text).rlike(r"^\p{ASCII}*$"), none).otherwise(hints))
+    codes = F.array(*map(F.lit, LANGUAGE_MARKERS))
+    counted = F.zip_with(codes, "_hints", lambda c, h: F.struct(c.alias("code"), (F.size(F.filter("_words", lambda w: w == c)) + h).alias("score")))
+    df = df.withColumn("_counts", counted).drop("_words", "_hints")
+    places = list(LANGUAGE_MARKERS)
+    of = lambda code: F.get(F.col("_counts"), F.lit(places.index(code)))["score"]
     han = F.col(text).rlike("[\u3400-\u9fff]") & (of("zh-Hans") == 0) & (of("zh-Hant") == 0)
     arabic = F.col(text).rlike("[\u0600-\u06ff]") & (of("ar") == 0) & (of("ur") == 0)
-    guessed = {"zh-Hans": F.when(han, 1).otherwise(of("zh-Hans")), "ar": F.when(arabic, 1).otherwise(of("ar"))}
-    listed = F.array(*(F.struct(F.lit(c).alias("code"), guessed.get(c, of(c)).alias("score")) for c in codes))
-    return df.withColumn(into, F.filter(listed, lambda x: x["score"] > 0)).drop("_counts")
+    guessed = F.transform("_counts", lambda x: F.when(((x["code"] == "zh-Hans") & han) | ((x["code"] == "ar") & arabic), x.withField("score", F.lit(1))).otherwise(x))
+    return df.withColumn(into, F.filter(guessed, lambda x: x["score"] > 0)).drop("_counts")
 
 
 def languages(scores: Column) -> Column:
@@ -258,7 +223,9 @@ def language_names(codes: Column) -> Column:
 def with_regions(df: DataFrame, folded: str, rules: str, into: str = "_regions") -> DataFrame:
     """df with array<struct<code, label, strength, evidence>>: substrings of the casefolded text and regions of matched rules."""
     words = [(code, m) for code, (_, markers) in REGIONS.items() for m in markers]
-    spoken = F.filter(F.array(*(F.when(F.contains(F.col(folded), F.lit(m.casefold())), F.struct(F.lit(c).alias("code"), F.lit(m).alias("evidence"))) for c, m in words)), lambda x: x.isNotNull())
+    near = candidates(F.col(folded), [(c, m, m.casefold()) for c, m in words], [frozenset([literals.folded(m.casefold())]) for _, m in words], "code string, evidence string, word string")
+    df = df.withColumn("_near", near)
+    spoken = F.transform(F.filter("_near", lambda m: F.contains(F.col(folded), m["word"])), lambda m: m.dropFields("word"))
     ruled_by = F.flatten(F.transform(rules, lambda r: F.transform(r["regions"], lambda c: F.struct(c.alias("code"), F.concat(F.lit("rule:"), r["rule_id"]).alias("evidence")))))
     df = df.withColumn("_signs", F.concat(spoken, ruled_by))
     labels = F.create_map(*(F.lit(x) for c, (label, _) in REGIONS.items() for x in (c, label)))
@@ -266,7 +233,7 @@ def with_regions(df: DataFrame, folded: str, rules: str, into: str = "_regions")
     codes = F.array_distinct(F.transform("_signs", lambda s: s["code"]))
     ordered = F.array_sort(F.transform(codes, lambda c: F.struct((-F.size(of(c))).alias("n"), c.alias("code"), of(c).alias("evidence"))))
     made = F.transform(ordered, lambda r: F.struct(r["code"].alias("code"), F.coalesce(labels[r["code"]], r["code"]).alias("label"), F.when(r["n"] <= -2, "strong").otherwise("possible").alias("strength"), F.slice(r["evidence"], 1, 8).alias("evidence")))
-    return df.withColumn(into, made).drop("_signs")
+    return df.withColumn(into, made).drop("_signs", "_near")
 
 
 def _problems(pack: tuple, top: int) -> list[str]:

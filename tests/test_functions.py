@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from sievemark.functions.scoring import triage_score
@@ -129,10 +131,61 @@ def test_reports():
     assert manifest_problems(3) == ["manifest must be an object"]
 
 
-def test_patterns_beyond_ascii():
-    from sievemark.functions.packs import CONTENT_RULES
-    from sievemark.functions.wording import beyond_ascii
+def test_required_literals():
+    from sievemark.functions.literals import folded, required
+    from sievemark.functions.packs import CONTENT_RULES, GENERIC_RULES, TACTIC_RULES
+
+    assert required("(?:verify|check) your (account)") in ({"verify", "check"}, {"account"}, {" your "})
+    assert required("(é|ü)xy") == {"xy"} and required("(?:abc|de)+f?") == {"abc", "de"} and required("STRASSE|x1") == {"strasse", "x1"}
+    assert required("(?!never)ab{2}") is None and required("a|bc") is None and required(r"\d+.?") is None and required("(?<=abc)d") is None and required("x*(yes)?") is None
+    assert required("(") is None
+    assert folded("İSTANBUL ſtraße Kelvin") == "istanbul strasse kelvin"
+    # every rule of the packs has literals, so no pattern runs on a text without them
+    assert all(required(r[-1]) for r in (*CONTENT_RULES, *TACTIC_RULES, *GENERIC_RULES))
+
+
+def test_matches_need_their_literals():
+    """Texts made from the patterns themselves: a match holds a literal of its rule."""
+    import random
+
+    from sievemark.functions.literals import Matcher, required
+    from sievemark.functions.packs import CONTENT_RULES, TACTIC_RULES
+
+    random_, rules = random.Random(3), (*CONTENT_RULES, *TACTIC_RULES)
+
+    def said(items):
+        out = ""
+        for op, value in items:
+            name = str(op)
+            if name == "LITERAL":
+                out += random_.choice([str.lower, str.upper])(chr(value))
+            elif name == "IN":
+                out += next((chr(v if str(o) == "LITERAL" else v[0]) for o, v in value if str(o) in ("LITERAL", "RANGE")), "a")
+            elif name == "SUBPATTERN":
+                out += said(value[-1])
+            elif name == "BRANCH":
+                out += said(random_.choice(value[1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += "".join(said(value[2]) for _ in range(random_.randint(value[0], min(value[1], value[0] + 2))))
+            elif name == "ANY":
+                out += random_.choice(" x")
+        return out
+
+    matcher, hits = Matcher([required(r[-1]) for r in rules]), 0
+    for i, r in enumerate(rules):
+        for _ in range(30):
+            text = "so " + said(re._parser.parse(r[-1], re.I | re.S)) + " now"
+            if re.search(r[-1], text, re.I | re.S):
+                assert i in matcher.of(text), (r[0], text)
+                hits += 1
+    assert hits > 15 * len(rules)
+
+
+def test_large_packs(spark):
+    """Five thousand rules are one array of candidates in the plan."""
+    rules = tuple((f"r{i}", "c", "en", f"t{i}", 1 + i % 40, ("SG",) if i % 2 else (), rf"\bword{i}\b.{{0,9}}\bnow\b") for i in range(5000))
+    df = with_rules(spark.createDataFrame([(f"take word{i} right now", i) for i in range(0, 5000, 250)] + [("do not take word7 now", 7), (None, 8)], "t string, i int"), "t", rules=rules)
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {r.i: [(x.rule_id, x.title, x.points, x.regions, x.evidence) for x in r._rules or []] for r in df.collect()}
+    assert all(got[i] == [(f"r{i}", f"t{i}", 1 + i % 40, ["SG"] if i % 2 else [], f"word{i} right now")] for i in range(0, 5000, 250)) and got[8] == []
 
-    assert beyond_ascii("(é|ü)x") and beyond_ascii("a?[à-ü]+b") and beyond_ascii("(?:ab|cé)(?:é){1,2}")
-    assert not any(map(beyond_ascii, ("(é|x)", "é?x", "[éa]", "ſ", "[ſé]x", "[^a]", ".", r"\w+", "(?!é)x", "")))
-    assert 10 < sum(beyond_ascii(r[-1]) for r in CONTENT_RULES) < len(CONTENT_RULES)
