@@ -2,47 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
+from importlib.resources import files
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .addresses import V4, is_ip, non_public, v6_numbers, v6_text
 from .base import capped, finding, found, let, percent_decoded, points, risk_label, without_call_sites
 from .packs import BRANDS, FILE_SUFFIXES, LURE_WORDS, REDIRECT_KEYS, SHORTENERS, USER_CONTENT_HOSTS
 from .unicode import controls, host_names, idna, scripts
 
 #: Top-level names that never have a public suffix list of their own.
 RESERVED = ("example", "test", "invalid", "localhost")
-#: Public suffixes of two labels that are covered; others count as one label.
-SUFFIXES = (
-    "co.uk", "org.uk", "gov.uk", "ac.uk", "me.uk", "ltd.uk", "plc.uk", "nhs.uk", "com.sg", "gov.sg", "edu.sg", "org.sg", "net.sg", "com.au", "net.au", "org.au", "gov.au", "edu.au",
-    "co.nz", "org.nz", "govt.nz", "ac.nz", "co.jp", "ne.jp", "or.jp", "go.jp", "ac.jp", "co.in", "net.in", "org.in", "gov.in", "ac.in", "com.br", "net.br", "org.br", "gov.br", "com.mx",
-    "com.cn", "net.cn", "org.cn", "gov.cn", "com.hk", "gov.hk", "org.hk", "com.my", "gov.my", "co.id", "go.id", "or.id", "co.kr", "or.kr", "go.kr", "com.tw", "gov.tw", "co.za", "org.za",
-    "gov.za", "com.ph", "gov.ph", "co.th", "go.th", "com.vn", "gov.vn", "com.tr", "com.ar", "com.co",
-)
 #: Words that links of lures hold, and digits and signs with the letters they stand for.
 TERMS = ("login", "signin", "verify", "secure", "account", "update", "password", "wallet", "invoice", "payment", "auth")
 LEET = ("013457$@", "oleastsa")
-_V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"
-#: (first address, prefix length) of IPv4 ranges that aren't public.
-PRIVATE_V4 = (("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4))
 
 
-def is_ip(host: Column) -> Column:
-    return host.rlike(_V4) | (F.contains(host, F.lit(":")) & host.rlike(r"^[0-9a-fA-F:.]+$"))
+@dataclass(frozen=True)
+class Suffixes:
+    """Rules of public suffixes by their number of labels: suffixes, suffixes below any label, exceptions."""
+
+    plain: dict[int, tuple[str, ...]]
+    wild: dict[int, tuple[str, ...]]
+    except_: dict[int, tuple[str, ...]]
+
+    @classmethod
+    def of(cls, lines: Iterable[str]) -> Suffixes:
+        """From lines of a public suffix list; what follows white space or stands behind // is a comment. Names are compared in their ASCII form."""
+        kinds: tuple[dict[int, set[str]], ...] = ({}, {}, {})
+        for line in lines:
+            rule = (line.split() or [""])[0].lower().strip(".")
+            if not rule or rule.startswith("//"):
+                continue
+            kind, name = (2, rule[1:]) if rule[0] == "!" else (1, rule[2:]) if rule.startswith("*.") else (0, rule)
+            name = name if name.isascii() else name.encode("idna").decode()
+            kinds[kind].setdefault(name.count(".") + 1, set()).add(name)
+        return cls(*({n: tuple(sorted(own)) for n, own in sorted(kind.items())} for kind in kinds))
+
+
+def load_suffixes(spark: SparkSession, path: str) -> Suffixes:
+    """A public suffix list (some ten thousand lines) from wherever Spark reads."""
+    return Suffixes.of(r.value for r in spark.read.text(path).collect())
+
+
+_suffixes = Suffixes.of(files(__package__).joinpath("public_suffixes.txt").read_text("utf-8").splitlines())
+
+
+def use_suffixes(rules: Suffixes) -> Suffixes:
+    """Takes rules for all columns that are built from now on; returns those before."""
+    global _suffixes
+    before, _suffixes = _suffixes, rules
+    return before
 
 
 def registrable(host: Column) -> Column:
-    """The domain an organisation registers: two labels, three behind a two-label public suffix; IP addresses as they are."""
+    """The domain an organisation registers: its public suffix and one label more; IP addresses and bare suffixes as they are."""
     return let(F.btrim(F.lower(host), F.lit(".[]")), _registrable)
 
 
 def _registrable(host: Column) -> Column:
     labels = F.split(host, r"\.")
-    last = F.array_join(F.slice(labels, -2, 2), ".")
-    long = F.array_join(F.slice(labels, -3, 3), ".")
-    size = F.size(labels)
-    return F.when(is_ip(host) | (size < 2), host).when(F.element_at(labels, -1).isin(*RESERVED), last).when(last.isin(*SUFFIXES) & (size > 2), long).otherwise(last)
+    size, rules = F.size(labels), _suffixes
+    tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    listed = lambda n, names: (size >= n) & F.when(size >= n, tail(n)).isin(*names)
+    # the longest rule holds, but for exceptions, whose suffix has a label less
+    counts = [F.lit(1)] + [F.when(listed(n, names), n) for n, names in rules.plain.items() if n > 1] + [F.when(listed(n, names) & (size > n), n + 1) for n, names in rules.wild.items()]
+    longest = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    for n, names in rules.except_.items():
+        longest = F.when(listed(n, names), n - 1).otherwise(longest)
+    own = let(longest, lambda k: F.array_join(F.slice(labels, -F.least(size, k + 1), F.least(size, k + 1)), "."))
+    return F.when(is_ip(host) | (size < 2), host).when(F.element_at(labels, -1).isin(*RESERVED), tail(2)).otherwise(own)
 
 
 def parts(url: Column) -> Column:
@@ -91,17 +124,6 @@ def _packed(v: Column) -> Column:
     )
 
 
-def non_public(ip: Column) -> Column:
-    p = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("bigint"))
-    packed = F.get(p, F.lit(0)) * (1 << 24) + F.get(p, F.lit(1)) * (1 << 16) + F.get(p, F.lit(2)) * (1 << 8) + F.get(p, F.lit(3))
-    ranges = []
-    for first, bits in PRIVATE_V4:
-        low = sum(int(x) << s for x, s in zip(first.split("."), (24, 16, 8, 0), strict=True))
-        ranges.append(packed.between(low, low + (1 << (32 - bits)) - 1))
-    v6 = F.contains(ip, F.lit(":")) & ip.rlike(r"(?i)^(?:::1?$|f[cd]|fe[89ab]|2001:0?db8:)")
-    return F.when(ip.rlike(_V4), reduce(lambda a, b: a | b, ranges)).otherwise(v6)
-
-
 def brand_tokens(folded: Column, decoded: Column, reg: Column) -> Column:
     """Spellings that the host's labels before its suffix can be read as."""
     labels = F.filter(F.split(F.lower(folded), r"\."), lambda x: x != "")
@@ -183,7 +205,7 @@ def with_links(df: DataFrame, url: str = "url", into: str = "link") -> DataFrame
     query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
     path = F.when(p["path"] == "", "/").otherwise(p["path"])
     df = df.withColumn("_u", F.when(p["scheme"] == "", F.btrim(F.col(url))).otherwise(F.concat(p["scheme"], F.lit("://"), user, shown, port, path, query)))
-    df = df.withColumn("_o", canonical_ipv4(host)).withColumn("_ip", F.coalesce("_o", F.when(is_ip(host), host)))
+    df = df.withColumn("_o", canonical_ipv4(host)).withColumn("_ip", F.coalesce("_o", F.when(host.rlike(V4), host), F.when(F.contains(host, F.lit(":")), v6_text(v6_numbers(host)))))
     df = df.withColumn("_r", redirect(p["query"])).withColumn("_b", brand_hits(host, F.col("_n")))
     decoded = F.lower(percent_decoded(F.concat(path, F.lit("?"), p["query"])))
     df = df.withColumn("_t", F.array_sort(F.array_distinct(F.regexp_extract_all(decoded, F.lit("(" + "|".join(TERMS) + ")"), F.lit(0)))))

@@ -189,3 +189,48 @@ def test_large_packs(spark):
     got = {r.i: [(x.rule_id, x.title, x.points, x.regions, x.evidence) for x in r._rules or []] for r in df.collect()}
     assert all(got[i] == [(f"r{i}", f"t{i}", 1 + i % 40, ["SG"] if i % 2 else [], f"word{i} right now")] for i in range(0, 5000, 250)) and got[8] == []
 
+
+
+def test_addresses_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from sievemark.functions import addresses as A
+
+    r = random.Random(1)
+    ranges = [ipaddress.ip_network(x) for x in (*A.PRIVATE_V4, *A.PUBLIC_V4, *A.PRIVATE_V6, *A.PUBLIC_V6, *A.RESERVED_V6) if x != "3fff::/20"]
+    edges = {x for net in ranges for x in (net[0], net[-1], net[0] - 1 if int(net[0]) else net[0])}
+    values = {str(x) for x in edges if x.version == 4 or x not in ipaddress.ip_network("3fff::/20")}
+    values |= {str(ipaddress.IPv6Address(r.getrandbits(128))) for _ in range(200)} | {str(ipaddress.IPv4Address(r.getrandbits(32))) for _ in range(100)}
+    values |= {":".join(r.choice(["0", "0", "0", "a", "1F", "ffff", "00ab"]) for _ in range(r.choice([8, 8, 7, 9]))) for _ in range(300)} | {":".join(r.choice(["", "0", "1", "ab"]) for _ in range(r.randint(2, 9))) for _ in range(600)}
+    values |= {r.choice(["::ffff:", "::FFFF:", "::", "64:ff9b::", "1:2:3:4:5:6:", "1:2:3:4:5:6:7:"]) + ".".join(str(r.randint(0, 260)) for _ in range(4)) for _ in range(200)}
+    values |= {":", "::", ":::", "1::2::3", "12345::", "g::", "", " ::1", "[::1]", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2:3:4:5:6:7:8", "::1.2.3", "::1.2.3.4.5", "::01.2.3.4", "::ffff:10.0.0.1"}
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", A.is_ip(F.col("v")).alias("ip"), A.non_public(F.col("v")).alias("hidden"), A.v6_text(A.v6_numbers(F.col("v"))).alias("text"))
+    for x in df.collect():
+        try:
+            ip = ipaddress.ip_address(x.v)
+        except ValueError:
+            assert not x.ip and x.text is None, x.v
+            continue
+        assert x.ip and x.hidden == (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved), x.v
+        assert x.text is None if ip.version == 4 else ipaddress.ip_address(x.text) == ip and (ip.ipv4_mapped or x.text == ip.compressed), x.v
+
+
+def test_public_suffixes(spark, tmp_path):
+    from sievemark.functions.urls import load_suffixes, use_suffixes
+
+    def sites(hosts):
+        return {r.h: r.r for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", registrable(F.col("h")).alias("r")).collect()}
+
+    own = {
+        "a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "y.www.ck": "www.ck", "www.ck": "www.ck", "b.ck": "b.ck", "co.uk": "co.uk", "x.github.io": "x.github.io", "a.x.github.io": "x.github.io", "shop.example.co.il": "example.co.il",
+        "a.city.kobe.jp": "city.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "c.kobe.jp": "c.kobe.jp", "ck": "ck", "[::1]": "::1", "b.com": "b.com", "x.b.com": "b.com", "e.d.compute.amazonaws.com": "e.d.compute.amazonaws.com",
+    }
+    assert sites(own) == own
+    (tmp_path / "list.dat").write_text("// mine\n\ncorp\nteam.corp trailing words\n*.guest.corp\n!vip.guest.corp\nbücher.example.shop\n")
+    before = use_suffixes(load_suffixes(spark, str(tmp_path)))
+    try:
+        want = {"a.b.corp": "b.corp", "x.a.team.corp": "a.team.corp", "z.y.x.guest.corp": "y.x.guest.corp", "q.vip.guest.corp": "vip.guest.corp", "a.co.uk": "co.uk", "w.v.xn--bcher-kva.example.shop": "v.xn--bcher-kva.example.shop"}
+        assert sites(want) == want
+    finally:
+        use_suffixes(before)
