@@ -5,14 +5,18 @@ a class, and classes are joined. Elements have one order for all sets, rare ones
 first: by the load of their cell in a table of ``CELLS`` counts over all
 documents, then by hash. Any fixed order gives the same links; this one keeps
 common passages out of the way. Of two sets that reach the threshold the larger,
-of n elements, shares at least ``ceil(threshold * n / 100)`` with the other, so
-
-* (heavy) both have an element in common among their first
-  ``n - ceil(threshold * n / 100) + 1``: large sets meet in inverted lists of these,
-* (light) both have two elements in common among one more: small sets meet in
-  buckets of the two-element subsets of these, which are far fewer sets each
-  than the lists of their elements. An element in no other set's list is in no
-  shared subset, so only subsets of the others are enumerated.
+of n elements, shares at least ``ceil(threshold * n / 100)`` with the other, so for any k
+both have k elements in common among their first
+``n - ceil(threshold * n / 100) + k``:
+
+* (pruning) A set of whose first elements, with k = ``ahead(n)``, fewer than k
+  stand in any other set's first elements links with none. Most texts that only
+  share a passage with others end here.
+* (heavy, k = 1) Large sets meet in the inverted lists of their first elements.
+* (light, k = 2) Small sets meet in buckets of the two-element subsets of their
+  first elements, which are far fewer sets each than the lists. An element in no
+  other set's list is in no shared subset, so only subsets of the others are
+  enumerated.
 
 A pair of small sets meets in a subset, any other pair in a list; sets that are
 small, but could still link with a large one, are in both. The boundary has the
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_or_empty
+from .common import key_filter, materialize, maybe_in, release, table, text_or_empty
 from .linking import class_of, connect, met, resolved, sets_of
 
 WORDS, THRESHOLD = 5, 80
@@ -161,8 +165,13 @@ def fewest(n, threshold: int):
     return (threshold * n + 99) // 100
 
 
+def ahead(n, threshold: int):
+    """Elements of the first ones that sets of n are asked to share."""
+    return 1 + (n - fewest(n, threshold)) // 2
+
+
 def prefixes(docs: DataFrame, key: str, text: str, words: int, threshold: int) -> DataFrame:
-    """k, n, cls (null for empty sets), first: the first elements in the common order, one more than large sets need; sig: the parity bitmap."""
+    """k, n, cls (null for empty sets), first: the first elements in the common order, as many as pruning needs; sig: the parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(loads(docs, text, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +182,7 @@ def prefixes(docs: DataFrame, key: str, text: str, words: int, threshold: int) -
                 own = elements(value.as_py(), words)
                 n.append(len(own))
                 cls.append(class_of(own) if len(own) else None)
-                order = np.lexsort((own, load[_cell(own)]))[: len(own) - fewest(len(own), threshold) + 2]
+                order = np.lexsort((own, load[_cell(own)]))[: len(own) - fewest(len(own), threshold) + max(2, ahead(len(own), threshold))]
                 first.append(own[order].view(np.int64))
                 sig.append(parity(own))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first))) if first else pa.array([], pa.list_(pa.int64()))
@@ -239,17 +248,28 @@ def pruned(threshold: int):
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id, kept for every row of docs."""
     rows = materialize(prefixes(docs, key, text, words, threshold), "join-prefixes")
-    classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sig").alias("sig")), "join-classes")
+    classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n")), "join-classes")
     # sets of so few elements that one more or less falls short of the threshold link with equal ones only
-    able = classes.where(100 * F.col("n") >= threshold * (F.col("n") + 1))
-    last = F.col("n") - F.expr(f"({threshold} * n + 99) div 100") + 1
-    each = able.select("cls", "n", F.posexplode("first").alias("at", "bucket")).withColumn("extra", F.col("at") >= last)
-    lists = met(each.where(~F.col("extra") | (F.col("n") <= SMALL)).select("bucket", "cls", "n", "extra"), "n", "extra")
+    able = rows.where(100 * F.col("n") >= threshold * (F.col("n") + 1))
+    each = able.select("cls", "n", F.posexplode("first").alias("at", "bucket"))
+    # elements of several rows, be they of one class or not; from then on each is there once for a class
+    crowded = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = maybe_in(each, key_filter(materialize(crowded, "join-crowded"), "bucket"), "bucket").groupBy("cls", "bucket").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    held = materialize(shared, "join-held")
+    several = materialize(held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "join-several")
+    shared = materialize(held.join(several, "bucket", "left_semi"), "join-shared")
+    need = F.expr(f"({threshold} * n + 99) div 100")
+    least = 1 + F.floor((need - F.floor((threshold * need + 99) / 100)) / 2)  # what is asked of the smallest set that n can link with
+    likely = materialize(shared.groupBy("cls", "n").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("cls"), "join-likely")
+    lists = shared.join(likely, "cls", "left_semi").withColumn("extra", F.col("at") >= F.col("n") - need + 1)
+    lists = met(lists.where(~F.col("extra") | ((F.col("n") <= SMALL) & (F.col("at") == F.col("n") - need + 1))).select("bucket", "cls", "n", "extra"), "n", "extra")
     small = boundary(lists, threshold)
     light = subsets(lists.where(F.col("n") <= small).groupBy("cls").agg(F.collect_list("bucket").alias("own")).where(F.size("own") > 1))
     heavy = lists.where((F.col("n") >= fewest(small + 1, threshold)) & ~F.col("extra")).select("bucket", "cls")
     multi = met(light.unionByName(heavy))
-    sketches = materialize(classes.select("cls", "rep", "n", "sig").join(multi.select("cls").distinct(), "cls", "left_semi"), "join-sketches")
+    needed = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi"), "join-needed")
+    drawn = maybe_in(rows.where("cls IS NOT NULL").select("cls", "sig"), key_filter(needed, "cls"), "cls").groupBy("cls").agg(F.first("sig").alias("sig"))
+    sketches = materialize(needed.join(drawn, "cls"), "join-sketches")
     fetch = lambda wanted: sets_of(docs, wanted, key, text, lambda t: elements(t, words), release)
     return resolved(rows, classes, connect(multi, sketches, fetch, threshold, pruned(threshold)), key)
 
