@@ -6,25 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.base import finding, found, let, without_call_sites
+from ..functions.mailboxes import host_of, mailboxes
 from ..functions.packs import BRANDS
 from ..functions.unicode import controls, host_names
 from ..functions.urls import brand_hits, registrable
 
 
-def address(field: Column) -> Column:
-    """The address of a mailbox field: what stands in angle brackets, else the first word with an at sign."""
-    bracketed = F.regexp_extract(field, r"<\s*([^<>\s]*@[^<>\s]*)\s*>", 1)
-    return F.when(bracketed != "", bracketed).otherwise(F.regexp_extract(field, r"([^\s<>,;\"]+@[^\s<>,;\"]+)", 1))
-
-
-def domain(field: Column) -> Column:
-    return F.btrim(F.lower(F.regexp_extract(address(field), r"@([^@]*)$", 1)), F.lit(".>"))
-
-
-def display_name(field: Column) -> Column:
-    return F.btrim(F.regexp_extract(field, r"^\s*\"?([^<\"]*)\"?\s*<", 1))
-
-
 def _apart(a: Column, b: Column) -> Column:
     """Whether two struct<host, site> are of different organisations."""
     return (a["host"] != "") & (b["host"] != "") & (a["site"] != b["site"])
@@ -43,8 +30,10 @@ def with_headers(df: DataFrame, headers: str = "headers", trusted: tuple[str, ..
     get = lambda name: F.coalesce(F.col(headers)[name], F.lit(""))
     lines = lambda name: F.filter(F.split(get(name), "\r?\n"), lambda x: F.btrim(x) != "")
     names = {"from": "_from", "reply-to": "_reply", "return-path": "_path", "sender": "_sent"}
-    for name, into_ in names.items():
-        df = df.withColumn(into_, _sited(domain(get(name))))
+    df = df.withColumn("_boxes", mailboxes(*map(get, names)))
+    for i, into_ in enumerate(names.values()):
+        df = df.withColumn(into_, _sited(host_of(F.get("_boxes", F.lit(i))["address"])))
+    box = F.get("_boxes", F.lit(0))
     ids = sorted(t.casefold().rstrip(".") for t in trusted)
     server = lambda block: F.rtrim(F.lower(F.split(F.btrim(F.split(block, ";", 2)[0]), r"\s+")[0]), F.lit("."))
     df = df.withColumn("_blocks", F.transform(lines("authentication-results"), lambda b: F.btrim(b)))
@@ -54,7 +43,7 @@ def with_headers(df: DataFrame, headers: str = "headers", trusted: tuple[str, ..
     passed = lambda what: auth.rlike(rf"\b{what}\s*=\s*pass")
     aligned = lambda pattern: F.exists(F.regexp_extract_all(auth, F.lit(pattern), F.lit(1)), lambda d: (F.col("_from.host") != "") & (registrable(F.btrim(d, F.lit("<>"))) == F.col("_from.site")))
     good = passed("dmarc") | (passed("spf") & aligned(r"smtp\.mailfrom=([^\s;]+)")) | (passed("dkim") & aligned(r"header\.d=([^\s;]+)"))
-    authors = F.regexp_extract_all(get("from"), F.lit(r"[^\s<>,;\"]+@[^\s<>,;\"]+"), F.lit(0))
+    authors = box["all"]
     pair = lambda a, x, b, y: F.concat(F.lit(f"{a}: "), x["host"], F.lit(f"; {b}: "), y["host"])
     made = lambda when, code, title, severity, points, evidence, source="headers", status="observed": finding(when, code, title, severity, points, evidence, source, status)
     author, reply, sent, back = F.col("_from"), F.col("_reply"), F.col("_sent"), F.col("_path")
@@ -76,13 +65,13 @@ def with_headers(df: DataFrame, headers: str = "headers", trusted: tuple[str, ..
         made((get("in-reply-to") != "") & _apart(reply, author), "THREAD_REPLY_ROUTE_CHANGED", "Reply routing changed inside an apparent thread", "high", 18, pair("From", author, "Reply-To", reply), "thread"),
     ]
     df = df.withColumn("_checks", found(*checks))
-    shown = F.lower(display_name(get("from")))
+    shown = F.lower(box["name"])
     claimed = F.filter(F.array(*(F.when(shown.rlike(rf"(?U)(?<!\w){b}(?!\w)") & ~author["site"].isin(*official), b) for b, official in BRANDS.items())), lambda x: x.isNotNull())
     other = _sited(F.btrim(F.lower(F.regexp_extract(get("message-id"), r"@([^>\s]+)", 1)), F.lit(".")))
     df = df.withColumn("_named", host_names(author["host"])).withColumn("_other", other)
     df = df.withColumn("_claimed", claimed).withColumn("_spoofed", F.when(author["host"] != "", brand_hits(author["host"], F.col("_named"))))
     other = F.col("_other")
-    hidden = controls(F.concat(display_name(get("from")), address(get("from"))))
+    hidden = controls(F.concat(box["name"], box["address"]))
     imitation = found(
         made(F.size("_claimed") > 0, "DISPLAY_NAME_BRAND_IMPERSONATION", "Display name claims a brand not aligned with the sender domain", "high", 24, F.concat(F.lit("Claimed: "), F.array_join("_claimed", ", "), F.lit("; sender domain: "), F.coalesce(F.nullif(author["host"], F.lit("")), F.lit("unavailable")))),
         made(F.size("_spoofed") > 0, "SENDER_DOMAIN_BRAND_IMPERSONATION", "Sender domain imitates a brand it does not own", "high", 24, F.concat(F.lit("Sender domain: "), author["host"], F.lit("; imitates: "), F.array_join(F.transform("_spoofed", lambda b: b["brand"]), ", "))),
@@ -95,4 +84,4 @@ def with_headers(df: DataFrame, headers: str = "headers", trusted: tuple[str, ..
         F.when(some, F.col("_checks")).otherwise(none).alias("findings"), F.when(some, imitation).otherwise(none).alias("impersonation"),
         F.when(some & seen, "evaluated").otherwise("not_evaluated").alias("authentication"), F.when((get("in-reply-to") != "") | (get("references") != ""), "evaluated").otherwise("not_applicable").alias("thread"), some.alias("present"),
     )
-    return df.withColumn(into, out).drop("_from", "_reply", "_path", "_sent", "_blocks", "_trusted", "_auth", "_checks", "_claimed", "_spoofed", "_named", "_other")
+    return df.withColumn(into, out).drop("_from", "_reply", "_path", "_sent", "_blocks", "_trusted", "_auth", "_boxes", "_checks", "_claimed", "_spoofed", "_named", "_other")
