@@ -2,21 +2,19 @@
 
     python -m sievemark MESSAGES --out FOLDER [--formats json,txt,html,stix,docx,pdf] [--feed FILE] [--trusted ID]
 
-MESSAGES and FOLDER may be anywhere that Spark reads; reports are written by the tasks that made them.
+MESSAGES and FOLDER may be anywhere that Spark reads (FOLDER: that Arrow opens); reports appear together once all are written, or not at all.
 """
 
 from __future__ import annotations
 
 import argparse
-import posixpath
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.reports import docx_column, html_column, json_column, lines_column, pdf_column, stix_column
 from .plans.triage import analyze
+from .sources.connectors import ReportSink
 from .sources.mail import read_folder
 
 FORMATS = ("json", "txt", "html", "stix", "docx", "pdf")
@@ -44,25 +42,13 @@ def main(arguments: list[str] | None = None) -> int:
         "json": json_column(results).cast("binary"), "txt": F.array_join(lines_column(), "\n").cast("binary"), "html": html_column().cast("binary"), "stix": stix_column(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).cast("binary"),
         "docx": docx_column(lines_column()), "pdf": pdf_column(lines_column()),
     }
-    rows = results.select(F.coalesce("case_id", "message_id").alias("name"), *(F.when(F.col("error").isNull(), made[f]).alias(f) for f in given.formats))
-    folder = given.out
-
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        system.create_dir(at)
-        for batch in batches:
-            count = 0
-            for row in batch.to_pylist():
-                for kind, data in row.items():
-                    if kind != "name" and data is not None:
-                        with system.open_output_stream(posixpath.join(at, f"{row['name']}.{kind}"), compression=None) as f:
-                            f.write(data)
-                        count += 1
-            yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
-
-    total = rows.mapInArrow(written, "n long").agg(F.sum("n")).first()[0]
+    name = F.coalesce("case_id", "message_id")
+    each = F.array(*(F.struct(F.concat(name, F.lit(f".{f}")).alias("name"), F.when(F.col("error").isNull(), made[f]).alias("content")) for f in given.formats))
+    rows = results.select(F.inline(each)).where("content IS NOT NULL")
+    spark.dataSource.register(ReportSink)
+    counted = Observation()
+    rows.observe(counted, F.count("*").alias("n")).write.format("reports").mode("append").save(given.out)
+    total, folder = counted.get["n"], given.out
     print(f"{total or 0} reports in {folder}")
     return 0
 
