@@ -57,8 +57,12 @@ def _packed(p: Column, sides: Column, groups: Column) -> Column:
     return F.when(shape & whole, F.struct(half(1).alias("hi"), half(5).alias("lo")))
 
 
-def v6_text(n: Column) -> Column:
+def v6_text(numbers: Column) -> Column:
     """The usual spelling: no leading zeros, the first of the longest runs of zero groups left out."""
+    return let(numbers, _v6_text)  # written down once: what names it several times would grow with it
+
+
+def _v6_text(n: Column) -> Column:
     group = lambda half, shift: F.lower(F.hex(F.shiftrightunsigned(half, shift).bitwiseAND(0xFFFF)))
     whole = F.concat_ws(":", *(group(n[h], s) for h in ("hi", "lo") for s in (48, 32, 16, 0)))
 
@@ -95,7 +99,7 @@ def _hidden_v4(number: Column) -> Column:
 def non_public(ip: Column) -> Column:
     """Whether an address is private, local, reserved or for documentation. IPv4 addresses written as IPv6 lie in reserved space, whatever they are."""
     v6 = let(v6_numbers(ip), lambda n: (_within_v6(n, PRIVATE_V6) & ~_within_v6(n, PUBLIC_V6)) | _within_v6(n, RESERVED_V6))
-    return F.when(ip.rlike(V4), _hidden_v4(v4_number(ip))).when(F.contains(ip, F.lit(":")), F.coalesce(v6, F.lit(False))).otherwise(False)
+    return F.when(ip.rlike(V4), let(v4_number(ip), _hidden_v4)).when(F.contains(ip, F.lit(":")), F.coalesce(v6, F.lit(False))).otherwise(False)
 
 
 def is_ip(host: Column) -> Column:

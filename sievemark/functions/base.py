@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,15 +77,25 @@ def uuid5(namespace: Column, name: Column) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
+#: Bytes of files below which a table has fewer splits than a usual cluster has cores.
+SMALL_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as tasks run at once: many checks a row are too much for the few splits of a small file.
 
-    Larger inputs have more splits than that and stay where they are, without a shuffle; so do streams.
+    Only what reads a few small files, without a shuffle on the way, is dealt anew: the plan tells, nothing is run. Larger inputs, streams, and
+    what comes out of joins and sums, where adaptive execution has chosen the partitions, stay where they are.
     """
     if df.isStreaming:
         return df
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if re.search(r"(?m)^[\s:+|-]*(?:Join|Aggregate|Window|Sort|Repartition|RepartitionByExpression|Generate|Distinct|Deduplicate)\b", text) or "Relation" not in text:
+        return df
+    if int(str(plan.stats().sizeInBytes())) > SMALL_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def without_call_sites(build):

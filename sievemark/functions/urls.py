@@ -10,7 +10,7 @@ from importlib.resources import files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .addresses import V4, is_ip, non_public, v6_numbers, v6_text
+from .addresses import V4, non_public, v6_numbers, v6_text
 from .base import capped, finding, found, let, percent_decoded, points, risk_label, without_call_sites
 from .packs import BRANDS, FILE_SUFFIXES, LURE_WORDS, REDIRECT_KEYS, SHORTENERS, USER_CONTENT_HOSTS
 from .unicode import controls, host_names, idna, scripts
@@ -75,7 +75,8 @@ def _registrable(host: Column) -> Column:
     for n, names in rules.except_.items():
         longest = F.when(listed(n, names), n - 1).otherwise(longest)
     own = let(longest, lambda k: F.array_join(F.slice(labels, -F.least(size, k + 1), F.least(size, k + 1)), "."))
-    return F.when(is_ip(host) | (size < 2), host).when(F.element_at(labels, -1).isin(*RESERVED), tail(2)).otherwise(own)
+    # no host but an IPv6 address holds a colon
+    return F.when(host.rlike(V4) | F.contains(host, F.lit(":")) | (size < 2), host).when(F.element_at(labels, -1).isin(*RESERVED), tail(2)).otherwise(own)
 
 
 def parts(url: Column) -> Column:
