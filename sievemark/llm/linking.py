@@ -57,7 +57,10 @@ def class_of(hashes: np.ndarray) -> int:
 def met(rows: DataFrame, *carry: str) -> DataFrame:
     """Rows (bucket, cls and what carry names) of buckets with several, with their number (members), as a table."""
     crowded = materialize(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "link-crowded")
-    return materialize(maybe_in(rows, key_filter(crowded, "bucket"), "bucket").join(crowded, "bucket").select("bucket", "cls", *carry, "members"), "link-buckets")
+    shared = key_filter(crowded, "bucket")
+    out = materialize(maybe_in(rows, shared, "bucket").join(crowded, "bucket").select("bucket", "cls", *carry, "members"), "link-buckets")
+    shared.destroy()  # what is written needs it no more, and every executor holds a copy
+    return out
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, key: str, text: str, elements: Callable[[str], np.ndarray], forget: Callable[[], None]) -> DataFrame:

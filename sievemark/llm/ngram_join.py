@@ -190,7 +190,10 @@ def prefixes(docs: DataFrame, key: str, text: str, words: int, threshold: int) -
         release()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(rows, f"k {kind}, n long, cls long, first array<long>, sig binary")
+    out = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).mapInArrow(rows, f"k {kind}, n long, cls long, first array<long>, sig binary")
+    out = materialize(out, "join-prefixes")
+    shared.destroy()  # the table needs it no more, and every executor holds a copy
+    return out
 
 
 def boundary(lists: DataFrame, threshold: int) -> int:
@@ -247,15 +250,17 @@ def pruned(threshold: int):
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """key, n_shingles, component_id, kept for every row of docs."""
-    rows = materialize(prefixes(docs, key, text, words, threshold), "join-prefixes")
+    rows = prefixes(docs, key, text, words, threshold)
     classes = materialize(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("k").alias("rep"), F.first("n").alias("n")), "join-classes")
     # sets of so few elements that one more or less falls short of the threshold link with equal ones only
     able = rows.where(100 * F.col("n") >= threshold * (F.col("n") + 1))
     each = able.select("cls", "n", F.posexplode("first").alias("at", "bucket"))
     # elements of several rows, be they of one class or not; from then on each is there once for a class
     crowded = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    shared = maybe_in(each, key_filter(materialize(crowded, "join-crowded"), "bucket"), "bucket").groupBy("cls", "bucket").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    held = materialize(shared, "join-held")
+    bits = key_filter(materialize(crowded, "join-crowded"), "bucket")
+    held = maybe_in(each, bits, "bucket").groupBy("cls", "bucket").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    held = materialize(held, "join-held")
+    bits.destroy()
     several = materialize(held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "join-several")
     shared = materialize(held.join(several, "bucket", "left_semi"), "join-shared")
     need = F.expr(f"({threshold} * n + 99) div 100")
@@ -268,8 +273,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     heavy = lists.where((F.col("n") >= fewest(small + 1, threshold)) & ~F.col("extra")).select("bucket", "cls")
     multi = met(light.unionByName(heavy))
     needed = materialize(classes.join(multi.select("cls").distinct(), "cls", "left_semi"), "join-needed")
-    drawn = maybe_in(rows.where("cls IS NOT NULL").select("cls", "sig"), key_filter(needed, "cls"), "cls").groupBy("cls").agg(F.first("sig").alias("sig"))
+    bits = key_filter(needed, "cls")
+    drawn = maybe_in(rows.where("cls IS NOT NULL").select("cls", "sig"), bits, "cls").groupBy("cls").agg(F.first("sig").alias("sig"))
     sketches = materialize(needed.join(drawn, "cls"), "join-sketches")
+    bits.destroy()
     fetch = lambda wanted: sets_of(docs, wanted, key, text, lambda t: elements(t, words), release)
     return resolved(rows, classes, connect(multi, sketches, fetch, threshold, pruned(threshold)), key)
 
