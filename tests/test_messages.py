@@ -108,6 +108,9 @@ def test_sql_functions(spark):
     assert [(r.name, r.symlink, r.text) for r in spark.sql("SELECT m.* FROM archives, LATERAL zip_members(data) m").collect()] == [("a.xml", False, "<x/>"), ("b.txt", True, None)]
     row = spark.sql("SELECT risk_label(80) AS r, masked('phone', '+65 6123 4567').masked AS m, web_links('see https://a.example/x.') AS l, registrable_domain('a.b.example.co.uk') AS d").first()
     assert (row.r, row.m, row.l, row.d) == ("high", "***4567", ["https://a.example/x"], "example.co.uk")
+    hosts = {"a.b.ck": "a.b.ck", "x.a.b.ck": "a.b.ck", "y.www.ck": "www.ck", "a.x.github.io": "x.github.io", "b.test": "b.test", "a.b.test": "b.test", "10.0.0.1": "10.0.0.1", "one": "one", "[::1]": "::1", "A.Com.": "a.com"}
+    found = spark.createDataFrame([(h,) for h in hosts], "h string").selectExpr("h", "registrable_domain(h) AS d").collect()
+    assert {r.h: r.d for r in found} == hosts
 
 
 def test_own_rules(spark, tmp_path):
