@@ -446,3 +446,7 @@ EXECUTABLE_SUFFIXES = (
     '.xlam',
     '.xll',
 )
+
+#: Fixed values of the sample similarity: blanks between single letters that are drawn together, and what parts words.
+LETTER_GAPS = r"(?:(?<=\b\w)\s+(?=\w\b)){2,}"
+WORD_BREAKS = r"[^\w\u3400-\u9fff\u0b80-\u0bff]+"

@@ -223,6 +223,7 @@ def with_links(df: DataFrame, url: str = "url", into: str = "link") -> DataFrame
         b = F.get(brand, F.lit(i))
         return made(b.isNotNull(), "BRAND_IMPERSONATION", F.concat(F.lit("Possible "), F.initcap(b["brand"]), F.lit(" impersonation")), "high", 28, F.concat(F.lit("Observed "), b["observed"], F.lit("; official "), b["official"]))
 
+    # codes, titles, severities and points of all checks are fixed values
     checks = found(
         made(~p["scheme"].isin("http", "https") | (host == ""), "INVALID_URL", "URL is not a valid HTTP(S) link", "high", 60, F.col(url)),
         made(p["scheme"] == "http", "HTTP_ONLY", "Link does not use HTTPS", "low", 8, p["scheme"]),

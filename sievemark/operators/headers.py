@@ -45,6 +45,7 @@ def with_headers(df: DataFrame, headers: str = "headers", trusted: tuple[str, ..
     good = passed("dmarc") | (passed("spf") & aligned(r"smtp\.mailfrom=([^\s;]+)")) | (passed("dkim") & aligned(r"header\.d=([^\s;]+)"))
     authors = box["all"]
     pair = lambda a, x, b, y: F.concat(F.lit(f"{a}: "), x["host"], F.lit(f"; {b}: "), y["host"])
+    # codes, titles, severities and points of all checks below are fixed values
     made = lambda when, code, title, severity, points, evidence, source="headers", status="observed": finding(when, code, title, severity, points, evidence, source, status)
     author, reply, sent, back = F.col("_from"), F.col("_reply"), F.col("_sent"), F.col("_path")
     checks = [made((F.size("_blocks") > 0) & ~seen, "AUTH_RESULTS_UNTRUSTED", "Authentication-Results was not issued by a trusted receiver", "info", 0, F.array_join(F.transform("_blocks", server), ", "), status="not_evaluated")]
