@@ -383,8 +383,9 @@ def attachment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in sample attachments, dealt over all customers' messages, and the links inside."""
     found = messages()
     kinds = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(found)], "kind int, content binary")
-    # as many rows as there are samples
-    mails = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(found)).cast("int").alias("kind")).join(F.broadcast(kinds), "kind")
+    # as many rows as there are samples; customers are dealt before the join, which leaves partitions as they are
+    dealt = spread(_table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(found)).cast("int").alias("kind")))
+    mails = dealt.join(F.broadcast(kinds), "kind")
     a = parsed(mails, keep=["c_custkey"]).select("c_custkey", F.explode_outer("attachments").alias("a"))
     rows = a.select(F.explode_outer(F.concat(F.transform("a.findings", lambda f: F.struct(f["code"].alias("code"), f["points"].alias("points"))), F.transform("a.extracted_urls", lambda u: F.struct(F.concat(F.lit("link to "), u).alias("code"), F.lit(0).alias("points"))))).alias("x"))
     return rows.where("x IS NOT NULL").groupBy(F.col("x.code").alias("code")).agg(F.count("*").alias("n"), F.sum("x.points").alias("points"))

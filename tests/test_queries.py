@@ -32,3 +32,8 @@ def test_query_against_sql(spark, duck, name):
 def test_messages(spark):
     rows = Q.message_triage(spark, SF).toPandas()
     assert rows.risk.nunique() > 1 and rows.score.between(0, 100).all()
+
+
+def test_sample_mails_are_dealt(spark):
+    plan = Q.attachment_codes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Repartition")  # customers go to all tasks below the join
