@@ -37,3 +37,15 @@ def test_messages(spark):
 def test_sample_mails_are_dealt(spark):
     plan = Q.attachment_codes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Repartition")  # customers go to all tasks below the join
+
+
+def test_cosine_shuffles_texts_only(spark, duck):
+    # a key may stand on several texts, and null keys meet nothing
+    left = spark.createDataFrame([(1, "Abcabc xyz"), (1, "abca"), (2, None), (None, "abca"), (3, "ab")], "x int, t string")
+    right = spark.createDataFrame([(7, "abcab"), (8, "xyz")], "y int, t string")
+    rows = Q.cosine_rows(left, right, "x", "y", "t")
+    assert {tuple(r[:2]) for r in rows.collect()} == {(1, 7), (1, 8)}
+    # 8 has one gram; 1 has it once beside counts of its two texts: abc 3, bca 2, cab 1, bc_ c_x _xy xyz, abca 2, bcab cabc abc_ bc_x c_xy _xyz
+    assert {r.y: r.cosine for r in rows.collect()}[8] == 1 / (9 + 4 + 1 + 4 + 4 + 6) ** 0.5
+    plan = Q.ngram_cosine(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "p_partkey, gram" not in plan and "hashpartitioning(p_partkey" in plan
