@@ -124,21 +124,32 @@ class Suffixes:
 
     def __init__(self, text: np.ndarray, depth: int):
         n, self.ranks = len(text), []
-        rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-        span = 1
+        key, span = text.astype(np.int64) + 1, 1
+        if key.max(initial=0) < 1 << 15:  # pairs and fours of small symbols are numbers without sorting
+            while span < min(depth, 4):
+                self.ranks.append((span, np.append(key, 0)))
+                key = (key << 15 * span) + np.append(key[span:], np.zeros(min(span, n), dtype=np.int64))
+                span *= 2
+        # a rank is the place of the first of its equals; only suffixes that have equals are sorted again
+        rank, open_ = np.ones(n, dtype=np.int64), np.arange(n)
         while True:
-            self.ranks.append((span, np.concatenate([rank, np.zeros(1, dtype=np.int64)])))
-            if span >= depth or rank.max(initial=0) == n:
+            by = np.argsort(key)
+            step, own, at = key[by], rank[open_[by]], np.arange(len(by))
+            first = np.ones(len(by), dtype=bool)
+            first[1:] = step[1:] != step[:-1]
+            group = np.ones(len(by), dtype=bool)
+            group[1:] = own[1:] != own[:-1]
+            rank[open_[by]] = own + np.maximum.accumulate(at * first) - np.maximum.accumulate(at * group)
+            self.ranks.append((span, np.append(rank, 0)))
+            alone = first & np.append(first[1:], True)
+            open_ = open_[by[~alone]]
+            if span >= depth or not len(open_):
                 break
             ahead = np.zeros(n, dtype=np.int64)
             ahead[: n - span] = rank[span:]
-            key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            rank = np.empty(n, dtype=np.int64)
-            step = key[order]
-            rank[order] = np.concatenate([[1], 1 + np.cumsum(step[1:] != step[:-1])]) if n else step
+            key = rank[open_] * (n + 1) + ahead[open_]
             span *= 2
-        self.order = np.argsort(rank, kind="stable")
+        self.order = np.argsort(rank * n + np.arange(n))
         self.n = n
         self.near = self.common(self.order[:-1], self.order[1:])  # of neighbours in suffix order
 
@@ -302,14 +313,16 @@ def by_windows(segs: DataFrame, length: int, keep: str, gram: int) -> DataFrame:
 
     Stretches start at fixed distances from the anchor, so those inside a
     passage are equal in all segments and settled at once. Of equal stretches
-    one goes on, and only its windows are hashed one by one.
+    one goes on. The bytes that all windows of a stretch share are its core;
+    equal windows have equal cores, so only windows of stretches with one core
+    are hashed one by one: those at a passage's edges.
     """
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                own, offs, sizes, subs, cut = [], [], [], [], []
+                own, offs, sizes, subs, cores, cut = [], [], [], [], [], []
                 for i, value in enumerate(part.column(5)):
                     data = value.as_py()
                     n = len(data) - length + 1
@@ -323,10 +336,11 @@ def by_windows(segs: DataFrame, length: int, keep: str, gram: int) -> DataFrame:
                         offs.append(first)
                         sizes.append(stop - first)
                         subs.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                        cores.append(xxhash.xxh3_64_intdigest(data[end - 1 : max(end - STRETCH + length, 0)]) - (1 << 63))
                         cut.append(text)
                         first, end = stop, end + STRETCH
                 places = pa.array(own)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(places) for c in range(5)), pa.array(offs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(subs, pa.int64()), pa.array(cut, pa.binary())], names=["anchor", "seg", "n", "k", "start", "off", "size", "sub", "text"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(places) for c in range(5)), pa.array(offs, pa.int32()), pa.array(sizes, pa.int32()), pa.array(subs, pa.int64()), pa.array(cores, pa.int64()), pa.array(cut, pa.binary())], names=["anchor", "seg", "n", "k", "start", "off", "size", "sub", "core", "text"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,14 +354,16 @@ def by_windows(segs: DataFrame, length: int, keep: str, gram: int) -> DataFrame:
     kind = segs.schema["k"].dataType.simpleString()
     place = F.struct("k", (F.col("start") + F.col("off")).alias("at"))
     is_first = F.expr("first.k <=> k AND first.at = start + off")
-    cut = segs.select("anchor", "seg", "n", "k", "start", "data").mapInArrow(stretches, f"anchor long, seg long, n long, k {kind}, start int, off int, size int, sub long, text binary")
+    cut = segs.select("anchor", "seg", "n", "k", "start", "data").mapInArrow(stretches, f"anchor long, seg long, n long, k {kind}, start int, off int, size int, sub long, core long, text binary")
     # tables, so that neither side of a join is computed twice or stands above a sum by the join's key: Spark can split the rows of a common passage
     cut = materialize(cut, "suffix-cut")
-    equal = materialize(cut.groupBy("anchor", "sub").agg(F.sum("n").alias("total"), F.min(place).alias("first")), "suffix-equal")
+    equal = materialize(cut.groupBy("anchor", "sub").agg(F.sum("n").alias("total"), F.min(place).alias("first"), F.first("core").alias("core")), "suffix-equal")
+    shared = materialize(equal.groupBy("anchor", "core").agg(F.count("*").alias("stretches")).where("stretches > 1").select("anchor", "core", F.lit(True).alias("shared")), "suffix-cores")
+    equal = materialize(equal.join(shared, ["anchor", "core"], "left").drop("core"), "suffix-met")
     known = materialize(cut.join(equal, ["anchor", "sub"]), "suffix-stretches")
     settled = known.where((F.col("total") > 1) if keep == "none" else ~is_first)
     whole = settled.select("anchor", "seg", F.col("off").alias("from"), (F.col("off") + F.col("size") - 1 + length).cast("int").alias("to"))
-    windows = known.where(is_first).select("anchor", "seg", F.col("total").alias("n"), "k", "start", "off", "text").mapInArrow(hashed, f"anchor long, seg long, n long, k {kind}, start int, off int, window long")
+    windows = known.where("shared").where(is_first).select("anchor", "seg", F.col("total").alias("n"), "k", "start", "off", "text").mapInArrow(hashed, f"anchor long, seg long, n long, k {kind}, start int, off int, window long")
     windows = materialize(windows, "suffix-windows")
     counts = windows.groupBy("anchor", "window").agg(F.sum("n").alias("total"), F.min(place).alias("first")).where("total > 1")
     counts = materialize(counts, "suffix-counts")

@@ -279,3 +279,35 @@ def test_both_joins_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     exact = {r.doc_id: r.component_id for r in ngram_join.join(docs, threshold=near_dedup.THRESHOLD).collect()}
     assert exact == {r.doc_id: r.component_id for r in near_dedup.find(docs).collect()}
+
+
+def test_only_windows_at_the_edges_of_a_crowded_passage_are_hashed(spark, monkeypatch):
+    import random
+
+    from sievemark.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 8)
+    rng, made, write = random.Random(3), {}, suffix_dedup.materialize
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = letters(420)
+    texts = [letters(300) + passage + letters(300) for _ in range(40)]
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    rows = suffix_dedup.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep="none").collect()
+    for r in rows:
+        at = {s[i : i + 200] for j, s in enumerate(texts) if j != r.doc_id for i in range(len(s) - 199)}
+        own, spans = texts[r.doc_id], []
+        for i in range(len(own) - 199):
+            if own[i : i + 200] in at:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + 200
+                else:
+                    spans.append([i, i + 200])
+        assert [[s["from"], s["to"]] for s in r.spans] == spans
+    # of some 160 windows on either side of an anchor at the passage's edge a stretch or two
+    assert made["suffix-cut"] > 40 * 10 and 0 < made["suffix-windows"] <= 40 * 2 * 2 * suffix_dedup.STRETCH
