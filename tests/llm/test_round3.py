@@ -311,3 +311,29 @@ def test_only_windows_at_the_edges_of_a_crowded_passage_are_hashed(spark, monkey
         assert [[s["from"], s["to"]] for s in r.spans] == spans
     # of some 160 windows on either side of an anchor at the passage's edge a stretch or two
     assert made["suffix-cut"] > 40 * 10 and 0 < made["suffix-windows"] <= 40 * 2 * 2 * suffix_dedup.STRETCH
+
+
+def test_bm25_sums_postings_in_parts(monkeypatch):
+    import tracemalloc
+
+    from sievemark.llm import bm25
+
+    rng = np.random.default_rng(11)
+    n, each = 1024, 150
+    terms = np.sort(rng.integers(0, 12_000, (n, each)), axis=1)
+    owner, term = np.repeat(np.arange(n), each), terms.ravel()
+    pairs = np.unique(term * n + owner)
+    own, of = pairs // n, pairs % n
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    shard = bm25.Shard(list(range(n)), own[head].astype("<i8").tobytes(), np.append(head, len(own)).astype("<i4").tobytes(), of.astype("<u2").tobytes(), np.ones(len(own), dtype="<u2").tobytes(), np.full(n, each, dtype="<i4").tobytes(), float(each))
+    asked = np.concatenate([own[head]] * 20)
+    queries = bm25.Queries(list(range(-20, 0)), np.arange(21) * len(head), asked, np.ones(len(asked)))
+    found, peak = [], []
+    for summed in (1 << 40, 1 << 14):
+        monkeypatch.setattr(bm25, "SUMMED", summed)
+        tracemalloc.start()
+        found.append([x.tolist() for x in shard.search(queries, 10, np.ones(20))])
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert found[0] == found[1] and len(found[0][0]) == 200
+    assert peak[1] < 0.75 * peak[0]
