@@ -29,8 +29,11 @@ SUMMARIES = {
 
 @without_call_sites
 def link_rows(messages: DataFrame, key: str = "message_id") -> DataFrame:
-    """key, ordinal and the checked link of every address of every message."""
-    exploded = messages.select(key, F.posexplode("urls").alias("ordinal", "url"))
+    """key, ordinal and the checked link of every address of every message.
+
+    The outer form, as in ``finding_rows``: the plain one repeats all that is behind urls in a filter on its size.
+    """
+    exploded = messages.select(key, F.posexplode_outer("urls").alias("ordinal", "url")).where("ordinal IS NOT NULL")
     return with_links(exploded, "url").select(key, "ordinal", "link.*")
 
 

@@ -49,3 +49,15 @@ def test_cosine_shuffles_texts_only(spark, duck):
     assert {r.y: r.cosine for r in rows.collect()}[8] == 1 / (9 + 4 + 1 + 4 + 4 + 6) ** 0.5
     plan = Q.ngram_cosine(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "p_partkey, gram" not in plan and "hashpartitioning(p_partkey" in plan
+
+
+def test_link_rows_name_their_urls_once(spark):
+    from pyspark.sql import functions as F
+
+    from sievemark.plans.triage import link_rows
+
+    rows = spark.createDataFrame([("m", ["http://a.example/x"]), ("n", []), ("o", None)], "message_id string, u array<string>")
+    links = link_rows(rows.select("message_id", F.transform("u", F.upper).alias("urls")))
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(u#") == 1  # not again in a filter on the array's size
+    assert [tuple(r) for r in links.select("message_id", "ordinal", "host").collect()] == [("m", 0, "a.example")]
