@@ -337,3 +337,51 @@ def test_bm25_sums_postings_in_parts(monkeypatch):
         tracemalloc.stop()
     assert found[0] == found[1] and len(found[0][0]) == 200
     assert peak[1] < 0.75 * peak[0]
+
+
+def test_bm25_deals_rows_of_queries_evenly(spark, monkeypatch):
+    """Every row of queries in a partition of its own, arranged once and not again for every lane of shards."""
+    from sievemark.llm import bm25
+
+    made = {}
+
+    def kept(df, label):
+        made[label] = materialize(df, label)
+        return made[label]
+
+    monkeypatch.setattr(bm25, "materialize", kept)
+    monkeypatch.setattr(bm25, "QUERIES", 4)
+    monkeypatch.setattr(bm25, "TOGETHER", 2)
+    table = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i % 3}") for i in range(640)], "doc_id long, text string")
+    shards = materialize(bm25.index(table), "shards")
+    found = bm25.search(shards, bm25.like_this(shards))
+    rows = made["bm25-blocks"].withColumn("file", F.input_file_name()).collect()
+    assert len(rows) == len({r.file for r in rows}) == 8
+    groups = [g for r in rows for g in r.asked]
+    assert sorted(k for g in groups for k in g.ids) == list(range(0, 640, 20)) and max(len(g.ids) for g in groups) == 2
+    assert found.count() == 32 * 10
+
+
+def test_bm25_tells_scores_apart_beyond_single_precision(monkeypatch):
+    from sievemark.llm import bm25
+
+    rng = np.random.default_rng(5)
+    n, terms = 600, 400
+    counts = np.tile(rng.integers(1, 9, terms)[:, None], (1, n))
+    counts[rng.integers(0, terms, n), np.arange(n)] += 1  # scores differ by little
+    lengths = counts.sum(axis=0)
+    ids = np.arange(terms, dtype="<i8")
+    shard = bm25.Shard(list(range(n)), ids.tobytes(), np.arange(0, terms * n + 1, n).astype("<i4").tobytes(), np.tile(np.arange(n), terms).astype("<u2").tobytes(), counts.astype("<u2").tobytes(), lengths.astype("<i4").tobytes(), float(lengths.mean()))
+    weights = rng.random(terms) * 12 + 1
+    asked = bm25.Queries([-1, 7], np.array([0, terms, 2 * terms]), np.tile(ids, 2), np.tile(weights, 2))
+    impacts = counts * (bm25.K1 + 1) / (counts + bm25.K1 * (1 - bm25.B + bm25.B * lengths / lengths.mean()))
+    scores = np.rint(weights[:, None] * bm25.UNIT * impacts).sum(axis=0).astype(np.int64)
+    expected = [[(q, d, int(scores[d])) for d in sorted(range(n), key=lambda d: (-scores[d], d)) if d != own][:10] for q, own in ((0, -1), (1, 7))]
+    assert scores.max() > 1 << 24 and shard.search(asked, 10, np.zeros(2))[2].dtype == np.int64
+    for common in (0.003, 0.9, 1.0):
+        monkeypatch.setattr(bm25, "COMMON", common)
+        found = list(zip(*(x.tolist() for x in shard.search(asked, 10, np.zeros(2))), strict=True))
+        assert found == sum(expected, [])
+    floors = np.array([expected[0][3][2], expected[1][9][2]], dtype=np.float64)
+    found = list(zip(*(x.tolist() for x in shard.search(asked, 10, floors)), strict=True))
+    assert found == [x for x in expected[0] if x[2] >= floors[0]] + expected[1]
