@@ -70,6 +70,7 @@ class Pieces:
         self.keys, self.ids = hashes[order], np.array(use, dtype=np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        self.score_of = np.append(self.scores, -np.inf)  # the last one for no piece, -1
         self.longest = max((len(self.names[i]) for i in use), default=1)
         self.bytes = {int(n[3:5], 16): i for i, n in enumerate(self.names) if self.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
@@ -115,7 +116,7 @@ def word_hash(word: str) -> np.uint64:
     return prefix_hashes(np.array([[ord(c) for c in word]], dtype=np.int64))[0][0, -1]
 
 
-def viterbi(pieces: Pieces, codes: np.ndarray) -> list[np.ndarray]:
+def viterbi(pieces: Pieces, codes: np.ndarray) -> list[bytes]:
     """The segmentation with the highest sum of scores of each row (the longest last piece of equal ones)."""
     rows, n = codes.shape
     run, power = prefix_hashes(codes)
@@ -145,68 +146,78 @@ def viterbi(pieces: Pieces, codes: np.ndarray) -> list[np.ndarray]:
     return _listed(pieces, codes, found[order], first[order], np.bincount(row, minlength=rows))
 
 
-def merged(pieces: Pieces, codes: np.ndarray) -> list[np.ndarray]:
+def merged(pieces: Pieces, codes: np.ndarray) -> list[bytes]:
     """The pieces of each row by merges of the best adjacent pair until none is left."""
     rows, n = codes.shape
     run, power = prefix_hashes(codes)
-    edges = np.tile(np.arange(n + 1), (rows, 1))  # symbol s of a row lies between edges s and s + 1
-    counts = np.full(rows, n)
-    live = np.arange(rows)
-
-    def pair(r: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = pieces.probe(run[r, last] - run[r, first] * power[last - first])
-        return found, np.where(found >= 0, pieces.scores[found], -np.inf)
-
-    line = np.repeat(np.arange(rows), max(n - 1, 0))
-    first = np.tile(np.arange(max(n - 1, 0)), rows)
-    scores = np.full((rows, max(n, 1)), -np.inf)  # of the pair that starts at symbol s
+    # symbols are known by their first character; cells of all rows in turn, n + 2 of each
+    wide = n + 2
+    base = np.arange(rows) * wide
+    run = np.concatenate([run, run[:, -1:]], axis=1).ravel()
+    following = np.minimum(np.tile(np.arange(1, wide + 1), (rows, 1)), n).ravel()  # where the next symbol starts
+    before = np.tile(np.arange(-1, wide - 1), (rows, 1)).ravel()
+    scores = np.full((rows, n), -np.inf)  # of the pair that starts with this symbol
     if n > 1:
-        scores[:, : n - 1] = pair(line, first, first + 2)[1].reshape(rows, n - 1)
-    while len(live):
-        at = scores[live].argmax(axis=1)
-        good = scores[live, at] > -np.inf
-        live, at = live[good], at[good]
-        if not len(live):
+        found = pieces.probe((run.reshape(rows, wide)[:, 2 : n + 1] - run.reshape(rows, wide)[:, : n - 1] * power[2]).ravel())
+        scores[:, : n - 1] = pieces.score_of[found].reshape(rows, n - 1)
+    flat, line = scores.ravel(), np.arange(rows)
+    out = np.zeros((rows, n), dtype=bool)  # symbols that went
+    while n > 1 and len(line):
+        at = (scores[line] if len(line) < rows else scores).argmax(axis=1)
+        good = flat[line * n + at] > -np.inf
+        line, at = line[good], at[good]
+        if not len(line):
             break
-        columns = np.arange(n + 1)
-        shift = columns[None, :] > at[:, None]  # edge at + 1 goes, later ones move up
-        moved = np.where(shift, np.minimum(columns + 1, n)[None, :], columns[None, :])
-        edges[live] = np.take_along_axis(edges[live], moved, axis=1)
-        own = np.where(columns[None, : scores.shape[1]] > at[:, None], np.minimum(columns[: scores.shape[1]] + 1, scores.shape[1] - 1)[None, :], columns[None, : scores.shape[1]])
-        scores[live] = np.take_along_axis(scores[live], own, axis=1)
-        scores[live, -1] = -np.inf
-        counts[live] -= 1
-        for s in (at - 1, at):  # the pairs on both sides of the new symbol
-            ok = (s >= 0) & (s + 1 < counts[live])
-            r, c = live[ok], s[ok]
-            scores[r, c] = pair(r, edges[r, c], edges[r, c + 2])[1]
-            bad = ~ok & (s >= 0)
-            scores[live[bad], s[bad]] = -np.inf
-    line, symbol = np.nonzero(np.arange(n)[None, :] < counts[:, None])
-    first = edges[line, symbol]
-    return _listed(pieces, codes, pair(line, first, edges[line, symbol + 1])[0], first, counts)
-
-
-def _listed(pieces: Pieces, codes: np.ndarray, found: np.ndarray, first: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """The ids of each row from those of all rows in turn; -1 stands for a character without piece, at first."""
+        own = base[line]
+        gone = following[own + at]
+        last = following[own + gone]
+        following[own + at] = last
+        before[own + last] = at
+        out[line, gone] = True
+        flat[line * n + gone] = -np.inf
+        # the pairs on both sides of the new symbol
+        left = before[own + at]
+        has = left >= 0
+        ends = following[own + last]
+        more = last < n
+        r, first = np.concatenate([line, line[has]]), np.concatenate([at, left[has]])
+        end = np.concatenate([np.where(more, ends, n), last[has]])
+        found = pieces.probe(run[base[r] + end] - run[base[r] + first] * power[end - first])
+        new = pieces.score_of[found]
+        new[: len(line)][~more] = -np.inf
+        flat[r * n + first] = new
+    line, first = np.nonzero(~out)
+    end = following[base[line] + first]
+    found = pieces.probe(run[base[line] + end] - run[base[line] + first] * power[end - first])
+    return _listed(pieces, codes, found, first, n - np.count_nonzero(out, axis=1))
+
+
+def _listed(pieces: Pieces, codes: np.ndarray, found: np.ndarray, first: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The ids of each row (little-endian unsigned 32-bit) from those of all rows in turn; -1 stands for a character without piece, at first."""
     ends = np.cumsum(counts)
-    out = np.split(found, ends[:-1])
+    data, cuts = found.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+    out = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     for i in np.flatnonzero(np.logical_or.reduceat(found < 0, ends - counts)).tolist() if len(found) else []:
         at = int(ends[i] - counts[i])
         ids = []
-        for j, p in enumerate(out[i].tolist()):
+        for j, p in enumerate(found[at : int(ends[i])].tolist()):
             ids += [p] if p >= 0 else pieces.fallback(int(codes[i, first[at + j]]))
-        out[i] = np.array(ids, dtype=np.int64)
+        out[i] = np.array(ids, dtype="<u4").tobytes()
     return out
 
 
 def segment(pieces: Pieces, words: list[str], method: int | None = None) -> list[np.ndarray]:
-    """Ids of each word; words of a length go together."""
+    """Ids of each word."""
+    return [np.frombuffer(x, dtype="<u4") for x in coded(pieces, words, method)]
+
+
+def coded(pieces: Pieces, words: list[str], method: int | None = None) -> list[bytes]:
+    """Ids of each word as bytes; words of a length go together."""
     solve = {UNIGRAM: viterbi, BPE: merged}[method or pieces.model_type]
     by_length: dict[int, list[int]] = {}
     for i, word in enumerate(words):
         by_length.setdefault(len(word), []).append(i)
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(words)
+    out = [b""] * len(words)
     for size, own in by_length.items():
         if not size:
             continue
@@ -229,37 +240,24 @@ _WORDS: dict[tuple[str, int], tuple[Pieces, Words]] = {}
 def worker_words(path: str, method: int = 0) -> tuple[Pieces, Words]:
     if (path, method) not in _WORDS:
         pieces = Pieces.load(path)
-        _WORDS[path, method] = pieces, Words(lambda batch: [x.astype("<u4").tobytes() for x in segment(pieces, batch, method or None)], WORD.findall)
+        _WORDS[path, method] = pieces, Words(lambda batch: coded(pieces, batch, method or None), WORD.findall)
     return _WORDS[path, method]
 
 
 class Decoder:
-    """Texts of ids; those without byte, unknown or control pieces by one gather."""
+    """Texts of ids: the pieces' bytes in turn, one gather and one join."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.names = pieces, np.array(pieces.names, dtype=object)
-        self.special = np.array([k not in (NORMAL, USER) for k in pieces.kinds])
-        self.value = {i: b for b, i in pieces.bytes.items()}
+        self.pieces = pieces
+        plain = {UNKNOWN: " \u2047 ", NORMAL: None, USER: None}
+        data = [(plain.get(k, "") if plain.get(k, "") is not None else n).replace(SPACE, " ").encode() for n, k in zip(pieces.names, pieces.kinds.tolist(), strict=True)]
+        for value, i in pieces.bytes.items():
+            data[i] = bytes([value])
+        self.data = np.array(data, dtype=object)
 
     def text(self, data: bytes) -> str:
-        ids = np.frombuffer(data, dtype="<u4").astype(np.int64)
-        if not self.special[ids].any():
-            text = "".join(self.names[ids])
-        else:
-            out, raw = [], bytearray()
-            for i in [*ids.tolist(), -1]:
-                if i in self.value:
-                    raw.append(self.value[i])
-                    continue
-                if raw:
-                    out.append(raw.decode("utf-8", "replace"))
-                    raw.clear()
-                if i >= 0 and not self.special[i]:
-                    out.append(self.names[i])
-                elif i >= 0 and self.pieces.kinds[i] == UNKNOWN:
-                    out.append(" \u2047 ")
-            text = "".join(out)
-        text = text.replace(SPACE, " ")
+        # a run of byte pieces that isn't UTF-8 is replaced as if it stood alone, as whole characters are around it
+        text = b"".join(self.data[np.frombuffer(data, dtype="<u4")].tolist()).decode("utf-8", "replace")
         return text[1:] if self.pieces.dummy_prefix and text.startswith(" ") else text
 
 

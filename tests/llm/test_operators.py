@@ -606,3 +606,50 @@ def test_long_texts(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     read = warc.query(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.payload_bytes) for r in read) == sorted((i, len((t or "").encode())) for i, t in rows)
+
+
+def c_calls(run):
+    """How many functions written in C the interpreter calls, and what comes back."""
+    import sys
+
+    count = 0
+
+    def seen(_, event, __):
+        nonlocal count
+        count += event == "c_call"
+
+    sys.setprofile(seen)
+    try:
+        out = run()
+    finally:
+        sys.setprofile(None)
+    return count, out
+
+
+def test_words_and_ids_go_together_through_pieces():
+    """Words are merged and ids decoded together, not one by one."""
+    model, words = pieces.worker_words(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(9)
+    batch = sorted({"".join(r.choice("aeinrst") for _ in range(7)) for _ in range(3000)})
+    assert len(batch) > 2900
+    calls, coded = c_calls(lambda: words.encode(batch))
+    assert calls < 4 * len(batch)  # to deal them by length; it was eight a word
+    assert [np.frombuffer(x, "<u4").tolist() for x in coded] == [x.tolist() for w in batch for x in pieces.segment(model, [w])]
+
+    decoder = pieces.Decoder(model)
+    kinds, raw = model.kinds.tolist(), list(model.bytes.values())
+    value_of = {i: b for b, i in model.bytes.items()}
+    usable = [i for i, k in enumerate(kinds) if k in (pieces.NORMAL, pieces.UNKNOWN, pieces.BYTE)]
+    for trial in range(200):
+        ids = [r.choice(raw) if r.random() < 0.5 else r.choice(usable) for _ in range(3000 if trial == 0 else r.randrange(12))]
+        text, run = "", b""
+        for i in [*ids, None]:  # a run of byte pieces is read by itself
+            if i in raw:
+                run += bytes([value_of[i]])
+                continue
+            text, run = text + run.decode("utf-8", "replace"), b""
+            if i is not None:
+                text += " ⁇ " if kinds[i] == pieces.UNKNOWN else model.names[i]
+        text = text.replace("▁", " ")
+        calls, got = c_calls(lambda ids=ids: decoder.text(np.array(ids, dtype="<u4").tobytes()))
+        assert got == (text[1:] if text.startswith(" ") else text) and calls < 50
