@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, table, text_or_empty
-from .wordcodes import forget, groups, library
+from .wordcodes import forget, library
 
 LENGTH, GRAIN, END = 4096, 64, 2
 #: Rows in a ranking bucket, on average.
@@ -54,13 +54,9 @@ def cut(docs: DataFrame, tokenizer: str, length: int, grain: int, end: int, key:
         words = library(tokenizer, "ids")
         closing = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            at = 0
             rows = Rows()
-            for group in groups(batch.column(1).to_pylist()):
-                coded = [words.of(group[0])] if len(group) == 1 else words.codes(group)  # a long text part by part
-                for own in coded:
-                    rows.add(at, b"".join(b"".join(x) for x in own) + closing if len(group) == 1 else b"".join(own) + closing, length, grain)
-                    at += 1
+            for at, ids in enumerate(words.whole(batch.column(1))):
+                rows.add(at, ids + closing, length, grain)
                 if len(rows) >= ROWS:
                     yield rows.batch(batch.column(0))
                     rows = Rows()

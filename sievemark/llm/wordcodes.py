@@ -16,6 +16,7 @@ token's string, as those hold neither white space nor such marks.
 
 Where the tokenizer drops white space and folds case, pieces are words between
 white space in small letters, with marks behind them as words of their own.
+Arrow splits a lot of these texts and numbers its words, so Python sees new words only.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import release
 
@@ -49,16 +52,23 @@ LOT_CHARS = 1 << 17
 KEPT = 60_000
 #: Words that are encoded in one string.
 JOINED = 512
+#: UTF-8 bytes of texts whose words are numbered together; a longer text goes part by part.
+LOT_BYTES = 1 << 22
+#: Words remembered in Arrow tables (some 40 bytes each); beyond that a worker starts anew with those met first.
+TABLED, TABLED_KEPT = 600_000, 200_000
 #: The parts of a tokenizer file under which white space only parts words.
 NORMAL_FORM = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 WORD_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 NO_WHITE = re.compile(f"[^{WHITE}]+")
-#: Characters whose small letters or normal forms need the library.
-OTHERS = re.compile("[^\x00-\xff\u2010-\u2027\u2030-\u203a]")
+#: Characters whose small letters or normal forms need the library, and what may begin a special token's string.
+OTHERS = "[^\x00-\xff\u2010-\u2027\u2030-\u203a]|<\\|"
 #: Marks before white space that may belong to what stands before them.
-APART = re.compile(f"(?<![{LATIN}0-9{WHITE}])[,.;:!?][ \n]")
-#: What str.split takes for white space and the property doesn't hold for.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+APART = f"(?:^|[^{LATIN}0-9{WHITE}])[,.;:!?][ \n]"
+#: What splitting takes for white space and the property doesn't hold for.
+SEPARATORS = "[\x1c-\x1f]"
+#: Words that the word split parts at changes of kind only: small letters of theirs are told by each letter, none is an apostrophe or begins a special token.
+SAFE = re.compile(f"[{LATIN}0-9!-&(-;=-@\\[-`{{-~]+")
+UNITS = re.compile(f"[{LATIN}]+|[0-9]|[^{LATIN}0-9]+")
 
 
 def parts(text: str, size: int = GROUP_CHARS) -> Iterator[str]:
@@ -116,6 +126,78 @@ class Words:
         for part in parts(text):
             yield from self.codes([part])
 
+    def whole(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's codes in one, where codes are bytes."""
+        for group in groups(texts.to_pylist()):
+            if len(group) == 1:  # a long text part by part
+                yield b"".join(b"".join(own) for own in self.of(group[0]))
+            else:
+                yield from map(b"".join, self.codes(group))
+
+    def forget(self) -> None:
+        self.known = dict(islice(self.known.items(), KEPT))
+
+
+class FoldedWords(Words):
+    """``Words`` over a vocabulary that folds case and drops white space: Arrow splits lots of texts, numbers their words and puts their codes together."""
+
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
+        self.encode = encode
+        self.known, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())  # words and, in the same order, codes
+
+    def flat(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The codes of all texts in a row, and where those of each text end."""
+        lists = by_white_space(texts)
+        words = lists.flatten().dictionary_encode()
+        codes = self.looked_up(words.dictionary).take(words.indices)
+        sizes = np.r_[0, pc.binary_length(codes).to_numpy().cumsum()]
+        return memoryview(codes.buffers()[2] or b""), sizes[pc.list_value_length(lists).to_numpy().cumsum()].tolist()
+
+    def looked_up(self, words: pa.Array) -> pa.Array:
+        """The codes of distinct words."""
+        met = len(self.known)
+        numbered = pa.concat_arrays([self.known, words]).dictionary_encode()  # known words keep their places
+        new, coded = numbered.dictionary.slice(met), []
+        for group in groups(strings(new), LOT_CHARS):
+            coded += self.encode(group)
+        coded = pa.array(coded, pa.large_binary())
+        codes = pa.concat_arrays([self.values, coded]).take(numbered.indices.slice(met))
+        short = pc.less_equal(pc.utf8_length(new), LONG_PIECE)
+        self.known, self.values = pa.concat_arrays([self.known, new.filter(short)]), pa.concat_arrays([self.values, coded.filter(short)])
+        if len(self.known) > TABLED:
+            self.keep(TABLED_KEPT)
+        return codes
+
+    def keep(self, most: int) -> None:
+        at = pa.array(range(min(most, len(self.known))), pa.int64())
+        self.known, self.values = self.known.take(at), self.values.take(at)  # copies, as slices would hold the whole tables
+
+    def forget(self) -> None:
+        self.keep(KEPT)
+
+    def codes(self, texts: list[str]) -> list[list[bytes]]:
+        """The codes of each text, in one piece."""
+        return [[own] for own in self.apart(pa.array(texts, pa.large_string()))]
+
+    def of(self, text: str) -> Iterator[list[bytes]]:
+        for part in parts(text, LOT_BYTES):
+            yield from self.codes([part])
+
+    def apart(self, texts: pa.Array) -> Iterator[bytes]:
+        data, ends = self.flat(texts)
+        return (bytes(data[a:b]) for a, b in zip([0, *ends], ends))
+
+    def whole(self, texts: pa.Array) -> Iterator[bytes]:
+        texts = texts.cast(pa.large_string())
+        upto, at = pc.binary_length(texts).to_numpy().cumsum(), 0
+        while at < len(texts):
+            to = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LOT_BYTES, "right")), at + 1)
+            if to == at + 1:  # a long text part by part
+                yield b"".join(b"".join(own) for own in self.of(texts[at].as_py()))
+            else:
+                yield from self.apart(texts.slice(at, to - at))
+            at = to
+
 
 _WORDS: dict[tuple[str, str], Words] = {}
 
@@ -123,7 +205,7 @@ _WORDS: dict[tuple[str, str], Words] = {}
 def forget() -> None:
     """Gives back what the worker remembers but for the pieces met first, for the tasks and stages that run in it afterwards."""
     for words in _WORDS.values():
-        words.known = dict(islice(words.known.items(), KEPT))
+        words.forget()
     release()
 
 
@@ -143,22 +225,27 @@ def library(path: str, kind: str) -> Words:
         def ids(batch: list[str]) -> list[bytes]:
             return [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-        encode, split = (lengths, PIECE.findall) if kind == "lengths" else (ids, PIECE.findall)
-        if kind == "ids" and _drops_white_space(tokenizer):
-            encode, split = _joining(tokenizer, ids), by_white_space
-        _WORDS[path, kind] = Words(encode, split)
+        folded = kind == "ids" and _drops_white_space(tokenizer)
+        _WORDS[path, kind] = FoldedWords(_joining(tokenizer, ids)) if folded else Words(lengths if kind == "lengths" else ids)
     return _WORDS[path, kind]
 
 
-def by_white_space(text: str) -> list[str]:
-    """Words of a text in small letters, for vocabularies that fold case and drop white space; a mark behind a Latin word or digit stands alone."""
-    if (text.isascii() or not OTHERS.search(text)) and "<|" not in text:  # no special token's string, and small letters by one rule
-        text = text.lower()
-    if not APART.search(text):
-        for mark in ",.;:!?":
-            if mark in text:
-                text = text.replace(mark + " ", " " + mark + " ").replace(mark + "\n", " " + mark + "\n")
-    return NO_WHITE.findall(text) if SEPARATORS.search(text) else text.split()
+def strings(words: pa.Array) -> list[str]:
+    """Words without spaces as Python strings, by one string and its split."""
+    joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_py()
+    return joined.split(" ") if len(words) else []
+
+
+def by_white_space(texts: pa.Array) -> pa.Array:
+    """Lists of words in small letters, for vocabularies that fold case and drop white space; a mark behind a Latin word or digit stands alone."""
+    has = pc.match_substring_regex
+    low = pc.if_else(has(texts, OTHERS), texts, pc.utf8_lower(texts))  # no special token's string, and small letters by one rule
+    spaced = low
+    for mark in ",.;:!?":
+        for white in " \n":
+            spaced = pc.replace_substring(spaced, mark + white, f" {mark}{white}")
+    low = pc.if_else(has(low, APART), low, spaced)
+    return pc.split_pattern_regex(low, f"[{WHITE}]+") if pc.any(has(low, SEPARATORS)).as_py() else pc.utf8_split_whitespace(low)
 
 
 def _drops_white_space(tokenizer) -> bool:
@@ -171,7 +258,7 @@ def _drops_white_space(tokenizer) -> bool:
 
 
 def _joining(tokenizer, ids: Callable[[list[str]], list[bytes]]) -> Callable[[list[str]], list[bytes]]:
-    """``ids`` that sends Latin words, a mark behind them or not, many in one string: codes that end words tell them apart."""
+    """``ids`` that sends Latin words, digits and marks, many in one string: codes that end words tell them apart."""
     from tokenizers import Tokenizer, normalizers
 
     bare = Tokenizer.from_str(tokenizer.to_str())
@@ -179,19 +266,16 @@ def _joining(tokenizer, ids: Callable[[list[str]], list[bytes]]) -> Callable[[li
     suffix, vocabulary = bare.model.end_of_word_suffix, tokenizer.get_vocab()
     closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
     closes[[code for token, code in vocabulary.items() if token.endswith(suffix)]] = True
-    plain = re.compile(f"[{LATIN}{MARKS} ]*")
 
     def joined(batch: list[str]) -> list[bytes]:
         out: list = [None] * len(batch)
-        alike = [i for i, word in enumerate(batch) if word.isalpha() or word[:-1].isalpha() and word[-1] in MARKS]
+        alike = [i for i, word in enumerate(batch) if SAFE.fullmatch(word)]
         for at in range(0, len(alike), JOINED):
             own = alike[at : at + JOINED]
             text = " ".join([batch[i] for i in own])
-            if not plain.fullmatch(text):
-                continue
             codes = np.array(bare.encode_batch_fast([text.lower()], add_special_tokens=False)[0].ids, dtype="<u4")
             closed = np.flatnonzero(closes[codes])
-            words = np.cumsum([1 if batch[i][-1].isalpha() else 2 for i in own])  # a mark is a word of its own
+            words = np.cumsum([1 if batch[i].isalpha() else len(UNITS.findall(batch[i])) for i in own])  # digits and runs of marks are words of their own
             if len(closed) != words[-1]:
                 continue
             data, a = codes.tobytes(), 0

@@ -653,3 +653,44 @@ def test_words_and_ids_go_together_through_pieces():
         text = text.replace("▁", " ")
         calls, got = c_calls(lambda ids=ids: decoder.text(np.array(ids, dtype="<u4").tobytes()))
         assert got == (text[1:] if text.startswith(" ") else text) and calls < 50
+
+
+def test_words_of_texts_are_told_apart_by_the_lot(monkeypatch):
+    """Texts go through packing's words by the lot, and words with digits and marks go to the library together, with the library's codes."""
+    import sys
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from sievemark.llm import wordcodes
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), wordcodes.library(path, "ids")
+    plain = lambda texts: [np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    texts = [prose(40, i) for i in range(1000)]
+    calls, coded = c_calls(lambda: [b"".join(own) for own in words.codes(texts)])
+    assert coded == plain(texts) and calls < 4 * len(texts)  # it was 15 a text
+
+    r, singly = random.Random(4), 0
+    batch = sorted({"".join(r.choice("abné") for _ in range(6)) + r.choice(["%%%", ".###", "42", "@mail.example.com", ""]) + r.choice(["", ")", "?!"]) for _ in range(3000)})
+
+    def seen(_, event, arg):
+        nonlocal singly
+        singly += event == "c_call" and arg.__name__ == "tobytes"
+
+    sys.setprofile(seen)
+    try:
+        coded = words.encode(batch)
+    finally:
+        sys.setprofile(None)
+    assert coded == plain(batch) and singly < len(batch) / 100  # 2552 of 2931 went one by one
+    odd = ["it's", "it's9", "</w>", "a</w>b", "<|endoftext|>", "x²", "(a)b", "É9È", "ß", "a'", "[]`{|}~", "ж", "жa!", "é", "٣4", "a\x1cb"]
+    assert words.encode(odd) == plain(odd)
+
+    monkeypatch.setattr(wordcodes, "LOT_BYTES", 300)  # a lot ends in the middle, a text is longer than a lot
+    texts = ["", " ", "a", prose(200, 7), "", *(prose(n, n) + r.choice([" ,. a", "\x1c b\x1f", " ж.", "\u2028x, ", "<|endoftext|>. A", ""]) for n in range(40)), " end "]
+    assert list(words.whole(pa.array(texts))) == plain(texts) and list(words.whole(pa.array([], pa.string()))) == []
+    assert list(words.whole(pa.array(texts).slice(3, 9))) == plain(texts)[3:12]
+    monkeypatch.setattr(wordcodes, "TABLED", 50)
+    monkeypatch.setattr(wordcodes, "TABLED_KEPT", 20)
+    assert list(words.whole(pa.array(texts))) == plain(texts) and len(words.known) <= 50
