@@ -385,3 +385,38 @@ def test_bm25_tells_scores_apart_beyond_single_precision(monkeypatch):
     floors = np.array([expected[0][3][2], expected[1][9][2]], dtype=np.float64)
     found = list(zip(*(x.tolist() for x in shard.search(asked, 10, floors)), strict=True))
     assert found == [x for x in expected[0] if x[2] >= floors[0]] + expected[1]
+
+
+def test_bm25_scores_a_block_for_those_queries_only_that_need_it(monkeypatch):
+    """Queries of two languages taken together: neither is multiplied with the other's documents, which memory shows too."""
+    import tracemalloc
+
+    from sievemark.llm import bm25
+
+    monkeypatch.setattr(bm25, "EXACT", 64)
+    monkeypatch.setattr(bm25, "SUMMED", 1 << 14)
+    rng = np.random.default_rng(3)
+    n, each, words = 2048, 60, 150
+    side = np.repeat([0, 1], n // 2)
+    terms = np.sort(rng.random((n, words)).argsort(axis=1)[:, :each], axis=1) + side[:, None] * words
+    owner, term = np.repeat(np.arange(n), each), terms.ravel()
+    order = np.lexsort((owner, term))
+    starts = np.searchsorted(term[order], np.arange(2 * words + 1))
+    shard = bm25.Shard(list(range(n)), np.arange(2 * words).astype("<i8").tobytes(), starts.astype("<i4").tobytes(), owner[order].astype("<u2").tobytes(), np.ones(n * each, dtype="<u2").tobytes(), np.full(n, each, dtype="<i4").tobytes(), float(each))
+    weights = rng.random(2 * words) * 3 + 1
+    ids = list(range(0, n, 8))
+    asked = bm25.Queries(ids, np.arange(len(ids) + 1) * each, terms[ids].ravel(), weights[terms[ids]].ravel())
+    held = np.zeros((n, 2 * words), dtype=np.int64)
+    held[owner, term] = np.rint(weights * bm25.UNIT)[term]
+    scores = held[ids] @ (held > 0).T
+    scores[np.arange(len(ids)), ids] = 0
+    best = np.lexsort((np.broadcast_to(np.arange(n), scores.shape), -scores), axis=1)[:, :10]
+    expected = [(q, d, int(scores[q, d])) for q in range(len(ids)) for d in best[q].tolist()]
+    for floors in (np.zeros(len(ids)), np.array([scores[q, best[q, 9]] for q in range(len(ids))], dtype=np.float64)):
+        shard.search(asked, 10, floors)
+        tracemalloc.start()
+        found = list(zip(*(x.tolist() for x in shard.search(asked, 10, floors)), strict=True))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == expected
+        assert peak < 4.2 * 8 * len(ids) * n
