@@ -56,6 +56,14 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns last, computed once: they pass through an array of one row, and the optimizer copies no expression past it.
+
+    Projects that meet a Python function are merged, and then a column is written out wherever it is used.
+    """
+    return df.select(*(c for c in df.columns if c not in names), F.inline_outer(F.array(F.struct(*names))))
+
+
 def escaped(value: Column) -> Column:
     """Text for HTML and XML."""
     steps = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))

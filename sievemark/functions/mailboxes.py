@@ -20,11 +20,11 @@ FIELD = T.StructType([T.StructField("name", T.StringType()), T.StructField("addr
 _KIND = pa.struct([("name", pa.string()), ("address", pa.string()), ("all", pa.list_(pa.string()))])
 _ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
 _ADDRESS = rf"{_ATOM}(?:\.{_ATOM})*@{_ATOM}(?:\.{_ATOM})*"
-_PLAIN = re.compile(rf"(?:({_ATOM}(?: {_ATOM})*) )?<({_ADDRESS})>|({_ADDRESS})")
+PLAIN_FIELD = re.compile(rf"(?:({_ATOM}(?: {_ATOM})*) )?<({_ADDRESS})>|({_ADDRESS})")
 
 
 def mailbox(field: str) -> dict:
-    plain = _PLAIN.fullmatch(field)
+    plain = PLAIN_FIELD.fullmatch(field)
     if plain:
         name, bracketed, bare = plain.groups()
         return {"name": name or "", "address": bracketed or bare, "all": [bracketed or bare]}

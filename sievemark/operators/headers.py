@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import finding, found, let, without_call_sites
+from ..functions.base import finding, found, let, settled, without_call_sites
 from ..functions.mailboxes import host_of, mailboxes
 from ..functions.packs import BRANDS
 from ..functions.unicode import controls, host_names
@@ -39,6 +39,7 @@ def with_headers(df: DataFrame, headers: str = "headers", trusted: tuple[str, ..
     df = df.withColumn("_blocks", F.transform(lines("authentication-results"), lambda b: F.btrim(b)))
     df = df.withColumn("_trusted", F.filter("_blocks", lambda b: server(b).isin(*ids)) if ids else F.array().cast("array<string>"))
     df = df.withColumn("_auth", F.lower(F.array_join("_trusted", "\n")))
+    df = settled(df, *names.values(), "_blocks")
     auth, seen = F.col("_auth"), F.size("_trusted") > 0
     passed = lambda what: auth.rlike(rf"\b{what}\s*=\s*pass")
     aligned = lambda pattern: F.exists(F.regexp_extract_all(auth, F.lit(pattern), F.lit(1)), lambda d: (F.col("_from.host") != "") & (registrable(F.btrim(d, F.lit("<>"))) == F.col("_from.site")))
