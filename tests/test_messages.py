@@ -157,5 +157,23 @@ def test_large_expressions_are_written_once(spark):
     rows = spark.createDataFrame([(b"From: a@b.example\n\nx",)], "content binary")
     results = analyze(rows)
     plan = results.select("score", "confidence", "findings", "evidence_status")._jdf.queryExecution().optimizedPlan()
-    # suffix rules of hosts, 20 uses in all for senders, links and labels; 383 when each use had its own
+    # suffix rules of hosts, a few uses for senders, links and labels; 383 when each use had its own
     assert plan.toString().count("fly.dev") < 40
+
+
+def test_rows_of_findings_judge_messages_once(spark):
+    from sievemark.plans.triage import finding_rows
+
+    body = b"Verify your account password immediately at http://paypa1.com/login and http://1.2.3.4/x"
+    rows = spark.createDataFrame([(b"From: PayPal <x@paypa1-secure.com>\nSubject: s\nMessage-ID: <1@b.example>\n\n" + body,), (with_file("a.pdf.exe", "x/y", b"MZ"),), (b" ",)], "content binary")
+    results = analyze(rows)
+    told = finding_rows(results)
+    # the messages, and the messages again for their links
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    expected = set()
+    for r in results.collect():
+        own = [("message", 0, r.findings or [])] + [("link", x.ordinal, x.findings) for x in r.links or []] + [("attachment", n, x.findings) for n, x in enumerate(r.attachments or [])]
+        expected |= {(r.message_id, scope, number, i, *f) for scope, number, found in own for i, f in enumerate(found)}
+    got = [tuple(r) for r in told.collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    assert {r[1] for r in got} == {"message", "link", "attachment"}
